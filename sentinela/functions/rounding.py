@@ -11,6 +11,9 @@ def round_exact(value: Column, digits: int) -> Column:
 
     `round` and `bround` work on the shortest decimal spelling, which differs on values such as 2.675
     (stored as 2.67499…). `format_number` formats the exact value, so 2.675 gives 2.67 and 0.03125 gives
-    0.0312. Adding 0.0 turns a negative zero into zero.
+    0.0312. Its formatter loses one value, half a unit of the last place, which is therefore set apart.
+    Adding 0.0 turns a negative zero into zero.
     """
-    return F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double") + F.lit(0.0)
+    half = 5 / 10 ** (digits + 1)
+    formatted = F.replace(F.format_number(value, digits), F.lit(","), F.lit("")).cast("double")
+    return F.when(F.abs(value) == half, F.signum(value) * round(half, digits)).otherwise(formatted) + F.lit(0.0)
