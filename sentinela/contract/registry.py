@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentinela.contract import adapters as a
+from sentinela.functions import dates as d
+from sentinela.functions.numbers import number_tokens as tokens_of
+from sentinela.functions.numbers import parse_number
+from sentinela.functions.text import content_text, is_injection, strip_injection, strip_markers
+from sentinela.functions.urls import cited_urls, domain_tier, url_host
+from sentinela.operators import facts as fa
+from sentinela.operators import grounding as g
 from sentinela.operators import metrics as m
+from sentinela.operators import quality as q
+from sentinela.operators import sanitize as sa
 from sentinela.operators import series as s
+from sentinela.plans import audit, report
+from sentinela.session import spread
+from sentinela.sources import cases as c
+from sentinela.sources import news as n
+from sentinela.sources import snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -74,3 +88,224 @@ def daily_cases(spark, sf_dir):
 @query
 def monthly_cases(spark, sf_dir):
     return s.monthly_cases(a.srag(spark, sf_dir), "1999-12-17")
+
+
+@query
+def series_by_period(spark, sf_dir):
+    return report.series_by_end(a.srag(spark, sf_dir), a.runs(spark, sf_dir))
+
+
+@query
+def series_status(spark, sf_dir):
+    """Series of a window with cases and of one after the last case."""
+    cases = a.srag(spark, sf_dir)
+    full = s.series_status(s.daily_cases(cases, a.END_DATE)).withColumn("window", F.lit("full"))
+    return full.unionByName(s.series_status(s.daily_cases(cases, "2020-01-01")).withColumn("window", F.lit("empty")))
+
+
+@query
+def local_day_counts(spark, sf_dir):
+    day = d.local_date(F.col("ts")).alias("day")
+    return a.read(spark, sf_dir, "events").groupBy(day).agg(F.count(F.lit(1)).alias("events"))
+
+
+@query
+def clean_cases(spark, sf_dir):
+    return c.clean_cases(a.raw_cases(spark, sf_dir))
+
+
+@query
+def exclusion_log(spark, sf_dir):
+    return q.exclusion_log(a.raw_cases(spark, sf_dir))
+
+
+@query
+def malformed_values(spark, sf_dir):
+    raw = a.raw_cases(spark, sf_dir)
+    return c.malformed_values(raw.withColumn("DT_NOTIFIC", F.replace("DT_NOTIFIC", F.lit("-02-"), F.lit("/02/"))))
+
+
+@query
+def source_files(spark, sf_dir):
+    return c.source_files(spark, f"{sf_dir}/*.parquet")
+
+
+@query
+def sync_actions(spark, sf_dir):
+    return snapshots.sync_actions(*a.manifests(spark, sf_dir))
+
+
+@query
+def number_tokens(spark, sf_dir):
+    texts = spread(a.narratives(spark, sf_dir))
+    return texts.select("narrative_id", F.inline(tokens_of(F.col("narrative"))))
+
+
+@query
+def canonical_numbers(spark, sf_dir):
+    """Prices and quantities of the line items spelled the Brazilian way and read back."""
+    price = F.translate(F.format_number("l_extendedprice", 2), ",.", ".,")
+    grouped = F.translate(F.format_number(F.col("l_orderkey") * 100 + F.col("l_linenumber"), 0), ",", ".")
+    rate = F.concat(F.translate(F.format_string("%.2f", F.col("l_discount")), ".", ","), F.lit("%"))
+    spelled = F.explode(F.array(price, grouped, rate, F.col("l_returnflag"), F.format_string("%.2f", F.col("l_tax"))))
+    lines = a.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", spelled.alias("raw"))
+    return lines.select("l_orderkey", "l_linenumber", "raw", parse_number(F.col("raw")).alias("value"))
+
+
+@query
+def allowed_values(spark, sf_dir):
+    return fa.allowed_values(a.facts(spark, sf_dir))
+
+
+@query
+def news_numbers(spark, sf_dir):
+    return g.news_numbers(spread(a.news(spark, sf_dir)))
+
+
+@query
+def numeric_mismatches(spark, sf_dir):
+    news = n.top_news(a.news(spark, sf_dir))
+    found = g.numeric_mismatches(spread(a.narratives(spark, sf_dir)), a.facts(spark, sf_dir), news)
+    nth = F.row_number().over(Window.partitionBy("narrative_id").orderBy("pos"))
+    return found.select("narrative_id", "report_id", nth.alias("nth"), "raw", "value")
+
+
+@query
+def source_mismatches(spark, sf_dir):
+    return g.source_mismatches(a.narratives(spark, sf_dir), n.top_news(a.news(spark, sf_dir)))
+
+
+@query
+def cited_url_counts(spark, sf_dir):
+    urls = a.narratives(spark, sf_dir).select(F.explode(cited_urls(F.col("narrative"))).alias("url"))
+    return urls.groupBy("url").agg(F.count(F.lit(1)).alias("narratives"))
+
+
+def _outcomes(spark, sf_dir):
+    news = n.top_news(a.news(spark, sf_dir))
+    return g.validate_narratives(spread(a.narratives(spark, sf_dir)), a.facts(spark, sf_dir), news)
+
+
+@query
+def narrative_outcome(spark, sf_dir):
+    diff = F.col("validation_diff")
+    return _outcomes(spark, sf_dir).select(
+        "narrative_id", "report_id", "validation_passed", "narrative_validated", "retry_count",
+        F.array_join(F.transform(diff["numeric_mismatches"], lambda m: m["raw"]), "|").alias("numbers"),
+        F.array_join(F.transform(diff["source_mismatches"], lambda m: m["cited"]), "|").alias("urls"),
+    )
+
+
+@query
+def injection_flags(spark, sf_dir):
+    news = spread(a.news(spark, sf_dir))
+    return news.select("report_id", "pos", is_injection(strip_markers(F.col("snippet"))).alias("flagged"))
+
+
+@query
+def injection_strip(spark, sf_dir):
+    news = spread(a.news(spark, sf_dir)).filter(is_injection(strip_markers(F.col("snippet"))))
+    return news.select("report_id", "pos", strip_injection(strip_markers(F.col("snippet"))).alias("text"))
+
+
+@query
+def sanitized_items(spark, sf_dir):
+    return sa.sanitize_items(spread(a.news(spark, sf_dir))).select("report_id", "pos", "flagged", "text")
+
+
+@query
+def sanitized_block(spark, sf_dir):
+    return sa.sanitized_blocks(n.top_news(a.news(spark, sf_dir)))
+
+
+@query
+def content_blocks(spark, sf_dir):
+    return a.contents(spark, sf_dir).select("conv_id", "turn", content_text(F.col("content")).alias("text"))
+
+
+@query
+def news_items(spark, sf_dir):
+    return n.extract_news(a.responses(spark, sf_dir))
+
+
+@query
+def news_top5(spark, sf_dir):
+    return n.top_news(a.news(spark, sf_dir)).select("report_id", "pos", "rank", "title", "url")
+
+
+@query
+def news_availability(spark, sf_dir):
+    """One report per conversation; there are more of them than reports with news."""
+    reports = a.read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("report_id")).distinct()
+    return n.news_availability(reports, n.extract_news(a.responses(spark, sf_dir)))
+
+
+@query
+def domain_tiers(spark, sf_dir):
+    pages = a.read(spark, sf_dir, "pages").withColumn("host", url_host(F.col("url")))
+    return pages.select("page_id", "host", domain_tier(F.col("host"), a.DOMAINS).alias("m")).select(
+        "page_id", "host", "m.domain", "m.tier"
+    )
+
+
+@query
+def search_queries(spark, sf_dir):
+    wide = fa.wide_facts(a.facts(spark, sf_dir))
+    years = [d.year_from_period(F.col(k)["period"]) for k in ("case_growth_rate", "mortality_rate", "uti_admission_rate")]
+    year = d.report_year(years, [])
+    return wide.select("report_id", year.alias("year"), d.search_query(year).alias("query"))
+
+
+@query
+def metric_table_rows(spark, sf_dir):
+    return report.metric_tables(a.facts(spark, sf_dir))
+
+
+@query
+def prompt_rows(spark, sf_dir):
+    news = n.top_news(a.news(spark, sf_dir))
+    available = n.news_availability(a.periods(spark, sf_dir), news)
+    return report.prompts(a.facts(spark, sf_dir), sa.sanitized_blocks(news), available)
+
+
+@query
+def sources_list(spark, sf_dir):
+    return report.source_lists(n.top_news(a.news(spark, sf_dir)))
+
+
+def _first_outcomes(spark, sf_dir):
+    """The outcome of each report's first narrative."""
+    outcomes = _outcomes(spark, sf_dir)
+    first = F.min_by(F.struct(*outcomes.columns[2:]), "narrative_id")
+    return outcomes.groupBy("report_id").agg(first.alias("o")).select("report_id", "o.*")
+
+
+@query
+def report_text(spark, sf_dir):
+    cases, runs = a.srag(spark, sf_dir), a.runs(spark, sf_dir)
+    return report.render_reports(
+        runs, a.facts(spark, sf_dir), _first_outcomes(spark, sf_dir), n.top_news(a.news(spark, sf_dir)),
+        report.series_by_end(cases, runs),
+    )
+
+
+@query
+def audit_rows(spark, sf_dir):
+    runs = a.runs(spark, sf_dir).select(
+        "*", F.struct(F.lit("pinned_snapshot").alias("action")).alias("data_check_result"),
+        F.struct("pii_stripped", "columns_not_found").alias("exclusion_log"),
+        F.create_map(F.lit("daily_cases"), F.lit("daily")).alias("chart_paths"),
+    )
+    outcomes = _first_outcomes(spark, sf_dir).withColumn("narrative", F.col("narrative_validated"))
+    blocks = sa.sanitized_blocks(n.top_news(a.news(spark, sf_dir)))
+    records = audit.audit_records(runs, a.facts(spark, sf_dir), outcomes, blocks)
+    m = F.col("metrics")
+    return records.select(
+        "run_id", "timestamp", "data_mode", "source_csv_hash", "source_extraction_date", "news_source", "news_flagged",
+        "retry_count", "validation_passed", "error",
+        F.col("data_check_result.action").alias("sync_action"),
+        F.array_join("exclusion_log.columns_not_found", ",").alias("columns_not_found"),
+        m["case_growth_rate"]["value"].alias("growth"), m["mortality_rate"]["numerator"].alias("deaths"),
+        m["uti_admission_rate"]["period"].alias("period"), m["vaccination_coverage"]["value"]["flu"].alias("flu"),
+        m["vaccination_coverage"]["definition_ref"].alias("definition_ref"),
+    )

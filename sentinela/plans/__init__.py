@@ -1 +1 @@
-"""Report and audit assembly."""
+"""Report, prompt and audit assembly: one row per report."""

@@ -23,7 +23,7 @@ def extract_news(responses: DataFrame) -> DataFrame:
     Entries that are no objects are skipped; a response whose `results` is no list gives no rows.
     """
     results = F.try_variant_get(F.try_parse_json("response"), "$.results", "variant")
-    listed = F.when(F.schema_of_variant(results).startswith("ARRAY"), results.try_cast("array<variant>"))
+    listed = F.when(F.schema_of_variant(results).startswith("ARRAY"), F.try_variant_get(results, "$", "array<variant>"))
     keep = [c for c in responses.columns if c != "response"]
     entries = responses.select(*keep, F.posexplode(listed).alias("entry_pos", "entry"))
     objects = entries.filter(F.schema_of_variant("entry").startswith("OBJECT"))
