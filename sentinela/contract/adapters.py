@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sentinela.operators.metrics import metrics_by_period
+from sentinela.session import spread
 
 END_DATE = "2000-01-01"
 START_DATE = "1999-01-01"
@@ -90,7 +91,7 @@ FROM (SELECT report_id, pos,
 
 # One narrative per document: a paragraph on its report's figures, some of them wrong, and the whole text.
 NARRATIVES = """
-SELECT doc_id AS narrative_id, wide.report_id, CAST(doc_id % 4 AS INT) AS retry_count,
+SELECT doc_id AS narrative_id, CAST(floor(doc_id / 20) AS BIGINT) AS report_id, CAST(doc_id % 4 AS INT) AS retry_count,
        CASE WHEN growth IS NULL THEN 'Sem base de comparação.'
             WHEN doc_id % 8 = 2 THEN 'Houve variação de ' || CASE WHEN growth < 0 THEN '-' ELSE '' END || growth_text || '% nos casos.'
             ELSE 'Houve ' || CASE WHEN (growth < 0) <> (doc_id % 4 = 1) THEN 'queda' ELSE 'aumento' END
@@ -108,7 +109,7 @@ SELECT doc_id AS narrative_id, wide.report_id, CAST(doc_id % 4 AS INT) AS retry_
        || CASE WHEN doc_id % 5 = 0 THEN ' Fonte: https://falso.example/' || CAST(doc_id AS STRING) || '/.' ELSE '' END
        || ' ' || text AS narrative
 FROM {documents}
-JOIN (SELECT report_id, growth, deaths, resolved,
+LEFT JOIN (SELECT report_id, growth, deaths, resolved,
              replace(CAST(CAST(abs(growth) AS DECIMAL(14, 2)) AS STRING), '.', ',') AS growth_text,
              replace(CAST(CAST(mortality AS DECIMAL(14, 4)) AS STRING), '.', ',') AS mortality_text,
              replace(CAST(CAST(covid * 100 AS DECIMAL(14, 2)) AS STRING), '.', ',') AS covid_text
@@ -120,7 +121,7 @@ JOIN (SELECT report_id, growth, deaths, resolved,
                    max(CASE WHEN component = 'covid' THEN value END) AS covid
             FROM {facts} GROUP BY report_id) AS by_report) AS wide
   ON wide.report_id = CAST(floor(doc_id / 20) AS BIGINT)
-LEFT JOIN {pages} ON page_id = wide.report_id * 5
+LEFT JOIN {pages} ON page_id = CAST(floor(doc_id / 20) AS BIGINT) * 5
 """
 
 # Model answers as plain text, as a list of blocks, or as a list with a bare string in it.
@@ -191,6 +192,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores: the work on them is on the text of each row."""
+    return spread(read(spark, sf_dir, "documents"))
+
+
 def run(spark: SparkSession, statement: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(statement, **tables)
 
@@ -218,8 +224,7 @@ def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: read(spark, sf_dir, t) for t in ("documents", "pages")}
-    return run(spark, NEWS, **tables)
+    return run(spark, NEWS, documents=texts(spark, sf_dir), pages=read(spark, sf_dir, "pages"))
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,8 +236,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: read(spark, sf_dir, t) for t in ("documents", "pages")}
-    return run(spark, NARRATIVES, facts=facts(spark, sf_dir), **tables)
+    return run(
+        spark, NARRATIVES, facts=facts(spark, sf_dir), documents=texts(spark, sf_dir), pages=read(spark, sf_dir, "pages")
+    )
 
 
 def contents(spark: SparkSession, sf_dir: str) -> DataFrame:

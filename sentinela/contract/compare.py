@@ -36,14 +36,14 @@ def _plain(value):
     return value
 
 
-def differences(spark_df, con, sql: str, show: int = 3) -> list[str]:
-    """Empty when both sides hold the same columns, types and rows, in any row order."""
+def differences(spark_df, con, sql: str, show: int = 3) -> tuple[int, list[str]]:
+    """Row count and differences; none when both sides hold the same columns, types and rows, in any order."""
     cursor = con.execute(sql)
     names = [d[0] for d in cursor.description]
     types = {d[0]: str(d[1]) for d in cursor.description}
     ours = spark_df.columns
     if sorted(ours) != sorted(names):
-        return [f"columns {sorted(ours)} against {sorted(names)}"]
+        return 0, [f"columns {sorted(ours)} against {sorted(names)}"]
     order = sorted(ours)
     want = Counter(tuple(_plain(r[names.index(c)]) for c in order) for r in cursor.fetchall())
     have = Counter(tuple(_plain(r[c]) for c in order) for r in spark_df.collect())
@@ -56,4 +56,4 @@ def differences(spark_df, con, sql: str, show: int = 3) -> list[str]:
     if missing or extra:
         found.append(f"{sum(have.values())} rows against {sum(want.values())}; {sum(extra.values())} differ, {order}")
         found += [f"  ours {r}" for r in list(extra)[:show]] + [f"  SQL  {r}" for r in list(missing)[:show]]
-    return found
+    return sum(have.values()), found

@@ -20,7 +20,6 @@ from sentinela.operators import quality as q
 from sentinela.operators import sanitize as sa
 from sentinela.operators import series as s
 from sentinela.plans import audit, report
-from sentinela.session import spread
 from sentinela.sources import cases as c
 from sentinela.sources import news as n
 from sentinela.sources import snapshots
@@ -137,7 +136,7 @@ def sync_actions(spark, sf_dir):
 
 @query
 def number_tokens(spark, sf_dir):
-    texts = spread(a.narratives(spark, sf_dir))
+    texts = a.narratives(spark, sf_dir)
     return texts.select("narrative_id", F.inline(tokens_of(F.col("narrative"))))
 
 
@@ -159,13 +158,13 @@ def allowed_values(spark, sf_dir):
 
 @query
 def news_numbers(spark, sf_dir):
-    return g.news_numbers(spread(a.news(spark, sf_dir)))
+    return g.news_numbers(a.news(spark, sf_dir))
 
 
 @query
 def numeric_mismatches(spark, sf_dir):
     news = n.top_news(a.news(spark, sf_dir))
-    found = g.numeric_mismatches(spread(a.narratives(spark, sf_dir)), a.facts(spark, sf_dir), news)
+    found = g.numeric_mismatches(a.narratives(spark, sf_dir), a.facts(spark, sf_dir), news)
     nth = F.row_number().over(Window.partitionBy("narrative_id").orderBy("pos"))
     return found.select("narrative_id", "report_id", nth.alias("nth"), "raw", "value")
 
@@ -183,7 +182,7 @@ def cited_url_counts(spark, sf_dir):
 
 def _outcomes(spark, sf_dir):
     news = n.top_news(a.news(spark, sf_dir))
-    return g.validate_narratives(spread(a.narratives(spark, sf_dir)), a.facts(spark, sf_dir), news)
+    return g.validate_narratives(a.narratives(spark, sf_dir), a.facts(spark, sf_dir), news)
 
 
 @query
@@ -198,19 +197,19 @@ def narrative_outcome(spark, sf_dir):
 
 @query
 def injection_flags(spark, sf_dir):
-    news = spread(a.news(spark, sf_dir))
+    news = a.news(spark, sf_dir)
     return news.select("report_id", "pos", is_injection(strip_markers(F.col("snippet"))).alias("flagged"))
 
 
 @query
 def injection_strip(spark, sf_dir):
-    news = spread(a.news(spark, sf_dir)).filter(is_injection(strip_markers(F.col("snippet"))))
+    news = a.news(spark, sf_dir).filter(is_injection(strip_markers(F.col("snippet"))))
     return news.select("report_id", "pos", strip_injection(strip_markers(F.col("snippet"))).alias("text"))
 
 
 @query
 def sanitized_items(spark, sf_dir):
-    return sa.sanitize_items(spread(a.news(spark, sf_dir))).select("report_id", "pos", "flagged", "text")
+    return sa.sanitize_items(a.news(spark, sf_dir)).select("report_id", "pos", "flagged", "text")
 
 
 @query

@@ -6,6 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def round_exact_sql(value: str, digits: int) -> str:
+    """`round_exact` as SQL text."""
+    half = 5 / 10 ** (digits + 1)
+    return (
+        f"(CASE WHEN abs({value}) = {half!r}D THEN signum({value}) * {round(half, digits)!r}D "
+        f"ELSE CAST(replace(format_number({value}, {digits}), ',', '') AS DOUBLE) END + 0.0D)"
+    )
+
+
 def round_exact(value: Column, digits: int) -> Column:
     """Nearest decimal of `digits` places to the exact binary value; exact ties go to even.
 

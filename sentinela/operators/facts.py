@@ -21,25 +21,25 @@ def wide_facts(metrics: DataFrame, key: str = "report_id") -> DataFrame:
     The registry fixes the number of columns, and `max` combines on the map side, so a report repeated a
     million times in the input still is one small row per task.
     """
-    part = F.struct("computable", "value", "numerator", "denominator", "period")
+    part = "struct(computable, value, numerator, denominator, period)"
     return metrics.groupBy(key).agg(*[
-        F.max(F.when((F.col("metric_key") == k) & (F.col("component") == c), part)).alias(name)
+        F.expr(f"max(CASE WHEN metric_key = '{k}' AND component = '{c}' THEN {part} END)").alias(name)
         for name, (k, c) in SLOTS.items()
     ])
 
 
-def allowed_numbers(names: list[str] | None = None) -> Column:
+def allowed_numbers() -> Column:
     """Distinct values a narrative may state, from a row of wide facts.
 
     Value, numerator and denominator of each computable metric; a proportion also as a percentage.
     """
     numbers = []
-    for name in names or list(SLOTS):
-        fact = F.col(name)
+    for name in SLOTS:
         for field in ("value", "numerator", "denominator"):
-            number = F.when(fact["computable"], fact[field].cast("double"))
-            numbers += [number, F.when((number != 0) & (F.abs(number) < 1), number * 100)]
-    return F.array_distinct(F.filter(F.array(*numbers), lambda v: v.isNotNull()))
+            number = f"CAST({name}.{field} AS DOUBLE)"
+            voiced = f"CASE WHEN {number} <> 0 AND abs({number}) < 1 THEN {number} * 100 END"
+            numbers += [f"CASE WHEN {name}.computable THEN {n} END" for n in (number, voiced)]
+    return F.expr(f"array_distinct(array_compact(array({', '.join(numbers)})))")
 
 
 def allowed_values(metrics: DataFrame, key: str = "report_id") -> DataFrame:

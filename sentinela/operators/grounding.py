@@ -51,22 +51,29 @@ def _unsupported(tokens: Column, allowed: Column) -> Column:
     )
 
 
-def _number_candidates(narratives: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Narratives with `candidates`: their numbers that the report's metrics do not support.
+def _with_allowed(narratives: DataFrame, metrics: DataFrame) -> DataFrame:
+    """Narratives with `allowed`, the values their report's metrics let them state.
 
     A report's allowed values are a row of at most fifty numbers, so narratives meet them in one equality
     join on the report and no token is compared with another report's values. If one report holds a large
     share of the narratives, the adaptive skew join splits its side.
     """
     allowed = wide_facts(metrics).select("report_id", allowed_numbers().alias("allowed"))
-    return narratives.join(allowed, "report_id", "left").withColumn(
-        "candidates", _unsupported(number_tokens(F.col("narrative")), F.col("allowed"))
-    )
+    return narratives.join(allowed, "report_id", "left")
+
+
+def _candidates() -> Column:
+    """The numbers of `narrative` that `allowed` does not support.
+
+    Always given to a generator as an expression, never through a column of its own: Spark would add a filter
+    on such a column, push it down and evaluate the expression once more for it.
+    """
+    return _unsupported(number_tokens(F.col("narrative")), F.col("allowed"))
 
 
 def numeric_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame) -> DataFrame:
     """Numbers supported by neither metrics nor news: (narrative_id, report_id, pos, raw, value)."""
-    found = _number_candidates(narratives, metrics).select("narrative_id", "report_id", F.inline("candidates"))
+    found = _with_allowed(narratives, metrics).select("narrative_id", "report_id", F.inline(_candidates()))
     return found.select("narrative_id", "report_id", "pos", "raw", "value").join(
         news_numbers(news), ["report_id", "value"], "left_anti"
     )
@@ -82,14 +89,14 @@ def source_mismatches(narratives: DataFrame, news: DataFrame) -> DataFrame:
 def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame) -> DataFrame:
     """Numbers and URLs to verify and what the news knows, as one kind of key, in a single anti-join."""
     number_claim = F.transform(
-        F.col("candidates"),
+        _candidates(),
         lambda t: F.struct(t["pos"].alias("pos"), t["raw"].alias("raw"), t["value"].alias("value"), F.lit("").alias("url")),
     )
     url_claim = F.transform(
         cited_urls(F.col("narrative")),
         lambda u: F.struct(F.lit(-1).alias("pos"), F.lit("").alias("raw"), F.lit(0.0).alias("value"), u.alias("url")),
     )
-    claims = _number_candidates(narratives, metrics).select(
+    claims = _with_allowed(narratives, metrics).select(
         "narrative_id", "report_id", F.inline(F.concat(number_claim, url_claim))
     )
     numbers = F.transform(

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.functions.dates import ordered_period, period_text
-from sentinela.functions.rounding import round_exact
+from sentinela.functions.rounding import round_exact_sql
 from sentinela.schema import (
     GROWTH_DAYS,
     GROWTH_DIGITS,
@@ -70,11 +70,12 @@ def _missing(metric_key: str, columns: Sequence[str]) -> bool:
     return any(c not in columns for c in METRICS[metric_key]["needs"])
 
 
-def _ratio_value(metric_key: str, numerator: Column, denominator: Column) -> Column:
+def _ratio_value(metric_key: str, numerator: str, denominator: str) -> str:
+    ratio = f"({numerator}) / nullif({denominator}, 0)"
     if metric_key == "case_growth_rate":
-        exact = (numerator - denominator) / F.nullif(denominator, F.lit(0)) * F.lit(100)
-        return F.when(denominator > 0, round_exact(exact, GROWTH_DIGITS))
-    return F.when(denominator > 0, round_exact(numerator / F.nullif(denominator, F.lit(0)), RATE_DIGITS))
+        ratio = f"({numerator} - {denominator}) / nullif({denominator}, 0) * 100"
+    digits = GROWTH_DIGITS if metric_key == "case_growth_rate" else RATE_DIGITS
+    return f"CASE WHEN {denominator} > 0 THEN {round_exact_sql(ratio, digits)} END"
 
 
 def to_long(
@@ -85,25 +86,17 @@ def to_long(
     Metrics in `skip`, and counts that are NULL, give the fallback row: no value, 0 of 0.
     """
     rows = []
-    for position, ((key, component), (num, den)) in enumerate(RATIOS.items()):
-        usable = key not in skip
-        numerator = F.coalesce(F.col(num), F.lit(0)).cast("long") if usable else F.lit(0).cast("long")
-        denominator = F.coalesce(F.col(den), F.lit(0)).cast("long") if usable else F.lit(0).cast("long")
-        value = _ratio_value(key, numerator, denominator)
+    for position, ((key, component), pair) in enumerate(RATIOS.items()):
+        num, den = (f"coalesce({c}, 0L)" if key not in skip else "0L" for c in pair)
+        value = _ratio_value(key, num, den)
+        span = "growth_period" if key == "case_growth_rate" else "period"
         rows.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                F.lit(key).alias("metric_key"),
-                F.lit(component).alias("component"),
-                value.alias("value"),
-                value.isNotNull().alias("computable"),
-                numerator.alias("numerator"),
-                denominator.alias("denominator"),
-                (growth_period if key == "case_growth_rate" else period).alias("period"),
-                F.lit(definition_ref(key)).alias("definition_ref"),
-            )
+            f"named_struct('position', {position}, 'metric_key', '{key}', 'component', '{component}', 'value', {value}, "
+            f"'computable', {den} > 0, 'numerator', {num}, 'denominator', {den}, 'period', {span}, "
+            f"'definition_ref', '{definition_ref(key)}')"
         )
-    return counts.select(*keep, F.inline(F.array(*rows)))
+    spanned = counts.withColumns({"period": period, "growth_period": growth_period})
+    return spanned.selectExpr(*keep, f"inline(array({', '.join(rows)}))")
 
 
 def _counted(name: str, columns: Sequence[str], inside: Column | None = None) -> Column:

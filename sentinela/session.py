@@ -26,7 +26,8 @@ def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy text work on an input with fewer scan tasks than cores.
 
     A file with a single row group is one scan task whatever its size. Large inputs have far more
-    tasks than cores, and then nothing is shuffled.
+    tasks than cores, and then nothing is shuffled. Meant for a table as read: counting the tasks of a
+    DataFrame with joins would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
