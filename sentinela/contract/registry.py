@@ -181,8 +181,7 @@ def cited_url_counts(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir):
-    news = n.top_news(a.news(spark, sf_dir))
-    return g.validate_narratives(a.narratives(spark, sf_dir), a.facts(spark, sf_dir), news)
+    return g.validate_narratives(a.narratives(spark, sf_dir), a.facts(spark, sf_dir), a.news(spark, sf_dir))
 
 
 @query

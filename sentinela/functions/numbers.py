@@ -155,7 +155,7 @@ def number_tokens(text: Column) -> Column:
             value = parse_number(t["raw"])
             return F.struct(
                 t["raw"].alias("raw"),
-                F.when(t["before"].endswith("-"), -value).otherwise(value).alias("value"),
+                F.when(t["before"].endswith("-"), F.lit(0.0) - value).otherwise(value).alias("value"),
                 t["start"].alias("start"), F.lower(t["before"]).alias("context"), t["after"].alias("after"),
             )
 

@@ -14,7 +14,8 @@ from sentinela.functions.numbers import number_tokens
 from sentinela.functions.text import strip_mismatches
 from sentinela.functions.urls import cited_urls, normalize_url
 from sentinela.operators.facts import allowed_numbers, wide_facts
-from sentinela.schema import MAX_ATTEMPTS
+from sentinela.schema import MAX_ATTEMPTS, MAX_NEWS_ITEMS
+from sentinela.sources.news import top_news
 
 NOTICE = "\n\n> ⚠️ Narrativa parcialmente validada — consulte a tabela de métricas oficiais."
 
@@ -110,26 +111,66 @@ def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame)
     return claims.join(facts, ["report_id", "value", "url"], "left_anti")
 
 
-def validate_narratives(narratives: DataFrame, metrics: DataFrame, news: DataFrame) -> DataFrame:
-    """Outcome per narrative: passed, to be retried, or published with its unsupported claims taken out.
+def _checked_by_report(narratives: DataFrame, metrics: DataFrame, news: DataFrame) -> DataFrame:
+    """Narratives with their unsupported `numbers` and `urls`, decided within each row.
+
+    What a report's few items state is one row per report, so the narratives are read once, meet their
+    report in equality joins on the same key, and are never gathered again.
+    """
+    values = F.transform(number_tokens(_news_blob(news)), lambda t: t["value"])
+    known = news.groupBy("report_id").agg(
+        F.array_distinct(F.flatten(F.collect_list(values))).alias("known_numbers"),
+        F.collect_set(F.when(F.col("url") != "", normalize_url(F.col("url")))).alias("known_urls"),
+    )
+    no_numbers, no_urls = F.array().cast("array<double>"), F.array().cast("array<string>")
+    joined = _with_allowed(narratives, metrics).join(known, "report_id", "left").withColumns({
+        "known_numbers": F.coalesce("known_numbers", no_numbers), "known_urls": F.coalesce("known_urls", no_urls),
+    })
+    unsupported = F.filter(_candidates(), lambda t: ~F.array_contains(F.col("known_numbers"), t["value"]))
+    return joined.select(
+        *narratives.columns,
+        F.transform(unsupported, lambda t: F.struct(t["raw"].alias("raw"), t["value"].alias("value"))).alias("numbers"),
+        F.array_except(cited_urls(F.col("narrative")), F.col("known_urls")).alias("urls"),
+    )
+
+
+def _checked_by_claim(narratives: DataFrame, metrics: DataFrame, news: DataFrame) -> DataFrame:
+    """The same for reports with any number of items: claims are anti-joined, gathered and joined back.
 
-    The mismatches of one narrative are no more than its own numbers and URLs; they are gathered by the
-    narrative's id and joined back to it once.
+    What is gathered is one narrative's own numbers and URLs, by its id.
     """
-    found = _all_mismatches(narratives, metrics, news)
-    number = F.struct("pos", "raw", "value")
-    gathered = found.groupBy("narrative_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("url") == "", number))).alias("numbers"),
+    gathered = _all_mismatches(narratives, metrics, news).groupBy("narrative_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("url") == "", F.struct("pos", "raw", "value")))).alias("found"),
         F.array_sort(F.collect_list(F.when(F.col("url") != "", F.col("url")))).alias("urls"),
     )
-    passed = F.col("numbers").isNull()
+    numbers = F.transform("found", lambda n: F.struct(n["raw"].alias("raw"), n["value"].alias("value")))
+    return narratives.join(gathered, "narrative_id", "left").select(
+        *narratives.columns,
+        F.coalesce(numbers, F.array().cast("array<struct<raw:string,value:double>>")).alias("numbers"),
+        F.coalesce("urls", F.array().cast("array<string>")).alias("urls"),
+    )
+
+
+def validate_narratives(
+    narratives: DataFrame, metrics: DataFrame, news: DataFrame, limit: int | None = MAX_NEWS_ITEMS
+) -> DataFrame:
+    """Outcome per narrative: passed, to be retried, or published with its unsupported claims taken out.
+
+    `limit` is the number of items a report's search returns, in order of `pos`. With None every item of
+    `news` counts, however many a report has.
+    """
+    if limit is None:
+        checked = _checked_by_claim(narratives, metrics, news)
+    else:
+        checked = _checked_by_report(narratives, metrics, top_news(news, limit))
+    passed = (F.size("numbers") == 0) & (F.size("urls") == 0)
     attempts = F.col("retry_count") + F.lit(1)
     cleaned = strip_mismatches(F.col("narrative"), F.transform("numbers", lambda n: n["raw"]), F.col("urls"))
     diff = F.struct(
-        F.transform("numbers", lambda n: F.struct(n["raw"].alias("raw"), n["value"].alias("value"))).alias("numeric_mismatches"),
+        F.col("numbers").alias("numeric_mismatches"),
         F.transform("urls", lambda u: F.struct(u.alias("cited"), F.lit("url").alias("type"))).alias("source_mismatches"),
     )
-    return narratives.join(gathered, "narrative_id", "left").select(
+    return checked.select(
         "narrative_id", "report_id",
         passed.alias("validation_passed"),
         F.when(passed, F.col("narrative")).when(attempts >= MAX_ATTEMPTS, F.concat(cleaned, F.lit(NOTICE)))

@@ -1,5 +1,7 @@
 """Narratives against metrics and news; every case is one report of a single DataFrame."""
 
+import pytest
+
 from sentinela.operators import grounding as g
 
 FALL = {"case_growth_rate": [("", -78.12, 7, 32)]}
@@ -68,9 +70,10 @@ def test_mismatches(spark):
         assert (numbers.get(i, []), urls.get(i, [])) == (raws, cited), text
 
 
-def test_outcome_agrees_with_the_mismatches(spark):
+@pytest.mark.parametrize("limit", [5, None])
+def test_outcome_agrees_with_the_mismatches(spark, limit):
     narratives, metrics, news = frames(spark, CASES)
-    for r in g.validate_narratives(narratives, metrics, news).collect():
+    for r in g.validate_narratives(narratives, metrics, news, limit).collect():
         text, _, _, raws, cited = CASES[r.narrative_id]
         retry = r.narrative_id % 4
         if not raws and not cited:
@@ -87,11 +90,12 @@ def test_outcome_agrees_with_the_mismatches(spark):
             assert not any(c in r.narrative_validated for c in cited)
 
 
-def test_cleaned_text(spark):
+@pytest.mark.parametrize("limit", [5, None])
+def test_cleaned_text(spark, limit):
     cases = [("A taxa foi de 99.9%.  Fonte: https://falso.example/x/. E 199.9%, 99.9% e\n\n\n\n99.9 fim", {}, [], [], [])]
     narratives, metrics, news = frames(spark, cases)
     narratives = narratives.withColumn("retry_count", narratives.retry_count + 3)
-    row = g.validate_narratives(narratives, metrics, news).first()
+    row = g.validate_narratives(narratives, metrics, news, limit).first()
     assert row.narrative_validated == "A taxa foi de . Fonte: /. E , e\n\n fim" + g.NOTICE
 
 
