@@ -20,6 +20,7 @@ from sentinela.operators import quality as q
 from sentinela.operators import sanitize as sa
 from sentinela.operators import series as s
 from sentinela.plans import audit, report
+from sentinela.session import spread
 from sentinela.sources import cases as c
 from sentinela.sources import news as n
 from sentinela.sources import snapshots
@@ -147,7 +148,7 @@ def canonical_numbers(spark, sf_dir):
     grouped = F.translate(F.format_number(F.col("l_orderkey") * 100 + F.col("l_linenumber"), 0), ",", ".")
     rate = F.concat(F.translate(F.format_string("%.2f", F.col("l_discount")), ".", ","), F.lit("%"))
     spelled = F.explode(F.array(price, grouped, rate, F.col("l_returnflag"), F.format_string("%.2f", F.col("l_tax"))))
-    lines = a.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", spelled.alias("raw"))
+    lines = spread(a.read(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", spelled.alias("raw"))
     return lines.select("l_orderkey", "l_linenumber", "raw", parse_number(F.col("raw")).alias("value"))
 
 

@@ -27,7 +27,7 @@ IMMEDIATE = rf"(?sU)\b({_ANY_WORD})(?:\s+\w+){{0,6}}\s+de\s*\z"
 
 def _is_decrease(word: Column) -> Column:
     """True, False, or NULL where there is no word."""
-    return F.when(word != "", word.isin(DECREASE_WORDS))
+    return F.nullif(word, F.lit("")).isin(DECREASE_WORDS)
 
 
 def nearby_decrease(context: Column) -> Column:
@@ -46,14 +46,17 @@ def within_tolerance(value: Column, allowed: Column) -> Column:
     return F.abs(value - allowed) / scale <= TOLERANCE
 
 
-def is_grounded(value: Column, allowed: Column, nearby: Column, immediate: Column) -> Column:
+def is_grounded(value: Column, allowed: Column, context: Column) -> Column:
     """Whether a figure states an allowed value, sign and wording included.
 
     A figure equal in sign and size must not stand next to a word of the other direction. One equal in size
-    only must be tied to a word that gives it the allowed value's sign.
+    only must be tied to a word that gives it the allowed value's sign. The words are looked for only where
+    the sizes agree.
     """
     falls = allowed < 0
-    return F.when(within_tolerance(value, allowed), nearby.isNull() | (nearby == falls)).otherwise(
+    return F.when(
+        within_tolerance(value, allowed), F.coalesce(nearby_decrease(context) == falls, F.lit(True))
+    ).otherwise(
         (value != 0) & (allowed != 0) & within_tolerance(F.abs(value), F.abs(allowed))
-        & F.coalesce(immediate == falls, F.lit(False))
+        & F.coalesce(immediate_decrease(context) == falls, F.lit(False))
     )

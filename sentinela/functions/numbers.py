@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sentinela.functions.let import let
+from sentinela.functions.text import strip_space
 
 # One number token with at most one separator group, no digit on either side. A run of digits
 # always matches from its first digit, so nothing need be said about the character before.
@@ -81,14 +83,21 @@ def parse_number(text: Column) -> Column:
     One trailing percent sign is ignored. With a comma, dots group thousands and the comma is the decimal
     mark. Without one, `7.485` is a grouped count unless it starts with a lone zero.
     """
-    trimmed = F.regexp_replace(_ascii_digits(text), r"(?U)^\s+|\s+\z", "")
-    bare = F.regexp_replace(trimmed, r"%\z", "")
-    plain = (
+    def value(trimmed: Column) -> Column:
+        bare = F.when(trimmed.endswith("%"), F.left(trimmed, F.length(trimmed) - 1)).otherwise(trimmed)
+        return let(let(bare, _plain_spelling), lambda n: F.when(n.rlike(DECIMAL), n.try_cast("double")))
+
+    return let(strip_space(_ascii_digits(text)), value)
+
+
+def _plain_spelling(bare: Column) -> Column:
+    """A number without its percent sign, with a decimal point and no grouping."""
+    grouped = bare.contains(".") & ~bare.startswith("0.") & bare.rlike(THOUSANDS)
+    return (
         F.when(bare.contains(","), F.translate(bare, ",.", "."))
-        .when(bare.rlike(THOUSANDS) & ~bare.startswith("0."), F.replace(bare, F.lit("."), F.lit("")))
+        .when(grouped, F.replace(bare, F.lit("."), F.lit("")))
         .otherwise(bare)
     )
-    return F.when(plain.rlike(DECIMAL), plain.try_cast("double"))
 
 
 def _word_list(words: list[str]) -> Column:
@@ -127,35 +136,48 @@ def number_tokens(text: Column) -> Column:
     def cut(parts: Column) -> Column:
         raws, gaps, near = parts["raws"], parts["gaps"], parts["near"]
 
-        def around(i: Column) -> Column:
-            # Two neighbouring pieces hold two characters at least, so 25 pairs cover the context.
-            first = F.greatest(i - 25, F.lit(0))
-            pairs = F.transform(
-                F.sequence(first, i), lambda j: F.concat(F.get(near, j), F.when(j < i, F.get(raws, j)).otherwise(""))
+        def joined(i: Column, pairs: int) -> Column:
+            """Up to 48 characters before token `i`, from as many (gap, token) pairs and the gap at the token."""
+            pieces = F.transform(
+                F.sequence(F.greatest(i - pairs, F.lit(0)), i),
+                lambda j: F.concat(F.get(near, j), F.when(j < i, F.get(raws, j)).otherwise("")),
             )
-            before = F.right(F.array_join(pairs, ""), F.lit(CONTEXT_CHARS))
+            return F.right(F.array_join(pieces, ""), F.lit(CONTEXT_CHARS))
+
+        def before_token(i: Column) -> Column:
+            # Mostly the gap alone, or two pairs with it, is long enough. A pair holds two characters at
+            # least, so 25 of them always are.
+            def widen(text: Column, pairs: int, wider: Callable[[], Column]) -> Column:
+                return F.when((i <= pairs) | (F.length(text) == CONTEXT_CHARS), text).otherwise(wider())
+
+            return widen(F.get(near, i), 0, lambda: let(joined(i, 2), lambda t: widen(t, 2, lambda: joined(i, 25))))
+
+        def around(i: Column) -> Column:
+            before = before_token(i)
             next_raw, later_raw = F.coalesce(F.get(raws, i + 1), F.lit("")), F.coalesce(F.get(raws, i + 2), F.lit(""))
             # A date or duration that follows can span one further number at most; the first character of
             # the one after that decides whether its last word ends there.
             after = F.concat(F.get(gaps, i + 1), next_raw, F.coalesce(F.get(gaps, i + 2), F.lit("")), F.left(later_raw, F.lit(1)))
             return F.struct(
-                F.get(raws, i).alias("raw"), before.alias("before"), after.alias("after"),
-                F.get(parts["starts"], i).alias("start"),
+                F.get(raws, i).alias("raw"), F.rtrim(_ascii_digits(F.get(raws, i)), F.lit("%")).alias("bare"),
+                before.alias("before"), after.alias("after"), F.get(parts["starts"], i).alias("start"),
             )
 
         def rest_of_text(t: Column) -> Column:
             return F.right(parts["text"], F.length(parts["text"]) - t["start"] - F.length(t["raw"]))
 
         def plain(t: Column) -> Column:
-            digits = _ascii_digits(t["raw"])
-            year = F.when(digits.rlike(r"^\d{4}\z"), digits.try_cast("int").between(YEAR_FIRST, YEAR_LAST)).otherwise(False)
+            bare = t["bare"]
+            whole = (F.length(bare) == 4) & ~t["raw"].endswith("%") & bare.rlike(r"^\d{4}\z")
+            year = F.when(whole, bare.try_cast("int").between(YEAR_FIRST, YEAR_LAST)).otherwise(False)
             return ~t["before"].rlike(r"(?:/|\p{L}-?)\z") & ~t["after"].rlike("^[/º]") & ~year
 
         def valued(t: Column) -> Column:
-            value = parse_number(t["raw"])
+            sign = F.when(t["before"].endswith("-"), F.lit("-")).otherwise("")
+            # Adding zero keeps a signed zero from being told apart from zero.
+            value = F.concat(sign, _plain_spelling(t["bare"])).try_cast("double") + F.lit(0.0)
             return F.struct(
-                t["raw"].alias("raw"),
-                F.when(t["before"].endswith("-"), F.lit(0.0) - value).otherwise(value).alias("value"),
+                t["raw"].alias("raw"), value.alias("value"),
                 t["start"].alias("start"), F.lower(t["before"]).alias("context"), t["after"].alias("after"),
             )
 

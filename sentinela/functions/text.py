@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column
@@ -28,14 +29,19 @@ BLOCK_START = "{{NEWS_CONTENT_START}}"
 BLOCK_END = "{{NEWS_CONTENT_END}}"
 
 
+# White space of every script, from the character properties.
+WHITE_SPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+
+
 def strip_space(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_injection(text: Column) -> Column:
     """Whether a text holds any of the phrases, in either language and any case."""
-    patterns = [f"(?iU){p}" for p in INJECTION_ENGLISH + INJECTION_PORTUGUESE]
-    return text.rlike("|".join(f"(?:{p})" for p in patterns))
+    # Every phrase starts at a word boundary, so that is tested once and not once per phrase.
+    phrases = [p.removeprefix(r"\b") for p in INJECTION_ENGLISH + INJECTION_PORTUGUESE]
+    return text.rlike(rf"(?iU)\b(?:{'|'.join(phrases)})")
 
 
 def strip_injection(text: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sentinela.functions.direction import immediate_decrease, is_grounded, nearby_decrease
+from sentinela.functions.direction import is_grounded
 from sentinela.functions.numbers import number_tokens
 from sentinela.functions.text import strip_mismatches
 from sentinela.functions.urls import cited_urls, normalize_url
@@ -40,15 +40,12 @@ def _unsupported(tokens: Column, allowed: Column) -> Column:
     numbered = F.transform(
         tokens,
         lambda t, i: F.struct(
-            i.alias("pos"), t["raw"].alias("raw"), t["value"].alias("value"),
-            nearby_decrease(t["context"]).alias("nearby"), immediate_decrease(t["context"]).alias("immediate"),
+            i.alias("pos"), t["raw"].alias("raw"), t["value"].alias("value"), t["context"].alias("context")
         ),
     )
     return F.filter(
         numbered,
-        lambda t: ~F.coalesce(
-            F.exists(allowed, lambda a: is_grounded(t["value"], a, t["nearby"], t["immediate"])), F.lit(False)
-        ),
+        lambda t: ~F.coalesce(F.exists(allowed, lambda a: is_grounded(t["value"], a, t["context"])), F.lit(False)),
     )
 
 
