@@ -214,7 +214,7 @@ def sanitized_items(spark, sf_dir):
 
 @query
 def sanitized_block(spark, sf_dir):
-    return sa.sanitized_blocks(n.top_news(a.news(spark, sf_dir)))
+    return sa.sanitized_blocks(a.news(spark, sf_dir))
 
 
 @query
@@ -262,14 +262,14 @@ def metric_table_rows(spark, sf_dir):
 
 @query
 def prompt_rows(spark, sf_dir):
-    news = n.top_news(a.news(spark, sf_dir))
+    news = a.news(spark, sf_dir)
     available = n.news_availability(a.periods(spark, sf_dir), news)
     return report.prompts(a.facts(spark, sf_dir), sa.sanitized_blocks(news), available)
 
 
 @query
 def sources_list(spark, sf_dir):
-    return report.source_lists(n.top_news(a.news(spark, sf_dir)))
+    return report.source_lists(a.news(spark, sf_dir))
 
 
 def _first_outcomes(spark, sf_dir):
@@ -283,7 +283,7 @@ def _first_outcomes(spark, sf_dir):
 def report_text(spark, sf_dir):
     cases, runs = a.srag(spark, sf_dir), a.runs(spark, sf_dir)
     return report.render_reports(
-        runs, a.facts(spark, sf_dir), _first_outcomes(spark, sf_dir), n.top_news(a.news(spark, sf_dir)),
+        runs, a.facts(spark, sf_dir), _first_outcomes(spark, sf_dir), a.news(spark, sf_dir),
         report.series_by_end(cases, runs),
     )
 
@@ -296,7 +296,7 @@ def audit_rows(spark, sf_dir):
         F.create_map(F.lit("daily_cases"), F.lit("daily")).alias("chart_paths"),
     )
     outcomes = _first_outcomes(spark, sf_dir).withColumn("narrative", F.col("narrative_validated"))
-    blocks = sa.sanitized_blocks(n.top_news(a.news(spark, sf_dir)))
+    blocks = sa.sanitized_blocks(a.news(spark, sf_dir))
     records = audit.audit_records(runs, a.facts(spark, sf_dir), outcomes, blocks)
     m = F.col("metrics")
     return records.select(

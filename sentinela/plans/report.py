@@ -13,7 +13,8 @@ from sentinela.functions.dates import day_label, month_label
 from sentinela.functions.display import metric_lines, prompt_lines, table_row
 from sentinela.operators.facts import wide_facts
 from sentinela.operators.metrics import day_counts
-from sentinela.schema import DAILY_WINDOW_DAYS, MONTHLY_WINDOW_DAYS
+from sentinela.schema import DAILY_WINDOW_DAYS, MAX_NEWS_ITEMS, MONTHLY_WINDOW_DAYS
+from sentinela.sources.news import top_news
 
 TITLE = "# Relatório de Vigilância SRAG\n"
 TABLE_HEAD = "## Métricas\n\n| Métrica | Valor | Período |\n|---|---|---|\n"
@@ -60,9 +61,9 @@ def prompts(metrics: DataFrame, blocks: DataFrame, availability: DataFrame) -> D
     return joined.select("report_id", F.concat_ws("\n\n", "metric_prompt", news, F.lit(PROMPT_END)).alias("prompt"))
 
 
-def source_lists(news: DataFrame) -> DataFrame:
-    """(report_id, sources): numbered items of `top_news`, five at most per report."""
-    items = news.groupBy("report_id").agg(
+def source_lists(news: DataFrame, limit: int = MAX_NEWS_ITEMS) -> DataFrame:
+    """(report_id, sources): the numbered items a report's search returns."""
+    items = top_news(news, limit).groupBy("report_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "title", "source", "url"))).alias("items")
     )
     lines = F.transform(
@@ -152,7 +153,7 @@ def render_reports(
 
     `runs` is (report_id, run_id, generated_at, end_date, source_csv_hash, source_extraction_date,
     pii_stripped, columns_not_found, news_source); `outcomes` has one validated narrative per report; `news`
-    is the output of `top_news`; `series` that of `series_by_end`.
+    holds the items of the reports; `series` that of `series_by_end`.
     """
     joined = (
         runs.join(metric_tables(metrics), "report_id", "left")

@@ -1,0 +1,77 @@
+"""What the physical plans must and must not contain."""
+
+import re
+
+import pytest
+
+from pyspark.sql import functions as F
+
+from sentinela.contract.registry import QUERIES
+from sentinela.functions.numbers import number_tokens
+from sentinela.operators import grounding as g
+from sentinela.operators import metrics as m
+from sentinela.operators import series as s
+from sentinela.sources import news as n
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("cases") / "t")
+    spark.range(1000).selectExpr(
+        "date_add(DATE'2026-01-01', CAST(id % 90 AS INT)) AS DT_SIN_PRI", "1 AS EVOLUCAO", "1 AS HOSPITAL", "1 AS UTI", "1 AS VACINA_COV",
+        "2 AS VACINA", "'SP' AS SG_UF", "'x' AS CS_SEXO").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_all_metrics_scan_once_with_the_dates_pushed_down(stored):
+    text = plan(m.compute_metrics(stored, "2026-02-01", "2026-03-01"))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1
+    assert "GreaterThanOrEqual(DT_SIN_PRI,2026-02-01)" in text and "LessThan(DT_SIN_PRI,2026-03-01)" in text
+    assert "SG_UF" not in text and "CS_SEXO" not in text and "partial_count" in text
+
+
+def test_series_read_one_column(stored):
+    text = plan(s.daily_cases(stored, "2026-03-01"))
+    assert re.search(r"ReadSchema: struct<DT_SIN_PRI:date>", text) and "GreaterThanOrEqual(DT_SIN_PRI" in text
+
+
+def test_periods_share_one_scan_and_meet_days_by_equality(spark, stored):
+    periods = spark.range(50).selectExpr("id AS report_id", "concat('2026-01-', 10 + id % 20) AS start_date", "'2026-02-10' AS end_date")
+    text = plan(m.metrics_by_period(stored, periods))
+    assert text.count("FileScan") == 1 and "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_top_items_are_limited_before_the_shuffle(spark):
+    news = spark.range(100).selectExpr("id % 3 AS report_id", "id AS pos", "'x' AS snippet")
+    text = plan(n.top_news(news))
+    assert text.count("WindowGroupLimit") == 2 and text.index("Final") < text.index("Exchange") < text.rindex("Partial")
+
+
+def test_narratives_are_read_once(spark, tmp_path):
+    path = str(tmp_path / "narratives")
+    spark.range(10).selectExpr("id AS narrative_id", "id AS report_id", "'12 casos' AS narrative", "0 AS retry_count").write.parquet(path)
+    metrics = spark.createDataFrame([], "report_id bigint, metric_key string, component string, value double, computable boolean, "
+                                    "numerator bigint, denominator bigint, period string")
+    news = spark.range(5).selectExpr("id AS report_id", "id AS pos", "'t' AS title", "'u' AS url", "'1' AS snippet")
+    text = plan(g.validate_narratives(spark.read.parquet(path), metrics, news))
+    assert text.count("FileScan parquet") == 1
+    assert text.count("split(narrative") == 1
+
+
+def test_tokens_are_computed_once(spark):
+    texts = spark.range(10).selectExpr("concat('caso ', id) AS t")
+    text = plan(texts.select(F.inline(number_tokens(F.col("t")))))
+    assert text.count("split(") == 1 and "Python" not in text
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_query_crosses_tables_or_leaves_the_jvm(spark, name):
+    text = plan(QUERIES[name](spark, SMALL))
+    assert "NestedLoop" not in text and "Cartesian" not in text and "EvalPython" not in text
+    assert name == "source_files" or "MapInPandas" not in text
