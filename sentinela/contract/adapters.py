@@ -235,9 +235,9 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_by_period(srag(spark, sf_dir), periods(spark, sf_dir))
 
 
-def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+def narratives(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
     return run(
-        spark, NARRATIVES, facts=facts(spark, sf_dir), documents=texts(spark, sf_dir), pages=read(spark, sf_dir, "pages")
+        spark, NARRATIVES, facts=facts, documents=texts(spark, sf_dir), pages=read(spark, sf_dir, "pages")
     )
 
 

@@ -137,7 +137,7 @@ def sync_actions(spark, sf_dir):
 
 @query
 def number_tokens(spark, sf_dir):
-    texts = a.narratives(spark, sf_dir)
+    texts = a.narratives(spark, sf_dir, a.facts(spark, sf_dir))
     return texts.select("narrative_id", F.inline(tokens_of(F.col("narrative"))))
 
 
@@ -164,31 +164,33 @@ def news_numbers(spark, sf_dir):
 
 @query
 def numeric_mismatches(spark, sf_dir):
-    news = n.top_news(a.news(spark, sf_dir))
-    found = g.numeric_mismatches(a.narratives(spark, sf_dir), a.facts(spark, sf_dir), news)
+    facts, news = a.facts(spark, sf_dir), n.top_news(a.news(spark, sf_dir))
+    found = g.numeric_mismatches(a.narratives(spark, sf_dir, facts), facts, news)
     nth = F.row_number().over(Window.partitionBy("narrative_id").orderBy("pos"))
     return found.select("narrative_id", "report_id", nth.alias("nth"), "raw", "value")
 
 
 @query
 def source_mismatches(spark, sf_dir):
-    return g.source_mismatches(a.narratives(spark, sf_dir), n.top_news(a.news(spark, sf_dir)))
+    narratives = a.narratives(spark, sf_dir, a.facts(spark, sf_dir))
+    return g.source_mismatches(narratives, n.top_news(a.news(spark, sf_dir)))
 
 
 @query
 def cited_url_counts(spark, sf_dir):
-    urls = a.narratives(spark, sf_dir).select(F.explode(cited_urls(F.col("narrative"))).alias("url"))
+    narratives = a.narratives(spark, sf_dir, a.facts(spark, sf_dir))
+    urls = narratives.select(F.explode(cited_urls(F.col("narrative"))).alias("url"))
     return urls.groupBy("url").agg(F.count(F.lit(1)).alias("narratives"))
 
 
-def _outcomes(spark, sf_dir):
-    return g.validate_narratives(a.narratives(spark, sf_dir), a.facts(spark, sf_dir), a.news(spark, sf_dir))
+def _outcomes(spark, sf_dir, facts, news):
+    return g.validate_narratives(a.narratives(spark, sf_dir, facts), facts, news)
 
 
 @query
 def narrative_outcome(spark, sf_dir):
     diff = F.col("validation_diff")
-    return _outcomes(spark, sf_dir).select(
+    return _outcomes(spark, sf_dir, a.facts(spark, sf_dir), a.news(spark, sf_dir)).select(
         "narrative_id", "report_id", "validation_passed", "narrative_validated", "retry_count",
         F.array_join(F.transform(diff["numeric_mismatches"], lambda m: m["raw"]), "|").alias("numbers"),
         F.array_join(F.transform(diff["source_mismatches"], lambda m: m["cited"]), "|").alias("urls"),
@@ -272,9 +274,9 @@ def sources_list(spark, sf_dir):
     return report.source_lists(a.news(spark, sf_dir))
 
 
-def _first_outcomes(spark, sf_dir):
+def _first_outcomes(spark, sf_dir, facts, news):
     """The outcome of each report's first narrative."""
-    outcomes = _outcomes(spark, sf_dir)
+    outcomes = _outcomes(spark, sf_dir, facts, news)
     first = F.min_by(F.struct(*outcomes.columns[2:]), "narrative_id")
     return outcomes.groupBy("report_id").agg(first.alias("o")).select("report_id", "o.*")
 
@@ -282,10 +284,9 @@ def _first_outcomes(spark, sf_dir):
 @query
 def report_text(spark, sf_dir):
     cases, runs = a.srag(spark, sf_dir), a.runs(spark, sf_dir)
-    return report.render_reports(
-        runs, a.facts(spark, sf_dir), _first_outcomes(spark, sf_dir), a.news(spark, sf_dir),
-        report.series_by_end(cases, runs),
-    )
+    facts, news = a.facts(spark, sf_dir), a.news(spark, sf_dir)
+    outcomes = _first_outcomes(spark, sf_dir, facts, news)
+    return report.render_reports(runs, facts, outcomes, news, report.series_by_end(cases, runs))
 
 
 @query
@@ -295,9 +296,9 @@ def audit_rows(spark, sf_dir):
         F.struct("pii_stripped", "columns_not_found").alias("exclusion_log"),
         F.create_map(F.lit("daily_cases"), F.lit("daily")).alias("chart_paths"),
     )
-    outcomes = _first_outcomes(spark, sf_dir).withColumn("narrative", F.col("narrative_validated"))
-    blocks = sa.sanitized_blocks(a.news(spark, sf_dir))
-    records = audit.audit_records(runs, a.facts(spark, sf_dir), outcomes, blocks)
+    facts, news = a.facts(spark, sf_dir), a.news(spark, sf_dir)
+    outcomes = _first_outcomes(spark, sf_dir, facts, news).withColumn("narrative", F.col("narrative_validated"))
+    records = audit.audit_records(runs, facts, outcomes, sa.sanitized_blocks(news))
     m = F.col("metrics")
     return records.select(
         "run_id", "timestamp", "data_mode", "source_csv_hash", "source_extraction_date", "news_source", "news_flagged",

@@ -1,7 +1,8 @@
 """Which numbers and URLs of a narrative no metric and no news item supports.
 
 Narratives are `(narrative_id, report_id, narrative, retry_count)`, metrics the long metric rows with
-`report_id`, news `(report_id, title, snippet, url)`. A report may have any number of narratives and items.
+`report_id`, news `(report_id, pos, title, snippet, url)`. A report may have any number of narratives and
+items; `min_rows` is the number of narratives up to which a report is never split over tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from sentinela.functions.numbers import number_tokens
 from sentinela.functions.text import strip_mismatches
 from sentinela.functions.urls import cited_urls, normalize_url
 from sentinela.operators.facts import allowed_numbers, wide_facts
+from sentinela.operators.skew import MIN_ROWS, PART, hot_keys, repeat_hot, split_hot
 from sentinela.schema import MAX_ATTEMPTS, MAX_NEWS_ITEMS
 from sentinela.sources.news import top_news
 
@@ -49,15 +51,20 @@ def _unsupported(tokens: Column, allowed: Column) -> Column:
     )
 
 
-def _with_allowed(narratives: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Narratives with `allowed`, the values their report's metrics let them state.
+def _with_reports(narratives: DataFrame, reports: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Narratives joined to their report's row, and the hot reports by which both were split.
 
-    A report's allowed values are a row of at most fifty numbers, so narratives meet them in one equality
-    join on the report and no token is compared with another report's values. If one report holds a large
-    share of the narratives, the adaptive skew join splits its side.
+    A report may hold a large share of all narratives, so its narratives are dealt over parts and its row is
+    repeated for each. No narrative meets another report's row.
     """
-    allowed = wide_facts(metrics).select("report_id", allowed_numbers().alias("allowed"))
-    return narratives.join(allowed, "report_id", "left")
+    hot = hot_keys(narratives, ["report_id"], min_rows)
+    rows = split_hot(narratives, hot, ["report_id"], "narrative_id")
+    return rows.join(repeat_hot(reports, hot, ["report_id"]), ["report_id", PART], "left"), hot
+
+
+def _allowed(metrics: DataFrame) -> DataFrame:
+    """(report_id, allowed): the values a report's metrics let its narratives state, fifty at most."""
+    return wide_facts(metrics).select("report_id", allowed_numbers().alias("allowed"))
 
 
 def _candidates() -> Column:
@@ -69,22 +76,27 @@ def _candidates() -> Column:
     return _unsupported(number_tokens(F.col("narrative")), F.col("allowed"))
 
 
-def numeric_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame) -> DataFrame:
+def numeric_mismatches(
+    narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int = MIN_ROWS
+) -> DataFrame:
     """Numbers supported by neither metrics nor news: (narrative_id, report_id, pos, raw, value)."""
-    found = _with_allowed(narratives, metrics).select("narrative_id", "report_id", F.inline(_candidates()))
-    return found.select("narrative_id", "report_id", "pos", "raw", "value").join(
-        news_numbers(news), ["report_id", "value"], "left_anti"
-    )
+    joined, hot = _with_reports(narratives, _allowed(metrics), min_rows)
+    found = joined.select("narrative_id", "report_id", PART, F.inline(_candidates()))
+    known = repeat_hot(news_numbers(news), hot, ["report_id"])
+    unknown = found.join(known, ["report_id", "value", PART], "left_anti")
+    return unknown.select("narrative_id", "report_id", "pos", "raw", "value")
 
 
-def source_mismatches(narratives: DataFrame, news: DataFrame) -> DataFrame:
+def source_mismatches(narratives: DataFrame, news: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """URLs that are not among the report's news: (narrative_id, report_id, cited, type)."""
-    cited = narratives.select("narrative_id", "report_id", F.explode(cited_urls(F.col("narrative"))).alias("url"))
-    unknown = cited.join(known_urls(news), ["report_id", "url"], "left_anti")
+    hot = hot_keys(narratives, ["report_id"], min_rows)
+    rows = split_hot(narratives, hot, ["report_id"], "narrative_id")
+    cited = rows.select("narrative_id", "report_id", PART, F.explode(cited_urls(F.col("narrative"))).alias("url"))
+    unknown = cited.join(repeat_hot(known_urls(news), hot, ["report_id"]), ["report_id", "url", PART], "left_anti")
     return unknown.select("narrative_id", "report_id", F.col("url").alias("cited"), F.lit("url").alias("type"))
 
 
-def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame) -> DataFrame:
+def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
     """Numbers and URLs to verify and what the news knows, as one kind of key, in a single anti-join."""
     number_claim = F.transform(
         _candidates(),
@@ -94,9 +106,8 @@ def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame)
         cited_urls(F.col("narrative")),
         lambda u: F.struct(F.lit(-1).alias("pos"), F.lit("").alias("raw"), F.lit(0.0).alias("value"), u.alias("url")),
     )
-    claims = _with_allowed(narratives, metrics).select(
-        "narrative_id", "report_id", F.inline(F.concat(number_claim, url_claim))
-    )
+    joined, hot = _with_reports(narratives, _allowed(metrics), min_rows)
+    claims = joined.select("narrative_id", "report_id", PART, F.inline(F.concat(number_claim, url_claim)))
     numbers = F.transform(
         F.array_distinct(F.transform(number_tokens(_news_blob(news)), lambda t: t["value"])),
         lambda v: F.struct(v.alias("value"), F.lit("").alias("url")),
@@ -105,14 +116,14 @@ def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame)
     facts = news.select(
         "report_id", F.inline(F.concat(numbers, F.coalesce(url, F.array().cast("array<struct<value:double,url:string>>"))))
     ).distinct()
-    return claims.join(facts, ["report_id", "value", "url"], "left_anti")
+    return claims.join(repeat_hot(facts, hot, ["report_id"]), ["report_id", "value", "url", PART], "left_anti")
 
 
-def _checked_by_report(narratives: DataFrame, metrics: DataFrame, news: DataFrame) -> DataFrame:
+def _checked_by_report(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
     """Narratives with their unsupported `numbers` and `urls`, decided within each row.
 
-    What a report's few items state is one row per report, so the narratives are read once, meet their
-    report in equality joins on the same key, and are never gathered again.
+    What a report's metrics and few items state is one row per report, so the texts are read once, meet that
+    row in one equality join, and are never gathered again.
     """
     values = F.transform(number_tokens(_news_blob(news)), lambda t: t["value"])
     known = news.groupBy("report_id").agg(
@@ -120,7 +131,8 @@ def _checked_by_report(narratives: DataFrame, metrics: DataFrame, news: DataFram
         F.collect_set(F.when(F.col("url") != "", normalize_url(F.col("url")))).alias("known_urls"),
     )
     no_numbers, no_urls = F.array().cast("array<double>"), F.array().cast("array<string>")
-    joined = _with_allowed(narratives, metrics).join(known, "report_id", "left").withColumns({
+    reports = _allowed(metrics).join(known, "report_id", "full")
+    joined = _with_reports(narratives, reports, min_rows)[0].withColumns({
         "known_numbers": F.coalesce("known_numbers", no_numbers), "known_urls": F.coalesce("known_urls", no_urls),
     })
     unsupported = F.filter(_candidates(), lambda t: ~F.array_contains(F.col("known_numbers"), t["value"]))
@@ -131,12 +143,12 @@ def _checked_by_report(narratives: DataFrame, metrics: DataFrame, news: DataFram
     )
 
 
-def _checked_by_claim(narratives: DataFrame, metrics: DataFrame, news: DataFrame) -> DataFrame:
+def _checked_by_claim(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
     """The same for reports with any number of items: claims are anti-joined, gathered and joined back.
 
     What is gathered is one narrative's own numbers and URLs, by its id.
     """
-    gathered = _all_mismatches(narratives, metrics, news).groupBy("narrative_id").agg(
+    gathered = _all_mismatches(narratives, metrics, news, min_rows).groupBy("narrative_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("url") == "", F.struct("pos", "raw", "value")))).alias("found"),
         F.array_sort(F.collect_list(F.when(F.col("url") != "", F.col("url")))).alias("urls"),
     )
@@ -149,7 +161,8 @@ def _checked_by_claim(narratives: DataFrame, metrics: DataFrame, news: DataFrame
 
 
 def validate_narratives(
-    narratives: DataFrame, metrics: DataFrame, news: DataFrame, limit: int | None = MAX_NEWS_ITEMS
+    narratives: DataFrame, metrics: DataFrame, news: DataFrame, limit: int | None = MAX_NEWS_ITEMS,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """Outcome per narrative: passed, to be retried, or published with its unsupported claims taken out.
 
@@ -157,9 +170,9 @@ def validate_narratives(
     `news` counts, however many a report has.
     """
     if limit is None:
-        checked = _checked_by_claim(narratives, metrics, news)
+        checked = _checked_by_claim(narratives, metrics, news, min_rows)
     else:
-        checked = _checked_by_report(narratives, metrics, top_news(news, limit))
+        checked = _checked_by_report(narratives, metrics, top_news(news, limit), min_rows)
     passed = (F.size("numbers") == 0) & (F.size("urls") == 0)
     attempts = F.col("retry_count") + F.lit(1)
     cleaned = strip_mismatches(F.col("narrative"), F.transform("numbers", lambda n: n["raw"]), F.col("urls"))

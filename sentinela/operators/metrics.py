@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sentinela.functions.dates import ordered_period, period_text
 from sentinela.functions.rounding import round_exact_sql
+from sentinela.operators.skew import MIN_ROWS, PART, hot_keys, repeat_hot, split_hot
 from sentinela.schema import (
     GROWTH_DAYS,
     GROWTH_DIGITS,
@@ -228,13 +229,14 @@ def day_counts(cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def metrics_by_period(
-    cases: DataFrame, periods: DataFrame, key: str = "report_id", days: int = GROWTH_DAYS
+    cases: DataFrame, periods: DataFrame, key: str = "report_id", days: int = GROWTH_DAYS, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """All metrics for every row of `periods (key, start_date, end_date)`, dates as ISO text.
 
     The cases are reduced to day counts once, whatever the number of periods. Each *distinct* period is
     expanded to its days and joined to the day counts on the day: an equality join of two small tables.
-    A period with a malformed date, or without cases, keeps its fallback rows.
+    A period that many keys share is split over tasks. One with a malformed date, or without cases, keeps its
+    fallback rows.
     """
     start, end = ordered_period(F.col("start_date"), F.col("end_date"))
     periods = periods.select(key, start.alias("start_date"), end.alias("end_date"))
@@ -261,7 +263,9 @@ def metrics_by_period(
     end_day = F.col("end_date").try_cast("date")
     period = period_text(F.col("start_date"), F.col("end_date"))
     growth_period = F.when(end_day.isNotNull(), period_text(F.date_sub(end_day, days), end_day)).otherwise(period)
-    joined = periods.join(counts, ["start_date", "end_date"], "left")
+    hot = hot_keys(periods, ["start_date", "end_date"], min_rows)
+    rows = split_hot(periods, hot, ["start_date", "end_date"], key)
+    joined = rows.join(repeat_hot(counts, hot, ["start_date", "end_date"]), ["start_date", "end_date", PART], "left")
     skip = [k for k in METRIC_KEYS if _missing(k, cases.columns)]
     return to_long(joined, [key], period, growth_period, skip)
 

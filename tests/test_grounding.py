@@ -99,18 +99,30 @@ def test_cleaned_text(spark, limit):
     assert row.narrative_validated == "A taxa foi de . Fonte: /. E , e\n\n fim" + g.NOTICE
 
 
-def test_a_report_with_most_of_the_narratives(spark):
-    """One report holds the bulk of narratives and news; nothing is lost or capped."""
+@pytest.mark.parametrize("min_rows", [50_000, 10])
+def test_a_report_with_most_of_the_narratives(spark, min_rows):
+    """One report holds the bulk of narratives and news; nothing is lost or capped, split or not."""
     narratives = spark.range(3000).selectExpr(
         "id AS narrative_id", "IF(id % 3 < 2, 0, id) AS report_id",
-        "concat('Foram ', id + 10, ',25 casos e ', 3 * id, ',75 curas.') AS narrative", "0 AS retry_count")
+        "concat('Foram ', id + 10, ',25 casos e ', 3 * id, ',75 curas, ver http://x.br/', id) AS narrative", "0 AS retry_count")
     news = spark.range(2000).selectExpr(
-        "IF(id % 2 = 0, 0, id) AS report_id", "'t' AS title", "concat('há ', id + 10, ',25 casos') AS snippet", "'' AS url")
+        "IF(id % 2 = 0, 0, id) AS report_id", "id AS pos", "'t' AS title", "concat('há ', id + 10, ',25 casos') AS snippet",
+        "concat('http://x.br/', id, '/') AS url")
     metrics = frames(spark, [])[1]
-    got = {r.narrative_id: r.n for r in g.numeric_mismatches(narratives, metrics, news).groupBy("narrative_id").count()
-           .withColumnRenamed("count", "n").collect()}
+    numbers = {r.narrative_id: r.n for r in g.numeric_mismatches(narratives, metrics, news, min_rows).groupBy("narrative_id")
+               .count().withColumnRenamed("count", "n").collect()}
+    urls = {r.narrative_id for r in g.source_mismatches(narratives, news, min_rows).collect()}
+    outcome = {r.narrative_id: r.validation_diff for r in g.validate_narratives(narratives, metrics, news, None, min_rows).collect()}
+    few = {r.narrative_id: r.validation_diff for r in g.validate_narratives(narratives, metrics, news, 5, min_rows).collect()}
+    known = {}
+    for j in range(2000):
+        known.setdefault(0 if j % 2 == 0 else j, []).append(j)
+    assert len(outcome) == len(few) == 3000
     for i in range(3000):
-        report = 0 if i % 3 < 2 else i
-        known = {j + 10.25 for j in range(2000) if (0 if j % 2 == 0 else j) == report}
-        expected = (i + 10.25 not in known) + (3 * i + 0.75 not in known)
-        assert got.get(i, 0) == expected, i
+        items = known.get(0 if i % 3 < 2 else i, [])
+        values = {j + 10.25 for j in items}
+        expected = (i + 10.25 not in values) + (3 * i + 0.75 not in values)
+        assert numbers.get(i, 0) == expected, i
+        assert (i in urls) == (i not in items), i
+        assert len(outcome[i].numeric_mismatches) == expected and bool(outcome[i].source_mismatches) == (i in urls)
+        assert len(few[i].numeric_mismatches) == 1 + (i not in items[:5])

@@ -103,7 +103,8 @@ def test_by_region(cases):
     assert got["SP", "mortality_rate", ""] == 0.4 and got["RJ", "mortality_rate", ""] == 0.3333
 
 
-def test_many_periods_agree_with_one_by_one(spark):
+@pytest.mark.parametrize("min_rows", [50_000, 3])
+def test_many_periods_agree_with_one_by_one(spark, min_rows):
     """Most cases fall on one day, and many reports share a period."""
     rng = random.Random(7)
     first = date(2024, 1, 1)
@@ -118,7 +119,7 @@ def test_many_periods_agree_with_one_by_one(spark):
     reports = [(i, *spans[0 if i < 20 else i % len(spans)]) for i in range(40)]
     periods = spark.createDataFrame(reports, "report_id int, start_date string, end_date string")
     got = {}
-    for r in m.metrics_by_period(cases, periods).collect():
+    for r in m.metrics_by_period(cases, periods, min_rows=min_rows).collect():
         got.setdefault(r.report_id, {})[r.metric_key, r.component] = (r.value, r.computable, r.numerator, r.denominator, r.period)
     single = {span: values(m.compute_metrics(cases, *span)) for span in spans}
     assert got == {i: single[a, b] for i, a, b in reports}

@@ -60,7 +60,9 @@ def test_narratives_are_read_once(spark, tmp_path):
                                     "numerator bigint, denominator bigint, period string")
     news = spark.range(5).selectExpr("id AS report_id", "id AS pos", "'t' AS title", "'u' AS url", "'1' AS snippet")
     text = plan(g.validate_narratives(spark.read.parquet(path), metrics, news))
-    assert text.count("FileScan parquet") == 1
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", text)
+    assert sum("narrative#" in s for s in scans) == 1
+    assert {re.sub(r"#\d+L?", "", s) for s in scans} == {"narrative_id,report_id,narrative,retry_count", "report_id"}
     assert text.count("split(narrative") == 1
 
 
