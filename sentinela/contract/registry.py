@@ -38,22 +38,26 @@ METRIC_COLUMNS = ["metric_key", "component", "value", "computable", "numerator",
 
 @query
 def case_growth(spark, sf_dir):
-    return m.single_metric(a.srag(spark, sf_dir), "case_growth_rate", None, a.END_DATE).select(METRIC_COLUMNS)
+    cases = a.srag_between(spark, sf_dir, "1999-12-18", a.END_DATE)
+    return m.single_metric(cases, "case_growth_rate", None, a.END_DATE).select(METRIC_COLUMNS)
 
 
 @query
 def mortality_rate(spark, sf_dir):
-    return m.single_metric(a.srag(spark, sf_dir), "mortality_rate", a.START_DATE, a.END_DATE).select(METRIC_COLUMNS)
+    cases = a.srag_between(spark, sf_dir, a.START_DATE, a.END_DATE)
+    return m.single_metric(cases, "mortality_rate", a.START_DATE, a.END_DATE).select(METRIC_COLUMNS)
 
 
 @query
 def uti_admission(spark, sf_dir):
-    return m.single_metric(a.srag(spark, sf_dir), "uti_admission_rate", a.START_DATE, a.END_DATE).select(METRIC_COLUMNS)
+    cases = a.srag_between(spark, sf_dir, a.START_DATE, a.END_DATE)
+    return m.single_metric(cases, "uti_admission_rate", a.START_DATE, a.END_DATE).select(METRIC_COLUMNS)
 
 
 @query
 def vaccination(spark, sf_dir):
-    return m.single_metric(a.srag(spark, sf_dir), "vaccination_coverage", a.START_DATE, a.END_DATE).select(METRIC_COLUMNS)
+    cases = a.srag_between(spark, sf_dir, a.START_DATE, a.END_DATE)
+    return m.single_metric(cases, "vaccination_coverage", a.START_DATE, a.END_DATE).select(METRIC_COLUMNS)
 
 
 @query
@@ -82,12 +86,12 @@ def ext_metrics_by_state(spark, sf_dir):
 
 @query
 def daily_cases(spark, sf_dir):
-    return s.daily_cases(a.srag(spark, sf_dir), a.END_DATE)
+    return s.daily_cases(a.srag_between(spark, sf_dir, "1999-12-02", a.END_DATE), a.END_DATE)
 
 
 @query
 def monthly_cases(spark, sf_dir):
-    return s.monthly_cases(a.srag(spark, sf_dir), "1999-12-17")
+    return s.monthly_cases(a.srag_between(spark, sf_dir, "1998-12-17", "1999-12-17"), "1999-12-17")
 
 
 @query
@@ -183,14 +187,11 @@ def cited_url_counts(spark, sf_dir):
     return urls.groupBy("url").agg(F.count(F.lit(1)).alias("narratives"))
 
 
-def _outcomes(spark, sf_dir, facts, news):
-    return g.validate_narratives(a.narratives(spark, sf_dir, facts), facts, news)
-
-
 @query
 def narrative_outcome(spark, sf_dir):
     diff = F.col("validation_diff")
-    return _outcomes(spark, sf_dir, a.facts(spark, sf_dir), a.news(spark, sf_dir)).select(
+    facts = a.facts(spark, sf_dir)
+    return g.validate_narratives(a.narratives(spark, sf_dir, facts), facts, a.news(spark, sf_dir)).select(
         "narrative_id", "report_id", "validation_passed", "narrative_validated", "retry_count",
         F.array_join(F.transform(diff["numeric_mismatches"], lambda m: m["raw"]), "|").alias("numbers"),
         F.array_join(F.transform(diff["source_mismatches"], lambda m: m["cited"]), "|").alias("urls"),
@@ -274,18 +275,18 @@ def sources_list(spark, sf_dir):
     return report.source_lists(a.news(spark, sf_dir))
 
 
-def _first_outcomes(spark, sf_dir, facts, news):
-    """The outcome of each report's first narrative."""
-    outcomes = _outcomes(spark, sf_dir, facts, news)
-    first = F.min_by(F.struct(*outcomes.columns[2:]), "narrative_id")
-    return outcomes.groupBy("report_id").agg(first.alias("o")).select("report_id", "o.*")
+def _report_outcomes(spark, sf_dir, facts, news):
+    """The outcome of the narrative each report shows: its first one."""
+    rank = F.row_number().over(Window.partitionBy("report_id").orderBy("narrative_id"))
+    shown = a.narratives(spark, sf_dir, facts).withColumn("rank", rank).filter("rank = 1").drop("rank")
+    return g.validate_narratives(shown, facts, news).drop("narrative_id")
 
 
 @query
 def report_text(spark, sf_dir):
     cases, runs = a.srag(spark, sf_dir), a.runs(spark, sf_dir)
     facts, news = a.facts(spark, sf_dir), a.news(spark, sf_dir)
-    outcomes = _first_outcomes(spark, sf_dir, facts, news)
+    outcomes = _report_outcomes(spark, sf_dir, facts, news)
     return report.render_reports(runs, facts, outcomes, news, report.series_by_end(cases, runs))
 
 
@@ -297,7 +298,7 @@ def audit_rows(spark, sf_dir):
         F.create_map(F.lit("daily_cases"), F.lit("daily")).alias("chart_paths"),
     )
     facts, news = a.facts(spark, sf_dir), a.news(spark, sf_dir)
-    outcomes = _first_outcomes(spark, sf_dir, facts, news).withColumn("narrative", F.col("narrative_validated"))
+    outcomes = _report_outcomes(spark, sf_dir, facts, news).withColumn("narrative", F.col("narrative_validated"))
     records = audit.audit_records(runs, facts, outcomes, sa.sanitized_blocks(news))
     m = F.col("metrics")
     return records.select(
