@@ -71,7 +71,7 @@ FROM {documents} LEFT JOIN {pages} ON page_id = CAST(floor(doc_id / 4) AS BIGINT
 
 # A search response per document: the item, with missing and null fields, next to entries that are no items.
 RESPONSES = """
-SELECT report_id, pos,
+SELECT report_id, pos AS response_id,
        CASE pos % 9
          WHEN 0 THEN '{{"results": {{"title": "x"}}}}'
          WHEN 1 THEN '{{"results": [' || item || ', "solto", 5, null]}}'

@@ -78,6 +78,21 @@ def metrics_by_period(spark, sf_dir):
     return m.metrics_by_period(a.srag(spark, sf_dir), a.periods(spark, sf_dir)).select("report_id", "position", *METRIC_COLUMNS)
 
 
+@query
+def metrics_completed(spark, sf_dir):
+    """Only the computable rows are kept, and the registry's missing ones are filled in again."""
+    found = a.facts(spark, sf_dir).filter("computable")
+    period = F.concat_ws(" to ", *d.ordered_period(F.col("start_date"), F.col("end_date")))
+    done = m.complete_metrics(found, a.periods(spark, sf_dir), ["report_id"], period)
+    return done.select("report_id", "position", *METRIC_COLUMNS)
+
+
+@query
+def metrics_described(spark, sf_dir):
+    described = m.describe_metrics(a.facts(spark, sf_dir))
+    return described.select("report_id", "position", "metric_key", "component", "value", "name", "definition", "caveat")
+
+
 @query
 def ext_metrics_by_state(spark, sf_dir):
     cases = a.srag_by_state(spark, sf_dir)

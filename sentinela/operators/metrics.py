@@ -196,17 +196,17 @@ def _long_rows(spark: SparkSession, rows: list) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def complete_metrics(metrics: DataFrame, keys: Sequence[str], period: Column) -> DataFrame:
-    """Add the fallback row of any registered metric that a group lacks.
+def complete_metrics(metrics: DataFrame, groups: DataFrame, keys: Sequence[str], period: Column) -> DataFrame:
+    """Add the fallback row of any registered metric that one of the `groups` lacks.
 
-    The registry is a handful of rows, so every group is expanded to its expected rows and the found ones
-    are joined on; no group is compared with another.
+    `groups` has one row per group; `period` is an expression over its columns. The registry is a handful of
+    rows, so every group is expanded to its expected rows and the found ones are joined on.
     """
     expected = F.array(*[
         F.struct(F.lit(i).alias("position"), F.lit(k).alias("metric_key"), F.lit(c).alias("component"))
         for i, (k, c) in enumerate(RATIOS)
     ])
-    wanted = metrics.select(*keys).distinct().select(*keys, F.inline(expected), period.alias("_period"))
+    wanted = groups.select(*keys, period.alias("_period"), F.inline(expected))
     found = metrics.drop("position")
     joined = wanted.join(found, [*keys, "metric_key", "component"], "left")
     return joined.select(
@@ -279,3 +279,8 @@ def metric_spec(spark: SparkSession) -> DataFrame:
         rows, "position int, metric_key string, name string, definition string, caveat string, definition_ref string"
     )
 
+
+def describe_metrics(metrics: DataFrame) -> DataFrame:
+    """Metric rows with the name, definition and caveat of their metric; the registry is four rows."""
+    spec = metric_spec(metrics.sparkSession).drop("position", "definition_ref")
+    return metrics.join(F.broadcast(spec), "metric_key", "left")

@@ -20,15 +20,15 @@ def _field(item: Column, name: str) -> Column:
 def extract_news(responses: DataFrame) -> DataFrame:
     """Responses `(report_id, response)`, JSON text, to rows `(report_id, pos, title, url, …, snippet)`.
 
-    Entries that are no objects are skipped; a response whose `results` is no list gives no rows.
+    `pos` is the entry's place in its response; other columns of the responses are kept. Entries that are no objects are skipped; a response whose `results` is no list gives no rows.
     """
     results = F.try_variant_get(F.try_parse_json("response"), "$.results", "variant")
     listed = F.when(F.schema_of_variant(results).startswith("ARRAY"), F.try_variant_get(results, "$", "array<variant>"))
     keep = [c for c in responses.columns if c != "response"]
-    entries = responses.select(*keep, F.posexplode(listed).alias("entry_pos", "entry"))
+    entries = responses.select(*keep, F.posexplode(listed).alias("pos", "entry"))
     objects = entries.filter(F.schema_of_variant("entry").startswith("OBJECT"))
     fields = [_field(F.col("entry"), source).alias(name) for name, source in FIELDS.items()]
-    return objects.select(*keep, "entry_pos", *fields)
+    return objects.select(*keep, "pos", *fields)
 
 
 def top_news(news: DataFrame, limit: int = MAX_NEWS_ITEMS) -> DataFrame:

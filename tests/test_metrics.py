@@ -92,7 +92,10 @@ def test_failures_stay_with_their_metric(spark, cases):
 
 def test_missing_metric_rows_are_completed(cases):
     found = m.compute_metrics(cases, "2026-01-01", "2026-02-28").filter("metric_key <> 'mortality_rate'")
-    done = m.complete_metrics(found.withColumn("report_id", F.lit(1)), ["report_id"], F.lit(WHOLE))
+    groups = cases.sparkSession.createDataFrame([(1,), (2,)], "report_id int")
+    both = m.complete_metrics(found.withColumn("report_id", F.lit(1)), groups, ["report_id"], F.lit(WHOLE))
+    done = both.filter("report_id = 1")
+    assert all(v == (None, False, 0, 0, WHOLE) for v in values(both.filter("report_id = 2")).values()) and both.count() == 10
     want = EXPECTED | {("mortality_rate", ""): (None, False, 0, 0, WHOLE)}
     assert values(done) == want
     assert {r.definition_ref for r in done.collect() if r.metric_key == "mortality_rate"} == {"mortality_rate_v1"}

@@ -140,7 +140,7 @@ def test_news_responses(spark):
     ]
     responses = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(cases)] + [(99, "not json")], "report_id int, response string")
     got = {}
-    for r in n.extract_news(responses).orderBy("report_id", "entry_pos").collect():
+    for r in n.extract_news(responses).orderBy("report_id", "pos").collect():
         got.setdefault(r.report_id, []).append((r.title, r.url, r.source, r.published_date, r.snippet))
     assert got == {i: rows for i, (_, rows) in enumerate(cases) if rows}
     available = n.news_availability(responses, n.extract_news(responses))
