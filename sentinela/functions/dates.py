@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Year and text of the news search.
 DEFAULT_YEAR = "2026"
 QUERY_TEMPLATE = "SRAG Síndrome Respiratória Aguda Grave surto casos %s"
 

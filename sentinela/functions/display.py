@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sentinela.operators.facts import slot
 from sentinela.schema import METRIC_KEYS, METRICS
 
+# Fixed value: shown for a metric that could not be computed.
 NO_DATA = "Dados insuficientes para cálculo neste período"
 
 

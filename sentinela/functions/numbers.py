@@ -170,7 +170,10 @@ def number_tokens(text: Column) -> Column:
             bare = t["bare"]
             whole = (F.length(bare) == 4) & ~t["raw"].endswith("%") & bare.rlike(r"^\d{4}\z")
             year = F.when(whole, bare.try_cast("int").between(YEAR_FIRST, YEAR_LAST)).otherwise(False)
-            return ~t["before"].rlike(r"(?:/|\p{L}-?)\z") & ~t["after"].rlike("^[/º]") & ~year
+            before, after = t["before"], t["after"]
+            dated = before.endswith("/") | after.startswith("/")
+            code = F.right(before, F.lit(2)).rlike(r"\p{L}-?\z")
+            return ~dated & ~after.startswith("º") & ~code & ~year
 
         def valued(t: Column) -> Column:
             sign = F.when(t["before"].endswith("-"), F.lit("-")).otherwise("")

@@ -81,9 +81,11 @@ def strip_mismatches(text: Column, raws: Column, urls: Column) -> Column:
     """Delete flagged numbers and URLs wherever they occur, then tidy spaces and line breaks.
 
     A number is deleted only where no digit touches it; every copy goes, whether or not that copy was flagged.
+    A deletion cannot put a new copy together, since no digit stood on either side, so each spelling is
+    deleted once.
     """
     without_numbers = F.aggregate(
-        raws, text, lambda t, raw: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{Nd})\Q"), raw, F.lit(r"\E(?!\p{Nd})")), F.lit(""))
+        F.array_distinct(raws), text, lambda t, raw: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{Nd})\Q"), raw, F.lit(r"\E(?!\p{Nd})")), F.lit(""))
     )
 
     def without_url(t: Column, url: Column) -> Column:

@@ -26,6 +26,11 @@ def url_host(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
+def all_domains(domains: dict[str, list[str]]) -> list[str]:
+    """Every listed domain, tier by tier."""
+    return [n for names in domains.values() for n in names]
+
+
 def domain_tier(host: Column, domains: dict[str, list[str]]) -> Column:
     """(domain, tier) of the longest listed domain that is the host or a parent of it, or NULL.
 

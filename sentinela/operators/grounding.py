@@ -19,6 +19,7 @@ from sentinela.operators.skew import MIN_ROWS, PART, hot_keys, repeat_hot, split
 from sentinela.schema import MAX_ATTEMPTS, MAX_NEWS_ITEMS
 from sentinela.sources.news import top_news
 
+# Fixed value: appended to a narrative published with claims taken out.
 NOTICE = "\n\n> ⚠️ Narrativa parcialmente validada — consulte a tabela de métricas oficiais."
 
 
@@ -51,15 +52,26 @@ def _unsupported(tokens: Column, allowed: Column) -> Column:
     )
 
 
-def _with_reports(narratives: DataFrame, reports: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Narratives joined to their report's row, and the hot reports by which both were split.
+def _with_reports(narratives: DataFrame, reports: DataFrame, min_rows: int) -> DataFrame:
+    """Narratives joined to their report's row.
 
     A report may hold a large share of all narratives, so its narratives are dealt over parts and its row is
     repeated for each. No narrative meets another report's row.
     """
     hot = hot_keys(narratives, ["report_id"], min_rows)
     rows = split_hot(narratives, hot, ["report_id"], "narrative_id")
-    return rows.join(repeat_hot(reports, hot, ["report_id"]), ["report_id", PART], "left"), hot
+    return rows.join(repeat_hot(reports, hot, ["report_id"]), ["report_id", PART], "left").drop(PART)
+
+
+def _unknown(claims: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """The claims, one row per occurrence, whose keys no fact has; facts are distinct on the keys.
+
+    One claim may occur in a large share of all narratives. The adaptive skew join splits its rows, provided
+    both inputs come straight from a shuffle. Distinct facts are hashed by the keys already and would not be
+    shuffled again, so their keys pass through expressions that change no value but hide that.
+    """
+    anew = {"value": F.col("value") + F.lit(0.0), "url": F.concat("url", F.lit(""))}
+    return claims.join(facts.withColumns({k: anew[k] for k in keys[1:]}), keys, "left_anti")
 
 
 def _allowed(metrics: DataFrame) -> DataFrame:
@@ -80,19 +92,16 @@ def numeric_mismatches(
     narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Numbers supported by neither metrics nor news: (narrative_id, report_id, pos, raw, value)."""
-    joined, hot = _with_reports(narratives, _allowed(metrics), min_rows)
-    found = joined.select("narrative_id", "report_id", PART, F.inline(_candidates()))
-    known = repeat_hot(news_numbers(news), hot, ["report_id"])
-    unknown = found.join(known, ["report_id", "value", PART], "left_anti")
+    joined = _with_reports(narratives, _allowed(metrics), min_rows)
+    found = joined.select("narrative_id", "report_id", F.inline(_candidates()))
+    unknown = _unknown(found, news_numbers(news), ["report_id", "value"])
     return unknown.select("narrative_id", "report_id", "pos", "raw", "value")
 
 
-def source_mismatches(narratives: DataFrame, news: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def source_mismatches(narratives: DataFrame, news: DataFrame) -> DataFrame:
     """URLs that are not among the report's news: (narrative_id, report_id, cited, type)."""
-    hot = hot_keys(narratives, ["report_id"], min_rows)
-    rows = split_hot(narratives, hot, ["report_id"], "narrative_id")
-    cited = rows.select("narrative_id", "report_id", PART, F.explode(cited_urls(F.col("narrative"))).alias("url"))
-    unknown = cited.join(repeat_hot(known_urls(news), hot, ["report_id"]), ["report_id", "url", PART], "left_anti")
+    cited = narratives.select("narrative_id", "report_id", F.explode(cited_urls(F.col("narrative"))).alias("url"))
+    unknown = _unknown(cited, known_urls(news), ["report_id", "url"])
     return unknown.select("narrative_id", "report_id", F.col("url").alias("cited"), F.lit("url").alias("type"))
 
 
@@ -106,8 +115,8 @@ def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame,
         cited_urls(F.col("narrative")),
         lambda u: F.struct(F.lit(-1).alias("pos"), F.lit("").alias("raw"), F.lit(0.0).alias("value"), u.alias("url")),
     )
-    joined, hot = _with_reports(narratives, _allowed(metrics), min_rows)
-    claims = joined.select("narrative_id", "report_id", PART, F.inline(F.concat(number_claim, url_claim)))
+    joined = _with_reports(narratives, _allowed(metrics), min_rows)
+    claims = joined.select("narrative_id", "report_id", F.inline(F.concat(number_claim, url_claim)))
     numbers = F.transform(
         F.array_distinct(F.transform(number_tokens(_news_blob(news)), lambda t: t["value"])),
         lambda v: F.struct(v.alias("value"), F.lit("").alias("url")),
@@ -116,7 +125,7 @@ def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame,
     facts = news.select(
         "report_id", F.inline(F.concat(numbers, F.coalesce(url, F.array().cast("array<struct<value:double,url:string>>"))))
     ).distinct()
-    return claims.join(repeat_hot(facts, hot, ["report_id"]), ["report_id", "value", "url", PART], "left_anti")
+    return _unknown(claims, facts, ["report_id", "value", "url"])
 
 
 def _checked_by_report(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
@@ -132,7 +141,7 @@ def _checked_by_report(narratives: DataFrame, metrics: DataFrame, news: DataFram
     )
     no_numbers, no_urls = F.array().cast("array<double>"), F.array().cast("array<string>")
     reports = _allowed(metrics).join(known, "report_id", "full")
-    joined = _with_reports(narratives, reports, min_rows)[0].withColumns({
+    joined = _with_reports(narratives, reports, min_rows).withColumns({
         "known_numbers": F.coalesce("known_numbers", no_numbers), "known_urls": F.coalesce("known_urls", no_urls),
     })
     unsupported = F.filter(_candidates(), lambda t: ~F.array_contains(F.col("known_numbers"), t["value"]))

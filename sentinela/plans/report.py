@@ -16,6 +16,7 @@ from sentinela.operators.metrics import day_counts
 from sentinela.schema import DAILY_WINDOW_DAYS, MAX_NEWS_ITEMS, MONTHLY_WINDOW_DAYS
 from sentinela.sources.news import top_news
 
+# Texts of the report and the prompt.
 TITLE = "# Relatório de Vigilância SRAG\n"
 TABLE_HEAD = "## Métricas\n\n| Métrica | Valor | Período |\n|---|---|---|\n"
 NARRATIVE_NOTICE = (

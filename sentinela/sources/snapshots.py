@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 METADATA_SCHEMA = "url string, filename string, etag string, last_modified string, checked_at string, sha256 string, rows bigint"
+# Why a source has no usable file.
 NO_CACHE = "No cached CSV available and freshness check / download failed."
 NO_PINNED = "No pinned snapshot found. Run in live mode to download first."
 

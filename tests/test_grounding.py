@@ -111,7 +111,7 @@ def test_a_report_with_most_of_the_narratives(spark, min_rows):
     metrics = frames(spark, [])[1]
     numbers = {r.narrative_id: r.n for r in g.numeric_mismatches(narratives, metrics, news, min_rows).groupBy("narrative_id")
                .count().withColumnRenamed("count", "n").collect()}
-    urls = {r.narrative_id for r in g.source_mismatches(narratives, news, min_rows).collect()}
+    urls = {r.narrative_id for r in g.source_mismatches(narratives, news).collect()}
     outcome = {r.narrative_id: r.validation_diff for r in g.validate_narratives(narratives, metrics, news, None, min_rows).collect()}
     few = {r.narrative_id: r.validation_diff for r in g.validate_narratives(narratives, metrics, news, 5, min_rows).collect()}
     known = {}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sentinela.functions import dates as d
 from sentinela.functions.text import BLOCK_END, BLOCK_START, content_text, is_injection, strip_injection
-from sentinela.functions.urls import cited_urls, domain_tier, url_host
+from sentinela.functions.urls import all_domains, cited_urls, domain_tier, url_host
 from sentinela.operators.sanitize import sanitized_blocks
 from sentinela.schema import NEWS_DOMAINS
 
@@ -68,6 +68,10 @@ def test_urls_and_hosts(spark):
     assert {(r.u, r.domain, r.tier) for r in rows} == set(urls)
 
 
+def test_all_domains():
+    assert len(all_domains(NEWS_DOMAINS)) == 9 and all_domains(NEWS_DOMAINS)[0] == "fiocruz.br"
+
+
 def test_years_and_days(spark):
     periods = [
         ("2026-01-01 to 2026-02-01", "2026"), ("2026-01-01 to 2027", "2027"), ("x to 20260201", "2026"), ("a to b", None),
