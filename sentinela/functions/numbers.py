@@ -2,19 +2,18 @@
 
 A text is cut once at its number tokens into gaps and tokens. What lies around a token (the characters
 before it, the text after it) is read from the pieces next to it, so the work grows with the text length and
-not with tokens times length.
+not with tokens times length. The expressions are SQL text: as columns they would be some thousand calls to
+the JVM each time one is built.
 """
 
 from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sentinela.functions.let import let
 from sentinela.functions.text import strip_space
 
 # One number token with at most one separator group, no digit on either side. A run of digits
@@ -72,9 +71,33 @@ _DIGITS_TO = "".join(str(unicodedata.decimal(c)) for c in _OTHER_DIGITS)
 TOKEN_TYPE = "array<struct<raw:string,value:double,start:int,context:string>>"
 
 
-def _ascii_digits(text: Column) -> Column:
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of `body` with `name` standing for `value`, evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _apply(body: str, text: Column) -> Column:
+    """A SQL expression in `t`, of a text column."""
+    return F.get(F.call_function("transform", F.array(text), F.expr(f"t -> {body}")), F.lit(0))
+
+
+def _ascii_digits(text: str) -> str:
     """Digits of other scripts as 0-9; texts without any pass through untouched."""
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _DIGITS_FROM, _DIGITS_TO)).otherwise(text)
+    return rf"CASE WHEN {text} RLIKE r'[^\x00-\x7F]' THEN translate({text}, '{_DIGITS_FROM}', '{_DIGITS_TO}') ELSE {text} END"
+
+
+def _plain_spelling(bare: str) -> str:
+    """A number without its percent sign, with a decimal point and no grouping."""
+    return f"""CASE WHEN contains({bare}, ',') THEN translate({bare}, ',.', '.')
+        WHEN contains({bare}, '.') AND NOT startswith({bare}, '0.') AND {bare} RLIKE r'{THOUSANDS}' THEN replace({bare}, '.', '')
+        ELSE {bare} END"""
+
+
+_VALUE = _let(
+    "s", _ascii_digits("t"),
+    _let("b", "CASE WHEN endswith(s, '%') THEN left(s, length(s) - 1) ELSE s END",
+         _let("n", _plain_spelling("b"), f"CASE WHEN n RLIKE r'{DECIMAL}' THEN try_cast(n AS DOUBLE) END")),
+)
 
 
 def parse_number(text: Column) -> Column:
@@ -83,44 +106,78 @@ def parse_number(text: Column) -> Column:
     One trailing percent sign is ignored. With a comma, dots group thousands and the comma is the decimal
     mark. Without one, `7.485` is a grouped count unless it starts with a lone zero.
     """
-    def value(trimmed: Column) -> Column:
-        bare = F.when(trimmed.endswith("%"), F.left(trimmed, F.length(trimmed) - 1)).otherwise(trimmed)
-        return let(let(bare, _plain_spelling), lambda n: F.when(n.rlike(DECIMAL), n.try_cast("double")))
+    return _apply(_VALUE, strip_space(text))
 
-    return let(strip_space(_ascii_digits(text)), value)
 
-
-def _plain_spelling(bare: Column) -> Column:
-    """A number without its percent sign, with a decimal point and no grouping."""
-    grouped = bare.contains(".") & ~bare.startswith("0.") & bare.rlike(THOUSANDS)
-    return (
-        F.when(bare.contains(","), F.translate(bare, ",.", "."))
-        .when(grouped, F.replace(bare, F.lit("."), F.lit("")))
-        .otherwise(bare)
-    )
-
-
-def _word_list(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _word_list(words: list[str]) -> str:
+    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def _window_stands(after: Column) -> Column:
-    """Whether the text after the number, which names a span of days, leaves it a description of the method.
+def _window_stands(rest: str) -> str:
+    """Whether the text after a number, which names a span of days, leaves it a description of the method.
 
     The first two words count even across punctuation; a linked phrase ends at the next `.`, `,` or `;`.
     """
-    first = F.lower(F.regexp_extract(after, TWO_WORDS_AFTER_DURATION, 1))
-    second = F.lower(F.regexp_extract(after, TWO_WORDS_AFTER_DURATION, 2))
-    clinical_words, method_words = _word_list(CLINICAL_WORDS), _word_list(METHOD_WORDS)
-
-    def judge(phrase: Column) -> Column:
-        words = F.regexp_extract_all(phrase, F.lit(r"(?U)\b\w+\b"), F.lit(0))
-        linked = phrase.rlike("^(?:" + "|".join(LINKING_WORDS) + ") ")
-        method = ~F.arrays_overlap(words, clinical_words) & F.arrays_overlap(words, method_words)
-        return F.when(linked, method).otherwise(True)
-
-    direct = F.array_contains(clinical_words, first) | F.array_contains(clinical_words, second)
-    return ~direct & let(F.lower(F.regexp_extract(after, AFTER_DURATION, 1)), judge)
+    clinical, method = _word_list(CLINICAL_WORDS), _word_list(METHOD_WORDS)
+    direct = " OR ".join(
+        f"array_contains({clinical}, lower(regexp_extract({rest}, r'{TWO_WORDS_AFTER_DURATION}', {i})))" for i in (1, 2)
+    )
+    linked = "phrase RLIKE '^(?:" + "|".join(LINKING_WORDS) + ") '"
+    words = _let(
+        "words", r"regexp_extract_all(phrase, r'(?U)\b\w+\b', 0)",
+        f"NOT arrays_overlap(words, {clinical}) AND arrays_overlap(words, {method})",
+    )
+    judged = _let(
+        "phrase", f"lower(regexp_extract({rest}, r'{AFTER_DURATION}', 1))", f"CASE WHEN {linked} THEN {words} ELSE true END"
+    )
+    return f"NOT ({direct}) AND {judged}"
+
+
+def _joined(pairs: int) -> str:
+    """Up to 48 characters before token `i`, from as many (gap, token) pairs and the gap at the token."""
+    pieces = f"""transform(sequence(greatest(i - {pairs}, 0), i),
+                           j -> concat(get(q.near, j), CASE WHEN j < i THEN get(q.raws, j) ELSE '' END))"""
+    return f"right(array_join({pieces}, ''), {CONTEXT_CHARS})"
+
+
+def _widened(text: str, pairs: int, wider: str) -> str:
+    return f"CASE WHEN i <= {pairs} OR length({text}) = {CONTEXT_CHARS} THEN {text} ELSE {wider} END"
+
+
+# Mostly the gap alone, or two pairs with it, is long enough. A pair holds two characters at least, so 25 of
+# them always are.
+_BEFORE = _widened("get(q.near, i)", 0, _let("b", _joined(2), _widened("b", 2, _joined(25))))
+# A date or duration that follows can span one further number at most; the first character of the one after
+# that decides whether its last word ends there.
+_AFTER = """concat(get(q.gaps, i + 1), coalesce(get(q.raws, i + 1), ''), coalesce(get(q.gaps, i + 2), ''),
+                   left(coalesce(get(q.raws, i + 2), ''), 1))"""
+_AROUND = f"""named_struct('raw', get(q.raws, i), 'bare', rtrim('%', {_ascii_digits("get(q.raws, i)")}),
+                           'before', {_BEFORE}, 'after', {_AFTER}, 'start', get(q.starts, i))"""
+_PLAIN = rf"""NOT endswith(w.before, '/') AND NOT startswith(w.after, '/') AND NOT startswith(w.after, 'º')
+    AND NOT right(w.before, 2) RLIKE r'\p{{L}}-?\z'
+    AND NOT (length(w.bare) = 4 AND NOT endswith(w.raw, '%') AND w.bare RLIKE r'^\d{{4}}\z'
+             AND try_cast(w.bare AS INT) BETWEEN {YEAR_FIRST} AND {YEAR_LAST})"""
+# Adding zero keeps a signed zero from being told apart from zero.
+_VALUED = f"""named_struct('raw', w.raw, 'value',
+    try_cast(concat(CASE WHEN endswith(w.before, '-') THEN '-' ELSE '' END, {_plain_spelling("w.bare")}) AS DOUBLE) + 0.0D,
+    'start', w.start, 'context', lower(w.before), 'after', w.after)"""
+_REST = "right(q.text, length(q.text) - v.start - length(v.raw))"
+_QUANTITY = f"""v.value IS NOT NULL AND NOT v.after RLIKE r'{PROSE_DATE}'
+    AND NOT (CASE WHEN abs(v.value) IN ({", ".join(f"{d}D" for d in WINDOW_DAYS)}) AND v.after RLIKE r'{DURATION}'
+                       AND v.context RLIKE r'{WINDOW_ANCHOR}'
+                  THEN {_let("rest", _REST, _window_stands("rest"))} ELSE false END)"""
+_KEPT = f"""transform(
+    filter(transform(filter(transform(sequence(0, size(q.raws) - 1), i -> {_AROUND}), w -> {_PLAIN}), w -> {_VALUED}), v -> {_QUANTITY}),
+    v -> named_struct('raw', v.raw, 'value', v.value, 'start', v.start, 'context', v.context))"""
+_ENDS = """aggregate(transform(p.raws, (r, i) -> length(get(p.gaps, i)) + length(r)),
+    named_struct('at', 0, 'ends', CAST(array() AS ARRAY<INT>)),
+    (acc, n) -> named_struct('at', acc.at + n, 'ends', array_append(acc.ends, acc.at + n)), acc -> acc.ends)"""
+_PIECES = f"""named_struct('text', p.text, 'raws', p.raws, 'gaps', p.gaps,
+    'near', transform(p.gaps, g -> right(g, {CONTEXT_CHARS})),
+    'starts', {_let("e", _ENDS, "transform(p.raws, (r, i) -> get(e, i) - length(r))")})"""
+_CUT = f"named_struct('text', t, 'raws', regexp_extract_all(t, r'{NUMBER}', 0), 'gaps', split(t, r'{NUMBER}', -1))"
+_TOKENS = rf"""CASE WHEN t RLIKE r'\p{{Nd}}' THEN {_let("p", _CUT, _let("q", _PIECES, _KEPT))}
+    WHEN t IS NOT NULL THEN CAST(array() AS {TOKEN_TYPE}) END"""
 
 
 def number_tokens(text: Column) -> Column:
@@ -130,91 +187,4 @@ def number_tokens(text: Column) -> Column:
     token. Left out are parts of slash dates, ordinals, codes such as COVID-19 or g1, plain years, numbers
     before a month name, and documented observation windows ("últimos 7 dias").
     """
-    raws = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0))
-    gaps = F.split(text, NUMBER, -1)
-
-    def cut(parts: Column) -> Column:
-        raws, gaps, near = parts["raws"], parts["gaps"], parts["near"]
-
-        def joined(i: Column, pairs: int) -> Column:
-            """Up to 48 characters before token `i`, from as many (gap, token) pairs and the gap at the token."""
-            pieces = F.transform(
-                F.sequence(F.greatest(i - pairs, F.lit(0)), i),
-                lambda j: F.concat(F.get(near, j), F.when(j < i, F.get(raws, j)).otherwise("")),
-            )
-            return F.right(F.array_join(pieces, ""), F.lit(CONTEXT_CHARS))
-
-        def before_token(i: Column) -> Column:
-            # Mostly the gap alone, or two pairs with it, is long enough. A pair holds two characters at
-            # least, so 25 of them always are.
-            def widen(text: Column, pairs: int, wider: Callable[[], Column]) -> Column:
-                return F.when((i <= pairs) | (F.length(text) == CONTEXT_CHARS), text).otherwise(wider())
-
-            return widen(F.get(near, i), 0, lambda: let(joined(i, 2), lambda t: widen(t, 2, lambda: joined(i, 25))))
-
-        def around(i: Column) -> Column:
-            before = before_token(i)
-            next_raw, later_raw = F.coalesce(F.get(raws, i + 1), F.lit("")), F.coalesce(F.get(raws, i + 2), F.lit(""))
-            # A date or duration that follows can span one further number at most; the first character of
-            # the one after that decides whether its last word ends there.
-            after = F.concat(F.get(gaps, i + 1), next_raw, F.coalesce(F.get(gaps, i + 2), F.lit("")), F.left(later_raw, F.lit(1)))
-            return F.struct(
-                F.get(raws, i).alias("raw"), F.rtrim(_ascii_digits(F.get(raws, i)), F.lit("%")).alias("bare"),
-                before.alias("before"), after.alias("after"), F.get(parts["starts"], i).alias("start"),
-            )
-
-        def rest_of_text(t: Column) -> Column:
-            return F.right(parts["text"], F.length(parts["text"]) - t["start"] - F.length(t["raw"]))
-
-        def plain(t: Column) -> Column:
-            bare = t["bare"]
-            whole = (F.length(bare) == 4) & ~t["raw"].endswith("%") & bare.rlike(r"^\d{4}\z")
-            year = F.when(whole, bare.try_cast("int").between(YEAR_FIRST, YEAR_LAST)).otherwise(False)
-            before, after = t["before"], t["after"]
-            dated = before.endswith("/") | after.startswith("/")
-            code = F.right(before, F.lit(2)).rlike(r"\p{L}-?\z")
-            return ~dated & ~after.startswith("º") & ~code & ~year
-
-        def valued(t: Column) -> Column:
-            sign = F.when(t["before"].endswith("-"), F.lit("-")).otherwise("")
-            # Adding zero keeps a signed zero from being told apart from zero.
-            value = F.concat(sign, _plain_spelling(t["bare"])).try_cast("double") + F.lit(0.0)
-            return F.struct(
-                t["raw"].alias("raw"), value.alias("value"),
-                t["start"].alias("start"), F.lower(t["before"]).alias("context"), t["after"].alias("after"),
-            )
-
-        def quantity(t: Column) -> Column:
-            window = (
-                F.abs(t["value"]).isin([float(d) for d in WINDOW_DAYS])
-                & t["after"].rlike(DURATION)
-                & t["context"].rlike(WINDOW_ANCHOR)
-            )
-            stands = F.when(window, let(rest_of_text(t), _window_stands)).otherwise(False)
-            return t["value"].isNotNull() & ~t["after"].rlike(PROSE_DATE) & ~stands
-
-        found = F.filter(F.transform(F.sequence(F.lit(0), F.size(raws) - 1), around), plain)
-        kept = F.filter(F.transform(found, valued), quantity)
-        slim = F.transform(
-            kept, lambda t: F.struct(t["raw"].alias("raw"), t["value"].alias("value"), t["start"].alias("start"),
-                                     t["context"].alias("context"))
-        )
-        return slim
-
-    def pieces(p: Column) -> Column:
-        lengths = F.transform(p["raws"], lambda r, i: F.length(F.get(p["gaps"], i)) + F.length(r))
-        ends = F.aggregate(
-            lengths,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends")),
-            lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.array_append(acc["ends"], acc["at"] + n).alias("ends")),
-            lambda acc: acc["ends"],
-        )
-        return F.struct(
-            p["text"].alias("text"), p["raws"].alias("raws"), p["gaps"].alias("gaps"),
-            F.transform(p["gaps"], lambda g: F.right(g, F.lit(CONTEXT_CHARS))).alias("near"),
-            let(ends, lambda e: F.transform(p["raws"], lambda r, i: F.get(e, i) - F.length(r))).alias("starts"),
-        )
-
-    split_text = F.struct(text.alias("text"), raws.alias("raws"), gaps.alias("gaps"))
-    found = let(split_text, lambda p: let(pieces(p), cut))
-    return F.when(text.rlike(r"\p{Nd}"), found).when(text.isNotNull(), F.array().cast(TOKEN_TYPE))
+    return _apply(_TOKENS, text)

@@ -63,7 +63,7 @@ def test_narratives_are_read_once(spark, tmp_path):
     scans = re.findall(r"FileScan parquet \[([^\]]*)\]", text)
     assert sum("narrative#" in s for s in scans) == 1
     assert {re.sub(r"#\d+L?", "", s) for s in scans} == {"narrative_id,report_id,narrative,retry_count", "report_id"}
-    assert text.count("split(narrative") == 1
+    assert text.count("transform(array(narrative#") == 1
 
 
 def test_tokens_are_computed_once(spark):
