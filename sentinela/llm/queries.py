@@ -30,8 +30,8 @@ ORACLES = {
                     FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
         repeated AS (SELECT x FROM windows GROUP BY x HAVING count(*) > 1),
         gone AS (SELECT DISTINCT r, i + j AS i FROM windows JOIN repeated USING (x), range(35) AS t(j)),
-        removed AS (SELECT r, list(i) AS at FROM gone GROUP BY r)
-        SELECT doc_id, len(w) AS n_words, coalesce(len(at), 0) AS n_removed,
-               sha256(array_to_string([x FOR x, i IN w IF at IS NULL OR NOT list_contains(at, i)], ' ')) AS kept_sha256
+        removed AS (SELECT r, list(i) AS places FROM gone GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
+               sha256(array_to_string([x FOR x, i IN w IF places IS NULL OR NOT list_contains(places, i)], ' ')) AS kept_sha256
         FROM d LEFT JOIN removed USING (r)""",
 }
