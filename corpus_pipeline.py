@@ -3,10 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sentinela.llm.common import stored
+from sentinela.llm import quality_mil
+from sentinela.llm.common import crc_of_id, stored
+from sentinela.llm.minhash_join import near_duplicates
+from sentinela.llm.mixing import mixed_documents
+from sentinela.llm.packing import pack
+from sentinela.llm.queries import tokenizer_path
+from sentinela.llm.secrets import redact_secrets
 
-STAGES: list = []
+LEAST_QUALITY = 0.7
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score LEAST_QUALITY or more. Labels of one fold in four are not learned from. Without labels of both
+    kinds nothing can be learned, and all documents stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.pmod(crc_of_id(), F.lit(4)) != 2)
+    model = quality_mil.learn(docs, labels)
+    return quality_mil.score_texts(docs, model).filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns) if model else docs
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each group of near duplicates; of rows with the same id and text one."""
+    gone = near_duplicates(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
+    rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return rest.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with every secret replaced by its kind in brackets, and n_chars of the new text."""
+    clean = redact_secrets(docs)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint")).otherwise(F.col("n_chars")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document of a source with text at least once; small sources again, up to the target weights."""
+    return mixed_documents(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a sequence."""
+    return pack(docs, tokenizer_path()).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("secrets", secrets), ("mixing", mixing), ("packing", packing)]
+# Attention weights, compressed sizes and token ids are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentinela.llm import language_id, quality_mil, quality_rules
+from sentinela.llm.common import crc_of_id
+from sentinela.llm.fingerprints import compare_with_next
+from sentinela.llm.license_scan import TEMPLATES, THRESHOLD, scan_licenses
+from sentinela.llm.minhash_join import near_duplicates
+from sentinela.llm.mixing import BLOCK_TOKENS, ENTROPY, MAX_PASSES, STEPS, mix_sources
+from sentinela.llm.packing import pack
+from sentinela.llm.secrets import KINDS, find_secrets
 from sentinela.llm.substring_dedup import remove_repeated_passages
 
 
@@ -12,17 +20,86 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.pmod(crc_of_id(), F.lit(5)) == 0
+    model = language_id.learn(docs.filter(~held_out))
+    return language_id.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {
-    "op2_substring_dedup": op2_substring_dedup,
-}
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare_with_next(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.pmod(crc_of_id(), F.lit(4)) == 2
+    model = quality_mil.learn(docs, labels.filter(~held_out))
+    scored = quality_mil.score_texts(docs, model, ["doc_id", "text"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir))
+    base = F.filter("spans", lambda x: x["kind"] != KINDS[3])
+    line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id", *(of(k).alias(f"n_{k}") for k in KINDS), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(documents(spark, sf_dir))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack(documents(spark, sf_dir), tokenizer_path())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "padded_length")
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "pass", "n_tokens", "start", "block", "slot")
+
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_substring_dedup, op3_fingerprints, op4_quality_classifier, op5_license_scan, op6_secret_scan,
+    op7_quality_rules, op8_minhash_dedup, op9_packing, op10_mixing)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+
+
+def _entropy_sql(exponent: str) -> str:
+    powers = f"list_transform(q, lambda x: pow(x, {exponent}))"
+    return (f"(CASE WHEN len(q) < 2 THEN 1.0 ELSE -list_sum(list_transform({powers}, "
+            f"lambda y: (y / list_sum({powers})) * ln(y / list_sum({powers})))) / ln(len(q)) END)")
+
+
 ORACLES = {
     "op2_substring_dedup": rf"""
         WITH d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
@@ -34,4 +111,68 @@ ORACLES = {
         SELECT doc_id, len(w) AS n_words, coalesce(len(places), 0) AS n_removed,
                sha256(array_to_string([x FOR x, i IN w IF places IS NULL OR NOT list_contains(places, i)], ' ')) AS kept_sha256
         FROM d LEFT JOIN removed USING (r)""",
+    "op5_license_scan": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+        lines AS (SELECT r, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+        words AS (SELECT r, i, regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9]+') AS w FROM lines),
+        cut AS (SELECT r, i, w, count(*) FILTER (len(w) = 0) OVER (PARTITION BY r ORDER BY i) AS g FROM words),
+        passages AS (
+            SELECT r, 'l' || i AS p, w FROM words
+            UNION ALL SELECT r, 'g' || g, flatten(list(w ORDER BY i)) FROM cut GROUP BY r, g
+            UNION ALL SELECT r, 't', flatten(list(w ORDER BY i)) FROM words GROUP BY r),
+        sets AS (SELECT r, p, list_distinct([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) AS b FROM passages WHERE len(w) > 1),
+        templates AS (
+            SELECT name, list_distinct([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) AS t
+            FROM (SELECT name, regexp_extract_all(lower(x), '[a-z0-9]+') AS w FROM (VALUES {", ".join("('" + n + "', '" + x.replace("'", "''") + "')" for n, x in TEMPLATES.items())}) AS v(name, x))),
+        alike AS (SELECT r, name, 2 * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice FROM sets JOIN templates
+                  ON len(t) * (2 - {THRESHOLD}) >= {THRESHOLD} * len(b) AND len(t) * {THRESHOLD} <= (2 - {THRESHOLD}) * len(b)),
+        best AS (SELECT r, name, max(dice) AS dice FROM alike WHERE dice >= {THRESHOLD} GROUP BY r, name),
+        of AS (SELECT r, list(name ORDER BY dice DESC, name)[1] AS license, max(dice) AS score, string_agg(name, ',' ORDER BY name) AS licenses FROM best GROUP BY r)
+        SELECT doc_id, license, coalesce(round(score, 6), 0) AS score, coalesce(licenses, '') AS licenses FROM d LEFT JOIN of USING (r)""",
+    "op8_minhash_dedup": rf"""
+        WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)]
+                                             ELSE [array_to_string(w, ' ') || ' .'] END) AS x FROM d WHERE len(w) > 0),
+        n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+        common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.r < b.r GROUP BY ALL),
+        links AS (SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+        edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+        least AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY reach.a)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM d JOIN least USING (r) LEFT JOIN n USING (r)""",
+    "op10_mixing": rf"""
+        WITH RECURSIVE c AS (SELECT doc_id, coalesce(source, '') AS source, len({WORDS}) AS n_tokens FROM documents),
+        src AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM c GROUP BY source HAVING sum(n_tokens) > 0),
+        q AS (SELECT list(tokens / (SELECT sum(tokens) FROM src) ORDER BY source) AS q FROM src),
+        flat(k, lo, hi) AS (
+            SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+            UNION ALL SELECT k + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+            FROM (SELECT k, lo, hi, mid, {{e_mid}} >= {ENTROPY} AS ok
+                  FROM (SELECT *, (lo + hi) / 2 AS mid FROM flat WHERE k < {STEPS}), q)),
+        steep(k, lo, hi) AS (
+            SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+            UNION ALL SELECT k + 1, CASE WHEN ok THEN mid ELSE lo END, CASE WHEN ok THEN hi ELSE mid END
+            FROM (SELECT k, lo, hi, mid, pow(list_max(q) / list_min(q), mid) <= {MAX_PASSES} AS ok
+                  FROM (SELECT *, (lo + hi) / 2 AS mid FROM steep WHERE k < {STEPS}), q)),
+        e AS (SELECT greatest(
+                  (SELECT CASE WHEN {{e_one}} >= {ENTROPY} THEN 1.0 ELSE (SELECT lo FROM flat WHERE k = {STEPS}) END FROM q),
+                  (SELECT CASE WHEN list_max(q) / list_min(q) <= {MAX_PASSES} THEN 0.0 ELSE 1 - (SELECT lo FROM steep WHERE k = {STEPS}) END FROM q)) AS a),
+        w AS (SELECT source, tokens, pow(tokens / (SELECT sum(tokens) FROM src), a) AS raw FROM src, e),
+        weighed AS (SELECT source, tokens, raw / (SELECT sum(raw) FROM w) AS weight FROM w),
+        plan AS (SELECT source, tokens, round(weight / (SELECT min(weight / tokens) FROM weighed))::BIGINT AS budget FROM weighed),
+        shown AS (
+            SELECT c.*, tokens, budget, unnest(range(0, (budget + tokens - 1) // tokens)) AS pass FROM c JOIN plan USING (source)),
+        placed AS (SELECT *, ('0x' || substr(md5('pass:' || coalesce(doc_id::VARCHAR, '') || ':' || pass), 1, 15))::BIGINT AS place FROM shown),
+        started AS (
+            SELECT *, pass * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY place, doc_id, n_tokens
+                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM placed),
+        blocked AS (
+            SELECT *, floor(start / budget * (SELECT greatest(1, ceil(sum(budget) / {BLOCK_TOKENS}.0)) FROM plan))::BIGINT AS block
+            FROM started WHERE start < budget)
+        SELECT doc_id, source, pass, n_tokens, start, block,
+               row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5('block:' || coalesce(doc_id::VARCHAR, '') || ':' || pass), 1, 15))::BIGINT,
+                                  doc_id, source, pass, start) - 1 AS slot
+        FROM blocked""".replace("{e_mid}", _entropy_sql("mid")).replace("{e_one}", _entropy_sql("1.0")),
 }
