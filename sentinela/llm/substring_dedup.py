@@ -24,8 +24,8 @@ from sentinela.llm.common import passes, stored
 from sentinela.llm.tokens import window_hashes, word_bounds, word_hashes
 
 WIDTH = 35
-CHUNK_BYTES = 6_000_000
-RANGE_BYTES = 12_000_000
+CHUNK_BYTES = 4_000_000
+RANGE_BYTES = 8_000_000
 
 CHUNK = "chunk bigint, ids array<bigint>, sizes array<int>, texts binary"
 PART = "range int, chunk bigint, hashes binary, many binary"
