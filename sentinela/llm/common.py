@@ -24,9 +24,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder and read back: a lost executor costs no recomputation of what led to it."""
+def stored(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """`df` written once to the shared folder and read back: a lost executor costs no recomputation of what led to it.
+
+    `parts` is the most files to write, for tables that are small next to the shuffles they come from.
+    """
     spark = df.sparkSession
+    df = df.coalesce(parts) if parts else df
     path = f"{shared_folder(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,8 @@ Only connected classes are asked for, so work follows components, not pairs:
 3. Classes with T or more long lists may share long lists only. A shingle that no other of these classes has cannot be
    common to two of them, so a class of n shingles, s of them shared, can only be like one of up to s * (100 + p) / p - n
    shingles. Classes that this leaves without a partner drop out: texts around one frequent line, and loose members of
-   a large group of copies. The others first meet a pivot drawn anew for each list, then all they are not connected to.
+   a large group of copies. The others, by families of classes that share long lists, are dealt to blocks, and each two
+   blocks of a family are compared whole, by counting common shingles, in a task of their own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sentinela.llm.common import passes, stored
@@ -34,6 +35,9 @@ COORDINATES = 32
 MATCHES = 8
 LONG = 64
 PERCENT = 75
+CLASSES_PER_FILE = 4000
+BLOCK = 256
+WORDS = 1 << 18
 
 SIGNATURE = "doc_id bigint, text_hash bigint, n_shingles bigint, class bigint, signature binary"
 SHINGLES = "class bigint, shingles binary"
@@ -137,84 +141,140 @@ class _Join:
     def __init__(self, docs: DataFrame, percent: int):
         self.percent = percent
         self.docs = docs
-        self.tested: list[DataFrame] = []
         self.signed = stored(docs.mapInArrow(_signatures, SIGNATURE))
         some = self.signed.filter("n_shingles > 0")
         self.classes = stored(some.groupBy("class").agg(
             F.min_by(F.struct("doc_id", "text_hash"), F.xxhash64("doc_id", "text_hash")).alias("row"),
             F.first("n_shingles").alias("n"), F.first("signature").alias("signature")))
+        self.parts = 1 + self.classes.count() // CLASSES_PER_FILE
         posted = self.classes.select("class", "signature").mapInArrow(_post, "list bigint, class bigint")
-        lists = stored(posted.groupBy("list").agg(F.count("*").alias("size"), F.min("class").alias("pivot")).filter("size > 1"))
-        self.postings = stored(posted.join(lists, "list"))
+        lists = stored(posted.groupBy("list").agg(F.count("*").alias("size"), F.min("class").alias("pivot")).filter("size > 1"), self.parts)
+        self.postings = stored(posted.join(lists, "list"), self.parts)
 
-    def sets(self, pairs: DataFrame) -> DataFrame:
-        """Whole shingle sets of all classes in `pairs`, made from the text of one row of each."""
-        wanted = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(self.classes, "class")
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """(class, shingles) of `classes` (class), whole sets, made from the text of one row of each."""
+        wanted = classes.distinct().join(self.classes, "class")
         wanted = wanted.select(F.col("row.doc_id").alias("i"), F.col("row.text_hash").alias("h"))
-        docs = self.docs.join(wanted, self.docs.doc_id.eqNullSafe(wanted.i) & (self.docs.text_hash == wanted.h), "left_semi")
-        return stored(docs.select("doc_id", "text").mapInArrow(_sets, SHINGLES).dropDuplicates(["class"]))
+        wanted = stored(wanted, self.parts)
+        # a bit per wanted row, in at most WORDS words whatever their number, keeps most other texts from being shuffled
+        word, bit = _bit_of("i", "h")
+        bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
+        word, bit = _bit_of("doc_id", "text_hash")
+        near = self.docs.withColumn("word", word).join(F.broadcast(bits), "word")
+        near = near.filter(F.call_function("getbit", F.col("bits"), bit) == 1)
+        docs = near.join(wanted, near.doc_id.eqNullSafe(wanted.i) & (near.text_hash == wanted.h), "left_semi")
+        return stored(docs.select("doc_id", "text").mapInArrow(_sets, SHINGLES).dropDuplicates(["class"]), self.parts)
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """Those of `pairs` (a, b) that agree in enough coordinates, and of them those whose whole sets are alike."""
-        for earlier in self.tested:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        self.tested.append(pairs := stored(pairs))
         one = self.classes.select(F.col("class").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
         two = self.classes.select(F.col("class").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
         near = pairs.join(one, "a").join(two, "b")
         near = near.filter((100 * F.least("na", "nb")) >= (self.percent * F.greatest("na", "nb")))
-        near = stored(near.select("a", "b", "sa", "sb").mapInArrow(_enough_matches, "a bigint, b bigint"))
-        sets = self.sets(near)
+        near = stored(near.select("a", "b", "sa", "sb").mapInArrow(_enough_matches, "a bigint, b bigint"), self.parts)
+        sets = self.sets(near.select(F.col("a").alias("class")).union(near.select("b")))
         joined = near.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("xb")), "b")
         joined = joined.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("xa")), "a")
-        return stored(joined.select("a", "b", "xa", "xb").mapInArrow(_confirm(self.percent), "a bigint, b bigint"))
+        return stored(joined.select("a", "b", "xa", "xb").mapInArrow(_confirm(self.percent), "a bigint, b bigint"), self.parts)
 
     def labelled(self, links: DataFrame) -> DataFrame:
         """Postings with the component each class belongs to so far, of lists that hold more than one component."""
-        labels = components(links)
+        labels = components(links, self.parts)
         rows = self.postings.join(labels.withColumnRenamed("node", "class"), "class", "left")
-        rows = stored(rows.select("list", "size", "class", F.coalesce("label", "class").alias("label")))
-        mixed = stored(rows.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high"))
-        n_long = self.postings.groupBy("class").agg(F.count(F.when(F.col("size") > LONG, 1)).alias("n_long"))
-        return stored(rows.join(mixed.select("list"), "list").join(n_long, "class"))
-
-    def in_short_lists(self, links: DataFrame) -> DataFrame:
-        """Pairs not connected yet of the same short list, for a prefix of the short lists of each class."""
-        rows = self.labelled(links).filter(F.col("size") <= LONG)
+        rows = rows.withColumn("label", F.coalesce("label", "class"))
+        n_long = F.count_if(F.col("size") > LONG).over(Window.partitionBy("class")).alias("n_long")
+        rows = stored(rows.select("list", "size", "pivot", "class", "label", n_long), self.parts)
+        mixed = rows.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+        return stored(rows.join(stored(mixed.select("list"), self.parts), "list"), self.parts)
+
+    def in_short_lists(self, rows: DataFrame) -> DataFrame:
+        """Pairs not connected yet of the same short list, for a prefix of the short lists of each class. Pairs with the
+        list's pivot have been tested."""
         from_last = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("list")))
-        return _unconnected(rows.withColumn("k", from_last).filter(f"k > {MATCHES - 1} - n_long"))
-
-    def able(self, links: DataFrame) -> DataFrame:
-        """(class, n, most): classes with enough long lists, and the largest partner the shingles they share allow."""
-        rows = self.labelled(links).filter((F.col("size") > LONG) & (F.col("n_long") >= MATCHES))
-        classes = stored(rows.select("class").distinct())
-        shingles = self.sets(classes.select(F.col("class").alias("a"), F.col("class").alias("b")))
-        shingles = shingles.mapInArrow(_each_shingle, "class bigint, shingle bigint")
+        rows = rows.filter(F.col("size") <= LONG).withColumn("k", from_last).filter(f"k > {MATCHES - 1} - n_long")
+        return _unconnected(rows.filter("class <> pivot"))
+
+    def able(self, rows: DataFrame) -> DataFrame:
+        """(class, n, shingles) of classes with enough long lists whose shared shingles allow a partner."""
+        classes = stored(rows.filter((F.col("size") > LONG) & (F.col("n_long") >= MATCHES)).select("class").distinct(), self.parts)
+        sets = self.sets(classes)
+        shingles = sets.mapInArrow(_each_shingle, "class bigint, shingle bigint")
         alone = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.first("class").alias("class")).filter("n = 1")
         alone = alone.groupBy("class").agg(F.count("*").alias("alone"))
         sized = classes.join(self.classes.select("class", "n"), "class").join(alone, "class", "left")
         shared = F.col("n") - F.coalesce("alone", F.lit(0))
         most = F.floor(shared * (100 + self.percent) / self.percent) - F.col("n")
-        return stored(sized.select("class", "n", most.alias("most")).filter(100 * F.col("most") >= self.percent * F.col("n")))
+        some = stored(sized.filter(100 * most >= self.percent * F.col("n")).select("class", "n"), self.parts)
+        return stored(some.join(sets, "class"), self.parts)
+
+    def family_links(self, rows: DataFrame) -> DataFrame:
+        """Links between classes of different components that share long lists only."""
+        able = self.able(rows)
+        rows = stored(rows.filter(F.col("size") > LONG).join(able.select("class"), "class").select("list", "class", "label"), self.parts)
+        heads = stored(rows.groupBy("list").agg(F.min("class").alias("head")), self.parts)
+        edges = rows.join(heads, "list").select(F.col("class").alias("a"), F.col("head").alias("b"))
+        members = components(edges, self.parts).select(F.col("node").alias("class"), F.col("label").alias("family"))
+        members = stored(members.join(rows.select("class", "label").distinct(), "class"), self.parts)
+        blocks = members.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks"))
+        blocks = stored(blocks, self.parts)
+        dealt = members.join(blocks, "family").join(able, "class")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("class"), "blocks"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        dealt = dealt.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "class", "label", "n", "shingles")
+        return stored(dealt.groupBy("family", "low", "high").applyInArrow(_block_links(self.percent), "a bigint, b bigint"), self.parts)
+
+
+def _block_links(percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Links that join the components of two blocks, counted by products of class-by-shingle matrices."""
+        ids, labels, n = (table.column(c).to_numpy() for c in ("class", "label", "n"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles")]
+        every = np.concatenate(sets)
+        of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        _, which, times = np.unique(every, return_inverse=True, return_counts=True)
+        shared = times[which] > 1
+        of, column = of[shared], np.unique(which[shared], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        of, column = of[order], column[order]
+        common = np.zeros((len(sets), len(sets)), np.float32)
+        width = 4096
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+            a, b = np.searchsorted(column, (first, first + width))
+            part = np.zeros((len(sets), width), np.float32)
+            part[of[a:b], column[a:b] - first] = 1
+            common += part @ part.T
+        common = common.astype(np.int64)
+        alike = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+        one, two = np.nonzero(np.triu(alike & (labels[:, None] != labels[None, :]), 1))
+        top = {int(x): int(x) for x in labels}
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        found = []
+        for i, j in zip(one.tolist(), two.tolist(), strict=True):
+            x, y = root(int(labels[i])), root(int(labels[j]))
+            if x != y:
+                top[x] = y
+                found.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    def in_long_lists(self, links: DataFrame, able: DataFrame, turn: int | None) -> DataFrame:
-        """Pairs of able classes not connected yet: with the list's pivot of a turn, or (no turn) with all in a prefix."""
-        rows = self.labelled(links).filter(F.col("size") > LONG).join(able, "class")
-        if turn is None:
-            k = F.row_number().over(Window.partitionBy("class").orderBy("list"))
-            return _unconnected(rows.withColumn("k", k).filter(f"k <= n_long - {MATCHES - 1}"), "n <= most2 and n2 <= most")
-        pivot = F.min_by(F.struct("class", "label", "n", "most"), F.xxhash64("class", "list", F.lit(turn)))
-        drawn = stored(rows.groupBy("list").agg(pivot.alias("p")))
-        pairs = rows.join(drawn, "list").filter("label <> p.label and n <= p.most and p.n <= most")
-        return _ordered(pairs.select("class", F.col("p.class").alias("other")))
+    return run
+
+
+def _bit_of(doc_id: str, text_hash: str) -> tuple[Column, Column]:
+    """The word, of WORDS, and the bit in it that stand for a row."""
+    mixed = F.xxhash64(doc_id, text_hash)
+    return F.pmod(mixed, F.lit(WORDS)), F.pmod(F.shiftright(mixed, 32), F.lit(64)).cast("int")
 
 
-def _unconnected(rows: DataFrame, also: str = "true") -> DataFrame:
-    """Pairs of one list and of different components; `also` is a condition on n, most, n2 and most2."""
-    names = [c for c in ("class", "label", "n", "most") if c in rows.columns]
-    one = rows.select("list", *names)
-    two = rows.select("list", *(F.col(c).alias(f"{c}2") for c in names))
-    return _ordered(one.join(two, "list").filter(f"label < label2 and {also}").select("class", F.col("class2").alias("other")))
+def _unconnected(rows: DataFrame) -> DataFrame:
+    """Pairs of one list and of different components."""
+    one = rows.select("list", "class", "label")
+    two = rows.select("list", F.col("class").alias("other"), F.col("label").alias("label2"))
+    return _ordered(one.join(two, "list").filter("label < label2").select("class", "other"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -236,11 +296,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     join = _Join(docs.withColumn("text_hash", F.xxhash64("text")), percent)
     first = join.postings.filter("class <> pivot").select("class", F.col("pivot").alias("other"))
     found = join.links(_ordered(first))
-    found = stored(found.unionByName(join.links(join.in_short_lists(found))))
-    able = join.able(found)
-    for turn in (1, None):
-        found = stored(found.unionByName(join.links(join.in_long_lists(found, able, turn))))
-    labels = components(found).withColumnRenamed("node", "class")
+    rows = join.labelled(found)
+    found = found.unionByName(join.links(join.in_short_lists(rows))).unionByName(join.family_links(rows))
+    labels = components(found, join.parts).withColumnRenamed("node", "class")
     least = join.signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(labels, "class", "left")
     least = stored(least.select("class", "least", F.coalesce("label", "class").alias("label")))
     smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
