@@ -21,50 +21,69 @@ from sentinela.llm.common import stored
 
 LENGTH = 4096
 END_ID = 2
-WORDS_HELD = 400_000
+HELD = 600_000
 
 TOKENS = "part bigint, doc_id bigint, at bigint, doc_tokens bigint, ids binary"
 PIECE = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-z0-9ß-öø-ÿ]+")
+# Beyond these characters, or with an apostrophe, pieces are not told by _PIECE.
+_OTHER = re.compile(r"[^\x20-\x26\x28-\x7e\x09-\x0dÀ-ÖØ-öø-ÿ]")
 
 
-def word_encoder(path: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit values, for the tokenizer file at `path`.
+def text_encoder(path: str):
+    """A function from texts to their ids as little-endian unsigned 32-bit values, for the tokenizer file at `path`.
 
-    For tokenizers that drop white space and never merge across it. Ids of the last words seen are held. New words of a
-    text are encoded together, one to a line, and told apart by where their tokens begin.
+    For a tokenizer that lower-cases, drops white space, and cuts texts into runs of letters, single digits and runs of
+    other signs, with tokens that mark the end of a piece. Pieces of texts in plain Latin letters are taken by one pattern,
+    and their ids are held: the tokenizer's model sees a piece once. Words of other texts go through the whole tokenizer.
     """
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
-    held: dict[str, bytes] = {}
-
-    def encode(text: str) -> bytes:
-        words = _WORD.findall(text)
-        try:
-            return b"".join(map(held.__getitem__, words))
-        except KeyError:
-            pass
-        if len(held) > WORDS_HELD:
-            held.clear()
-        new = [w for w in dict.fromkeys(words) if w not in held]
-        ids = tokenizer.encode("\n".join(new), add_special_tokens=False)
-        of, values = np.array([a for a, _ in ids.offsets], np.int64), np.array(ids.ids, "<u4")
+    pieces_only = Tokenizer(tokenizer.model)
+    pieces_only.pre_tokenizer = pre_tokenizers.Sequence([
+        pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    held_pieces: dict[str, bytes] = {}
+    held_words: dict[str, bytes] = {}
+
+    def learn_pieces(new: list[str]) -> None:
+        ids = np.array(pieces_only.encode_batch_fast(["\n".join(new)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.concatenate([[0], np.flatnonzero(ends[ids]) + 1])
+        if len(cuts) != len(new) + 1:
+            raise ValueError("the tokenizer does not mark the end of each piece")
+        packed = ids.tobytes()
+        held_pieces.update((w, packed[4 * x : 4 * y]) for w, x, y in zip(new, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+    def learn_words(new: list[str]) -> None:
+        found = tokenizer.encode("\n".join(new), add_special_tokens=False)
+        of, values = np.array([x for x, _ in found.offsets], np.int64), np.array(found.ids, "<u4")
         cuts = np.searchsorted(of, np.cumsum([0, *(len(w) + 1 for w in new)]))
-        for k, w in enumerate(new):
-            held[w] = values[cuts[k] : cuts[k + 1]].tobytes()
-        return b"".join(map(held.__getitem__, words))
+        held_words.update((w, values[cuts[k] : cuts[k + 1]].tobytes()) for k, w in enumerate(new))
+
+    def encode(texts: list[str]) -> list[bytes]:
+        plain = [not _OTHER.search(t) and "<|" not in t for t in texts]
+        parts = [_PIECE.findall(t.lower()) if p else _WORD.findall(t) for t, p in zip(texts, plain, strict=True)]
+        for held, learn, kind in ((held_pieces, learn_pieces, True), (held_words, learn_words, False)):
+            if len(held) > HELD:
+                held.clear()
+            if new := list(set().union(*(w for w, p in zip(parts, plain, strict=True) if p is kind)).difference(held)):
+                learn(new)
+        return [b"".join(map((held_pieces if p else held_words).__getitem__, w)) for w, p in zip(parts, plain, strict=True)]
 
     return encode
 
 
 def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, part, at = word_encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
+        encode, end, part, at = text_encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 rows = batch.slice(begin, 500)
-                ids = [encode(t or "") + end for t in rows.column("text").to_pylist()]
+                ids = [x + end for x in encode([t or "" for t in rows.column("text").to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 firsts = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
