@@ -161,8 +161,9 @@ class _Join:
         bits = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("bits"))
         word, bit = _bit_of("doc_id", "text_hash")
         near = self.docs.withColumn("word", word).join(F.broadcast(bits), "word")
-        near = near.filter(F.call_function("getbit", F.col("bits"), bit) == 1)
-        docs = near.join(wanted, near.doc_id.eqNullSafe(wanted.i) & (near.text_hash == wanted.h), "left_semi")
+        # the key depends on both inputs of this join, so that the semi-join is not planned before it
+        near = near.withColumn("key", F.when(F.call_function("getbit", F.col("bits"), bit) == 1, F.col("text_hash"))).filter("key is not null")
+        docs = near.join(wanted, near.doc_id.eqNullSafe(wanted.i) & (near.key == wanted.h), "left_semi")
         return stored(docs.select("doc_id", "text").mapInArrow(_sets, SHINGLES).dropDuplicates(["class"]), self.parts)
 
     def links(self, pairs: DataFrame) -> DataFrame:
