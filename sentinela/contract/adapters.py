@@ -162,9 +162,9 @@ DOMAINS = {
     "tier3_international": ["ththan.example.net", "thther.example.org"],
 }
 
-# One run per report.
+# One run per narrative: a report is drawn up anew for each of them.
 RUNS = """
-SELECT report_id, 'run-' || CAST(report_id AS STRING) AS run_id,
+SELECT report_id, 'run-' || CAST(doc_id AS STRING) AS run_id,
        CAST('2026-07-20 10:11:12' AS TIMESTAMP) AS generated_at, end_date,
        CASE WHEN report_id % 2 = 0 THEN 'pinned' ELSE 'live' END AS data_mode,
        sha2(CAST(report_id AS STRING), 256) AS source_csv_hash,
@@ -172,8 +172,9 @@ SELECT report_id, 'run-' || CAST(report_id AS STRING) AS run_id,
        CASE WHEN report_id % 3 = 0 THEN array() ELSE array('NU_CPF', 'NM_PACIENT') END AS pii_stripped,
        CASE WHEN report_id % 4 = 0 THEN array('DT_ENTUTI', 'SEM_NOT') END AS columns_not_found,
        CASE WHEN report_id % 6 = 0 THEN 'unavailable' ELSE 'tavily' END AS news_source,
-       CASE WHEN report_id % 10 = 9 THEN 'timeout' END AS error
-FROM (SELECT report_id, greatest(start_date, end_date) AS end_date FROM {periods}) AS ordered
+       CASE WHEN doc_id % 10 = 9 THEN 'timeout' END AS error
+FROM {documents} JOIN (SELECT report_id, greatest(start_date, end_date) AS end_date FROM {periods}) AS ordered
+  ON report_id = CAST(floor(doc_id / 20) AS BIGINT)
 """
 
 # The line list as a file delivers it: every column as text, personal data included, some columns missing.
@@ -187,6 +188,26 @@ SELECT CAST(CAST(l_shipdate AS DATE) AS STRING) AS DT_SIN_PRI, CAST(CAST(l_shipd
 FROM {lineitem}
 """
 
+# The same line list as delimited text: quoted fields, missing values in several spellings, codes as whole decimals.
+LINE_COLUMNS = ["DT_SIN_PRI", "EVOLUCAO", "HOSPITAL", "UTI", "SG_UF", "CS_SEXO"]
+CASE_LINES = """
+SELECT CAST(CAST(l_shipdate AS DATE) AS STRING)
+       || ';' || CASE l_orderkey % 5 WHEN 0 THEN 'NA' WHEN 1 THEN '' ELSE CAST(l_linenumber AS STRING) || '.0' END
+       || ';' || CASE l_orderkey % 3 WHEN 0 THEN '"1"' WHEN 1 THEN 'null' ELSE '2' END
+       || ';' || CASE l_linenumber WHEN 1 THEN 'NaN' WHEN 2 THEN 'N/A' ELSE '1.0' END
+       || ';' || CASE l_linenumber % 3 WHEN 0 THEN '"S;P"' WHEN 1 THEN '"R""J"' ELSE 'n/a' END
+       || ';' || l_returnflag AS line
+FROM {lineitem}
+"""
+
+# Pages as files; every other name ends in a date.
+PAGE_FILES = """
+SELECT page_id, html,
+       CASE WHEN page_id % 2 = 0 THEN 'INFLUD-' || lpad(CAST(page_id % 28 + 1 AS STRING), 2, '0') || '-07-2026.csv'
+            ELSE 'page-' || CAST(page_id AS STRING) || '.csv' END AS file_name
+FROM {pages}
+"""
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -251,8 +272,16 @@ def manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run(spark, RUNS, periods=periods(spark, sf_dir))
+    return run(spark, RUNS, documents=read(spark, sf_dir, "documents"), periods=periods(spark, sf_dir))
 
 
 def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, RAW_CASES, lineitem=read(spark, sf_dir, "lineitem"))
+
+
+def case_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, CASE_LINES, lineitem=read(spark, sf_dir, "lineitem"))
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, PAGE_FILES, pages=read(spark, sf_dir, "pages"))

@@ -20,6 +20,7 @@ from sentinela.operators import quality as q
 from sentinela.operators import sanitize as sa
 from sentinela.operators import series as s
 from sentinela.plans import audit, report
+from sentinela.schema import METRIC_KEYS
 from sentinela.session import spread
 from sentinela.sources import cases as c
 from sentinela.sources import news as n
@@ -69,10 +70,19 @@ def metrics_long(spark, sf_dir):
 @query
 def metrics_missing_column(spark, sf_dir):
     """The table lacks one metric's column: that metric falls back, the others stand."""
-    cases = a.srag(spark, sf_dir).drop("UTI")
+    cases = a.srag_between(spark, sf_dir, a.START_DATE, a.END_DATE).drop("UTI")
     return m.compute_metrics(cases, a.START_DATE, a.END_DATE).select("position", *METRIC_COLUMNS)
 
 
+@query
+def metrics_isolated(spark, sf_dir):
+    """Text in one metric's column: that metric falls back, the others stand."""
+    cases = a.srag_between(spark, sf_dir, a.START_DATE, a.END_DATE)
+    text = F.when(F.col("EVOLUCAO") == 9, "ignorado").otherwise(F.col("UTI").cast("string"))
+    broken = cases.withColumn("UTI", text.cast("int"))
+    return m.compute_metrics_isolated(broken, a.START_DATE, a.END_DATE).select("position", *METRIC_COLUMNS)
+
+
 @query
 def metrics_by_period(spark, sf_dir):
     return m.metrics_by_period(a.srag(spark, sf_dir), a.periods(spark, sf_dir)).select("report_id", "position", *METRIC_COLUMNS)
@@ -117,9 +127,11 @@ def series_by_period(spark, sf_dir):
 @query
 def series_status(spark, sf_dir):
     """Series of a window with cases and of one after the last case."""
-    cases = a.srag(spark, sf_dir)
-    full = s.series_status(s.daily_cases(cases, a.END_DATE)).withColumn("window", F.lit("full"))
-    return full.unionByName(s.series_status(s.daily_cases(cases, "2020-01-01")).withColumn("window", F.lit("empty")))
+    def status(first, end, window):
+        cases = a.srag_between(spark, sf_dir, first, end)
+        return s.series_status(s.daily_cases(cases, end)).withColumn("window", F.lit(window))
+
+    return status("1999-12-02", a.END_DATE, "full").unionByName(status("2019-12-02", "2020-01-01", "empty"))
 
 
 @query
@@ -133,6 +145,22 @@ def clean_cases(spark, sf_dir):
     return c.clean_cases(a.raw_cases(spark, sf_dir))
 
 
+@query
+def case_lines(spark, sf_dir):
+    """Delimited lines with missing-value spellings, whole decimals and quotes, read and cleaned."""
+    raw = c.parse_case_lines(a.case_lines(spark, sf_dir), a.LINE_COLUMNS)
+    return c.clean_cases(raw).withColumn("rows", F.lit(1)).groupBy(*a.LINE_COLUMNS).agg(F.count("rows").alias("cases"))
+
+
+@query
+def page_fingerprints(spark, sf_dir):
+    """What is recorded of a source file, for pages under file names, some of which end in a date."""
+    pages = a.page_files(spark, sf_dir)
+    found = c.fingerprint(F.col("html").cast("binary"))
+    return pages.select(
+        "page_id", *[v.alias(k) for k, v in found.items()], c.extraction_date(F.col("file_name")).alias("extraction_date"))
+
+
 @query
 def exclusion_log(spark, sf_dir):
     return q.exclusion_log(a.raw_cases(spark, sf_dir))
@@ -151,7 +179,7 @@ def source_files(spark, sf_dir):
 
 @query
 def sync_actions(spark, sf_dir):
-    return snapshots.sync_actions(*a.manifests(spark, sf_dir))
+    return snapshots.sync_actions(*a.manifests(spark, sf_dir), "2026-07-20T10:11:12+00:00")
 
 
 @query
@@ -165,7 +193,8 @@ def canonical_numbers(spark, sf_dir):
     """Prices and quantities of the line items spelled the Brazilian way and read back."""
     price = F.translate(F.format_number("l_extendedprice", 2), ",.", ".,")
     grouped = F.translate(F.format_number(F.col("l_orderkey") * 100 + F.col("l_linenumber"), 0), ",", ".")
-    rate = F.concat(F.translate(F.format_string("%.2f", F.col("l_discount")), ".", ","), F.lit("%"))
+    sign = F.when(F.col("l_linenumber") % 2 == 0, "%").otherwise(" %")
+    rate = F.concat(F.translate(F.format_string("%.2f", F.col("l_discount")), ".", ","), sign)
     spelled = F.explode(F.array(price, grouped, rate, F.col("l_returnflag"), F.format_string("%.2f", F.col("l_tax"))))
     lines = spread(a.read(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", spelled.alias("raw"))
     return lines.select("l_orderkey", "l_linenumber", "raw", parse_number(F.col("raw")).alias("value"))
@@ -183,16 +212,14 @@ def news_numbers(spark, sf_dir):
 
 @query
 def numeric_mismatches(spark, sf_dir):
-    facts, news = a.facts(spark, sf_dir), n.top_news(a.news(spark, sf_dir))
-    found = g.numeric_mismatches(a.narratives(spark, sf_dir, facts), facts, news)
-    nth = F.row_number().over(Window.partitionBy("narrative_id").orderBy("pos"))
-    return found.select("narrative_id", "report_id", nth.alias("nth"), "raw", "value")
+    facts = a.facts(spark, sf_dir)
+    return g.numeric_mismatches(a.narratives(spark, sf_dir, facts), facts, a.news(spark, sf_dir))
 
 
 @query
 def source_mismatches(spark, sf_dir):
     narratives = a.narratives(spark, sf_dir, a.facts(spark, sf_dir))
-    return g.source_mismatches(narratives, n.top_news(a.news(spark, sf_dir)))
+    return g.source_mismatches(narratives, a.news(spark, sf_dir))
 
 
 @query
@@ -290,18 +317,19 @@ def sources_list(spark, sf_dir):
     return report.source_lists(a.news(spark, sf_dir))
 
 
-def _report_outcomes(spark, sf_dir, facts, news):
-    """The outcome of the narrative each report shows: its first one."""
-    rank = F.row_number().over(Window.partitionBy("report_id").orderBy("narrative_id"))
-    shown = a.narratives(spark, sf_dir, facts).withColumn("rank", rank).filter("rank = 1").drop("rank")
-    return g.validate_narratives(shown, facts, news).drop("narrative_id")
+def _outcomes(spark, sf_dir, facts, news):
+    """The draft and the outcome of every run; each narrative is a run of its report."""
+    drafts = a.narratives(spark, sf_dir, facts)
+    run_id = F.concat(F.lit("run-"), F.col("narrative_id").cast("string"))
+    found = g.validate_narratives(drafts, facts, news).withColumn("run_id", run_id).drop("narrative_id", "report_id")
+    return found.join(drafts.select(run_id.alias("run_id"), "narrative"), "run_id")
 
 
 @query
 def report_text(spark, sf_dir):
     cases, runs = a.srag(spark, sf_dir), a.runs(spark, sf_dir)
     facts, news = a.facts(spark, sf_dir), a.news(spark, sf_dir)
-    outcomes = _report_outcomes(spark, sf_dir, facts, news)
+    outcomes = _outcomes(spark, sf_dir, facts, news)
     return report.render_reports(runs, facts, outcomes, news, report.series_by_end(cases, runs))
 
 
@@ -313,15 +341,21 @@ def audit_rows(spark, sf_dir):
         F.create_map(F.lit("daily_cases"), F.lit("daily")).alias("chart_paths"),
     )
     facts, news = a.facts(spark, sf_dir), a.news(spark, sf_dir)
-    outcomes = _report_outcomes(spark, sf_dir, facts, news).withColumn("narrative", F.col("narrative_validated"))
+    outcomes = _outcomes(spark, sf_dir, facts, news)
     records = audit.audit_records(runs, facts, outcomes, sa.sanitized_blocks(news))
-    m = F.col("metrics")
+    m, diff = F.col("metrics"), F.col("validation_diff")
+    fields = ("value", "computable", "numerator", "denominator", "period", "definition_ref", "query")
+    plain = [m[k][f].alias(f"{k}_{f}") for k in METRIC_KEYS if k != "vaccination_coverage" for f in fields]
+    parts = [m["vaccination_coverage"][f][c].alias(f"{c}_{f}") for f in ("value", "numerator") for c in ("covid", "flu")]
+    parts += [m["vaccination_coverage"][f].alias(f"vaccination_{f}") for f in fields if f not in ("value", "numerator")]
     return records.select(
         "run_id", "timestamp", "data_mode", "source_csv_hash", "source_extraction_date", "news_source", "news_flagged",
-        "retry_count", "validation_passed", "error",
+        "narrative_draft", "retry_count", "validation_passed", "error",
         F.col("data_check_result.action").alias("sync_action"),
+        F.array_join("exclusion_log.pii_stripped", ",").alias("pii_stripped"),
         F.array_join("exclusion_log.columns_not_found", ",").alias("columns_not_found"),
-        m["case_growth_rate"]["value"].alias("growth"), m["mortality_rate"]["numerator"].alias("deaths"),
-        m["uti_admission_rate"]["period"].alias("period"), m["vaccination_coverage"]["value"]["flu"].alias("flu"),
-        m["vaccination_coverage"]["definition_ref"].alias("definition_ref"),
+        F.col("chart_paths")["daily_cases"].alias("daily_chart"),
+        F.array_join(F.transform(diff["numeric_mismatches"], lambda n: n["raw"]), "|").alias("numbers"),
+        F.array_join(F.transform(diff["source_mismatches"], lambda n: n["cited"]), "|").alias("urls"),
+        *plain, *parts,
     )

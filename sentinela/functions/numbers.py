@@ -14,7 +14,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sentinela.functions.text import strip_space
+from sentinela.functions.text import WHITE_SPACE, strip_space
 
 # One number token with at most one separator group, no digit on either side. A run of digits
 # always matches from its first digit, so nothing need be said about the character before.
@@ -25,18 +25,30 @@ CONTEXT_CHARS = 48
 YEAR_FIRST, YEAR_LAST = 1900, 2100
 WINDOW_DAYS = [7, 14, 30]
 
-MONTHS = (
-    r"(?:jan(?:eiro)?|fev(?:ereiro)?|mar[çc]o|abr(?:il)?|mai(?:o)?|jun(?:ho)?|"
-    r"jul(?:ho)?|ago(?:sto)?|set(?:embro)?|out(?:ubro)?|nov(?:embro)?|dez(?:embro)?)"
-)
-PROSE_DATE = rf"(?iU)^\s*(?:[ae]\s+\d{{1,2}}\s*)?(?:de\s+)?{MONTHS}\b"
-DURATION = r"(?iU)^\s*(?:[aàe~–—\-]+\s*\d+)?\s*dias?\b"
-AFTER_DURATION = DURATION + r"\s*([^.,;]*)"
-TWO_WORDS_AFTER_DURATION = DURATION + r"\W*(\w*)\W*(\w*)"
-WINDOW_ANCHOR = (
-    r"(?iU)(?:últim[oa]s|ultimos|próxim[oa]s|proximos|per[íi]odo(?:\s+de)?|janela(?:\s+de)?)"
-    r"(?:\s*~?\s*\d+\s*[aàe–—\-~]+\s*)?\s*[~–—\-]*\s*\z"
-)
+# Month names and short forms that make the number before them a day.
+MONTH_WORDS = [
+    "janeiro", "fevereiro", "março", "marco", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro",
+    "dezembro", "jan", "fev", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez",
+]
+# Words before a number of days that make it a window of observation.
+ANCHOR_WORDS = [
+    "últimos", "últimas", "ultimos", "próximos", "próximas", "proximos", "período de", "periodo de", "período", "periodo",
+    "janela de", "janela",
+]
+
+# What a gap between two numbers says. A word that ends a gap is followed by the first character of the next number, so
+# that it only ends where a word does.
+NAMES_MONTH = rf"(?iU)^\s*(?:de\s+)?(?:{'|'.join(MONTH_WORDS)})\b"
+JOINS_DAYS = r"(?iU)^\s*[ae]\s+\z"
+NAMES_DAYS = r"(?iU)^\s*dias?\b"
+JOINS_RANGE = r"(?iU)^\s*[aàe~–—-]+\s*\z"
+_ANCHOR = "|".join(w.replace(" ", r"\s+") for w in ANCHOR_WORDS)
+ENDS_IN_ANCHOR = rf"(?iU)(?:{_ANCHOR})\s*[~–—-]*\s*\z"
+ANCHORS_RANGE = rf"(?iU)(?:{_ANCHOR})\s*~?\s*\z"
+CONTINUES_RANGE = r"(?iU)^\s*[aàe~–—-]+\s*[~–—-]*\s*\z"
+# What follows the days of a window: its first two words, and the phrase up to a stop.
+TWO_WORDS = r"(?isU)^.*?dias?\b\W*(\w*)\W*(\w*)"
+PHRASE = r"(?isU)^.*?dias?\b\s*([^.,;]*)"
 
 # Words that make a duration a clinical claim.
 CLINICAL_WORDS = [
@@ -95,7 +107,7 @@ def _plain_spelling(bare: str) -> str:
 
 _VALUE = _let(
     "s", _ascii_digits("t"),
-    _let("b", "CASE WHEN endswith(s, '%') THEN left(s, length(s) - 1) ELSE s END",
+    _let("b", f"CASE WHEN endswith(s, '%') THEN rtrim('{WHITE_SPACE}', left(s, length(s) - 1)) ELSE s END",
          _let("n", _plain_spelling("b"), f"CASE WHEN n RLIKE r'{DECIMAL}' THEN try_cast(n AS DOUBLE) END")),
 )
 
@@ -103,7 +115,7 @@ _VALUE = _let(
 def parse_number(text: Column) -> Column:
     """Value of a number written the Brazilian way, or NULL.
 
-    One trailing percent sign is ignored. With a comma, dots group thousands and the comma is the decimal
+    One trailing percent sign is ignored, and white space before it. With a comma, dots group thousands and the comma is the decimal
     mark. Without one, `7.485` is a grouped count unless it starts with a lone zero.
     """
     return _apply(_VALUE, strip_space(text))
@@ -120,7 +132,7 @@ def _window_stands(rest: str) -> str:
     """
     clinical, method = _word_list(CLINICAL_WORDS), _word_list(METHOD_WORDS)
     direct = " OR ".join(
-        f"array_contains({clinical}, lower(regexp_extract({rest}, r'{TWO_WORDS_AFTER_DURATION}', {i})))" for i in (1, 2)
+        f"array_contains({clinical}, lower(regexp_extract({rest}, r'{TWO_WORDS}', {i})))" for i in (1, 2)
     )
     linked = "phrase RLIKE '^(?:" + "|".join(LINKING_WORDS) + ") '"
     words = _let(
@@ -128,7 +140,7 @@ def _window_stands(rest: str) -> str:
         f"NOT arrays_overlap(words, {clinical}) AND arrays_overlap(words, {method})",
     )
     judged = _let(
-        "phrase", f"lower(regexp_extract({rest}, r'{AFTER_DURATION}', 1))", f"CASE WHEN {linked} THEN {words} ELSE true END"
+        "phrase", f"lower(regexp_extract({rest}, r'{PHRASE}', 1))", f"CASE WHEN {linked} THEN {words} ELSE true END"
     )
     return f"NOT ({direct}) AND {judged}"
 
@@ -147,34 +159,47 @@ def _widened(text: str, pairs: int, wider: str) -> str:
 # Mostly the gap alone, or two pairs with it, is long enough. A pair holds two characters at least, so 25 of
 # them always are.
 _BEFORE = _widened("get(q.near, i)", 0, _let("b", _joined(2), _widened("b", 2, _joined(25))))
-# A date or duration that follows can span one further number at most; the first character of the one after
-# that decides whether its last word ends there.
-_AFTER = """concat(get(q.gaps, i + 1), coalesce(get(q.raws, i + 1), ''), coalesce(get(q.gaps, i + 2), ''),
-                   left(coalesce(get(q.raws, i + 2), ''), 1))"""
-_AROUND = f"""named_struct('raw', get(q.raws, i), 'bare', rtrim('%', {_ascii_digits("get(q.raws, i)")}),
-                           'before', {_BEFORE}, 'after', {_AFTER}, 'start', get(q.starts, i))"""
-_PLAIN = rf"""NOT endswith(w.before, '/') AND NOT startswith(w.after, '/') AND NOT startswith(w.after, 'º')
+_AROUND = f"""named_struct('i', i, 'raw', get(q.raws, i), 'bare', rtrim('%', {_ascii_digits("get(q.raws, i)")}),
+                           'before', {_BEFORE}, 'gap', get(q.gaps, i + 1), 'second', coalesce(get(q.raws, i + 1), ''),
+                           'beyond', concat(coalesce(get(q.gaps, i + 2), ''), left(coalesce(get(q.raws, i + 2), ''), 1)),
+                           'start', get(q.starts, i))"""
+_PLAIN = rf"""NOT endswith(w.before, '/') AND NOT startswith(w.gap, '/') AND NOT startswith(w.gap, 'º')
     AND NOT right(w.before, 2) RLIKE r'\p{{L}}-?\z'
     AND NOT (length(w.bare) = 4 AND NOT endswith(w.raw, '%') AND w.bare RLIKE r'^\d{{4}}\z'
              AND try_cast(w.bare AS INT) BETWEEN {YEAR_FIRST} AND {YEAR_LAST})"""
 # Adding zero keeps a signed zero from being told apart from zero.
 _VALUED = f"""named_struct('raw', w.raw, 'value',
     try_cast(concat(CASE WHEN endswith(w.before, '-') THEN '-' ELSE '' END, {_plain_spelling("w.bare")}) AS DOUBLE) + 0.0D,
-    'start', w.start, 'context', lower(w.before), 'after', w.after)"""
+    'start', w.start, 'context', lower(w.before), 'i', w.i, 'gap', w.gap, 'second', w.second, 'beyond', w.beyond)"""
 _REST = "right(q.text, length(q.text) - v.start - length(v.raw))"
-_QUANTITY = f"""v.value IS NOT NULL AND NOT v.after RLIKE r'{PROSE_DATE}'
-    AND NOT (CASE WHEN abs(v.value) IN ({", ".join(f"{d}D" for d in WINDOW_DAYS)}) AND v.after RLIKE r'{DURATION}'
-                       AND v.context RLIKE r'{WINDOW_ANCHOR}'
+_NEXT = "concat(v.gap, left(v.second, 1))"
+_IS_DAY = rf"""({_NEXT} RLIKE r'{NAMES_MONTH}'
+    OR v.gap RLIKE r'{JOINS_DAYS}' AND v.second RLIKE r'^\p{{Nd}}{{1,2}}\z' AND v.beyond RLIKE r'{NAMES_MONTH}')"""
+_IS_SPAN = rf"""({_NEXT} RLIKE r'{NAMES_DAYS}'
+    OR v.gap RLIKE r'{JOINS_RANGE}' AND v.second RLIKE r'^\p{{Nd}}+\z' AND v.beyond RLIKE r'{NAMES_DAYS}')"""
+# Words count within the characters before a token that its context holds.
+_ROOM = f"right(get(q.near, v.i - 1), {CONTEXT_CHARS} - length(get(q.raws, v.i - 1)) - length(get(q.near, v.i)))"
+_ANCHORED = rf"""(get(q.near, v.i) RLIKE r'{ENDS_IN_ANCHOR}'
+    OR v.i > 0 AND get(q.near, v.i) RLIKE r'{CONTINUES_RANGE}' AND get(q.raws, v.i - 1) RLIKE r'^\p{{Nd}}+\z'
+       AND {_ROOM} RLIKE r'{ANCHORS_RANGE}')"""
+_QUANTITY = f"""v.value IS NOT NULL AND NOT {_IS_DAY}
+    AND NOT (CASE WHEN abs(v.value) IN ({", ".join(f"{d}D" for d in WINDOW_DAYS)}) AND {_IS_SPAN} AND {_ANCHORED}
                   THEN {_let("rest", _REST, _window_stands("rest"))} ELSE false END)"""
 _KEPT = f"""transform(
     filter(transform(filter(transform(sequence(0, size(q.raws) - 1), i -> {_AROUND}), w -> {_PLAIN}), w -> {_VALUED}), v -> {_QUANTITY}),
     v -> named_struct('raw', v.raw, 'value', v.value, 'start', v.start, 'context', v.context))"""
-_ENDS = """aggregate(transform(p.raws, (r, i) -> length(get(p.gaps, i)) + length(r)),
-    named_struct('at', 0, 'ends', CAST(array() AS ARRAY<INT>)),
-    (acc, n) -> named_struct('at', acc.at + n, 'ends', array_append(acc.ends, acc.at + n)), acc -> acc.ends)"""
+# Lengths run up in two levels, blocks and within them, so that no array grows by one element per token.
+_BLOCK = 128
+_SUM = "(s, n) -> s + n"
+_BLOCKS = f"""transform(sequence(0, (size(l) - 1) div {_BLOCK}), b -> aggregate(slice(l, b * {_BLOCK} + 1, {_BLOCK}), 0, {_SUM}))"""
+_BASES = f"""aggregate({_BLOCKS}, named_struct('at', 0, 'bases', CAST(array() AS ARRAY<INT>)),
+    (acc, n) -> named_struct('at', acc.at + n, 'bases', array_append(acc.bases, acc.at)), acc -> acc.bases)"""
+_STARTS = _let(
+    "l", "transform(p.raws, (r, i) -> length(get(p.gaps, i)) + length(r))",
+    _let("bases", _BASES, f"""transform(p.raws, (r, i) ->
+        get(bases, i div {_BLOCK}) + aggregate(slice(l, i - i % {_BLOCK} + 1, i % {_BLOCK} + 1), 0, {_SUM}) - length(r))"""))
 _PIECES = f"""named_struct('text', p.text, 'raws', p.raws, 'gaps', p.gaps,
-    'near', transform(p.gaps, g -> right(g, {CONTEXT_CHARS})),
-    'starts', {_let("e", _ENDS, "transform(p.raws, (r, i) -> get(e, i) - length(r))")})"""
+    'near', transform(p.gaps, g -> right(g, {CONTEXT_CHARS})), 'starts', {_STARTS})"""
 _CUT = f"named_struct('text', t, 'raws', regexp_extract_all(t, r'{NUMBER}', 0), 'gaps', split(t, r'{NUMBER}', -1))"
 _TOKENS = rf"""CASE WHEN t RLIKE r'\p{{Nd}}' THEN {_let("p", _CUT, _let("q", _PIECES, _KEPT))}
     WHEN t IS NOT NULL THEN CAST(array() AS {TOKEN_TYPE}) END"""

@@ -29,6 +29,8 @@ BLOCK_START = "{{NEWS_CONTENT_START}}"
 BLOCK_END = "{{NEWS_CONTENT_END}}"
 
 
+NUMBER_RUN = r"\p{Nd}[\p{Nd}.,%]*"
+
 # White space of every script, from the character properties.
 WHITE_SPACE = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
 
@@ -58,6 +60,12 @@ def strip_markers(text: Column) -> Column:
     return F.replace(bare, F.lit(BLOCK_END), F.lit(""))
 
 
+def variant_text(value: Column) -> Column:
+    """A JSON value as text: an explicit null reads None, truth values True and False. NULL for a missing value."""
+    text = F.try_variant_get(value, "$", "string")
+    return F.when(F.is_variant_null(value), "None").when(F.schema_of_variant(value) == "BOOLEAN", F.initcap(text)).otherwise(text)
+
+
 def content_text(content: Column) -> Column:
     """Text of a model answer: plain, or a JSON list of blocks joined by line breaks.
 
@@ -68,9 +76,10 @@ def content_text(content: Column) -> Column:
 
     def block_text(block: Column) -> Column:
         kind = F.schema_of_variant(block)
-        inner = F.try_variant_get(block, "$.text", "string")
+        inner = F.try_variant_get(block, "$.text", "variant")
+        spelled = variant_text(inner)
         return F.when(kind == "STRING", F.variant_get(block, "$", "string")).otherwise(
-            F.coalesce(inner, F.to_json(block))
+            F.coalesce(spelled, F.to_json(block))
         )
 
     joined = F.array_join(F.transform(blocks, block_text), "\n")
@@ -82,16 +91,28 @@ def strip_mismatches(text: Column, raws: Column, urls: Column) -> Column:
 
     A number is deleted only where no digit touches it; every copy goes, whether or not that copy was flagged.
     A deletion cannot put a new copy together, since no digit stood on either side, so each spelling is
-    deleted once.
+    deleted once. A spelling lies within one run of digits, points, commas and percent signs, so the text is
+    cut at these runs once, and each run only meets the spellings it contains.
     """
-    without_numbers = F.aggregate(
-        F.array_distinct(raws), text, lambda t, raw: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{Nd})\Q"), raw, F.lit(r"\E(?!\p{Nd})")), F.lit(""))
-    )
+
+    def without(run: Column, found: Column) -> Column:
+        return F.aggregate(
+            F.filter(found, lambda raw: F.contains(run, raw)), run,
+            lambda t, raw: F.regexp_replace(t, F.concat(F.lit(r"(?<!\p{Nd})\Q"), raw, F.lit(r"\E(?!\p{Nd})")), F.lit("")))
+
+    def joined(cut: Column) -> Column:
+        return F.array_join(F.transform(cut["gaps"], lambda g, i: F.concat(g, F.coalesce(without(F.get(cut["runs"], i), cut["raws"]), F.lit("")))), "")
+
+    # bound once, as a lambda's variable, or the text would be cut again for each of its pieces
+    cut = F.struct(
+        F.regexp_extract_all(text, F.lit(NUMBER_RUN), F.lit(0)).alias("runs"), F.split(text, NUMBER_RUN, -1).alias("gaps"),
+        F.array_distinct(raws).alias("raws"))
+    cleaned = F.when(F.size(raws) > 0, F.get(F.transform(F.array(cut), joined), F.lit(0))).otherwise(text)
 
     def without_url(t: Column, url: Column) -> Column:
         bare = F.replace(t, url, F.lit(""))
         return F.replace(bare, F.concat(url, F.lit("/")), F.lit(""))
 
-    without_urls = F.aggregate(urls, without_numbers, without_url)
+    without_urls = F.aggregate(urls, cleaned, without_url)
     spaced = F.regexp_replace(F.regexp_replace(without_urls, " {2,}", " "), r"\n{3,}", "\n\n")
     return strip_space(spaced)

@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 
 from sentinela.functions.direction import is_grounded
 from sentinela.functions.numbers import number_tokens
-from sentinela.functions.text import strip_mismatches
+from sentinela.functions.text import content_text, strip_mismatches
 from sentinela.functions.urls import cited_urls, normalize_url
 from sentinela.operators.facts import allowed_numbers, wide_facts
 from sentinela.operators.skew import MIN_ROWS, PART, hot_keys, repeat_hot, split_hot
-from sentinela.schema import MAX_ATTEMPTS, MAX_NEWS_ITEMS
-from sentinela.sources.news import top_news
+from sentinela.schema import MAX_ATTEMPTS
 
 # Fixed value: appended to a narrative published with claims taken out.
 NOTICE = "\n\n> ⚠️ Narrativa parcialmente validada — consulte a tabela de métricas oficiais."
@@ -128,34 +127,10 @@ def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame,
     return _unknown(claims, facts, ["report_id", "value", "url"])
 
 
-def _checked_by_report(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
-    """Narratives with their unsupported `numbers` and `urls`, decided within each row.
+def _checked(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
+    """Narratives with their unsupported `numbers` and `urls`: claims are anti-joined, gathered and joined back.
 
-    What a report's metrics and few items state is one row per report, so the texts are read once, meet that
-    row in one equality join, and are never gathered again.
-    """
-    values = F.transform(number_tokens(_news_blob(news)), lambda t: t["value"])
-    known = news.groupBy("report_id").agg(
-        F.array_distinct(F.flatten(F.collect_list(values))).alias("known_numbers"),
-        F.collect_set(F.when(F.col("url") != "", normalize_url(F.col("url")))).alias("known_urls"),
-    )
-    no_numbers, no_urls = F.array().cast("array<double>"), F.array().cast("array<string>")
-    reports = _allowed(metrics).join(known, "report_id", "full")
-    joined = _with_reports(narratives, reports, min_rows).withColumns({
-        "known_numbers": F.coalesce("known_numbers", no_numbers), "known_urls": F.coalesce("known_urls", no_urls),
-    })
-    unsupported = F.filter(_candidates(), lambda t: ~F.array_contains(F.col("known_numbers"), t["value"]))
-    return joined.select(
-        *narratives.columns,
-        F.transform(unsupported, lambda t: F.struct(t["raw"].alias("raw"), t["value"].alias("value"))).alias("numbers"),
-        F.array_except(cited_urls(F.col("narrative")), F.col("known_urls")).alias("urls"),
-    )
-
-
-def _checked_by_claim(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
-    """The same for reports with any number of items: claims are anti-joined, gathered and joined back.
-
-    What is gathered is one narrative's own numbers and URLs, by its id.
+    A report may have any number of items. What is gathered is one narrative's own numbers and URLs, by its id.
     """
     gathered = _all_mismatches(narratives, metrics, news, min_rows).groupBy("narrative_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("url") == "", F.struct("pos", "raw", "value")))).alias("found"),
@@ -170,18 +145,15 @@ def _checked_by_claim(narratives: DataFrame, metrics: DataFrame, news: DataFrame
 
 
 def validate_narratives(
-    narratives: DataFrame, metrics: DataFrame, news: DataFrame, limit: int | None = MAX_NEWS_ITEMS,
-    min_rows: int = MIN_ROWS,
+    narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Outcome per narrative: passed, to be retried, or published with its unsupported claims taken out.
 
-    `limit` is the number of items a report's search returns, in order of `pos`. With None every item of
-    `news` counts, however many a report has.
+    A narrative may be a JSON list of content blocks; its text is what is checked and published. A NULL one is empty text,
+    which states nothing and passes. Every item of a report's news counts.
     """
-    if limit is None:
-        checked = _checked_by_claim(narratives, metrics, news, min_rows)
-    else:
-        checked = _checked_by_report(narratives, metrics, top_news(news, limit), min_rows)
+    narratives = narratives.withColumn("narrative", F.coalesce(content_text(F.col("narrative")), F.lit("")))
+    checked = _checked(narratives, metrics, news, min_rows)
     passed = (F.size("numbers") == 0) & (F.size("urls") == 0)
     attempts = F.col("retry_count") + F.lit(1)
     cleaned = strip_mismatches(F.col("narrative"), F.transform("numbers", lambda n: n["raw"]), F.col("urls"))

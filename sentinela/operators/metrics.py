@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import date, timedelta
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentinela.functions.dates import ordered_period, period_text
@@ -228,38 +228,44 @@ def day_counts(cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return cases.filter(F.col(ONSET).isNotNull()).groupBy(*by, F.col(ONSET).alias("day")).agg(*aggregates)
 
 
+def running_totals(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(day, names): totals up to and with each calendar day from the first to the last of `counts` (one row per day)."""
+    by_day = Window.orderBy("day")
+    upto = by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = counts.select(*[F.sum(n).over(upto).alias(n) for n in names], "day", F.lead("day").over(by_day).alias("next"))
+    days = F.sequence(F.col("day"), F.coalesce(F.date_sub("next", 1), F.col("day")))
+    return summed.select(F.explode(days).alias("day"), *names)
+
+
 def metrics_by_period(
     cases: DataFrame, periods: DataFrame, key: str = "report_id", days: int = GROWTH_DAYS, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """All metrics for every row of `periods (key, start_date, end_date)`, dates as ISO text.
 
-    The cases are reduced to day counts once, whatever the number of periods. Each *distinct* period is
-    expanded to its days and joined to the day counts on the day: an equality join of two small tables.
-    A period that many keys share is split over tasks. One with a malformed date, or without cases, keeps its
-    fallback rows.
+    The cases are reduced to day counts once, whatever the number of periods, and these to running totals. Each *distinct*
+    period looks up four days, whatever its length: an equality join of two small tables. A period that many keys share is
+    split over tasks. One with a malformed date, or without cases, keeps its fallback rows.
     """
     start, end = ordered_period(F.col("start_date"), F.col("end_date"))
     periods = periods.select(key, start.alias("start_date"), end.alias("end_date"))
     distinct = periods.select("start_date", "end_date").distinct().select(
         "start_date", "end_date",
         F.col("start_date").try_cast("date").alias("s"), F.col("end_date").try_cast("date").alias("e"),
-    )
-    first = F.least(F.col("s"), F.date_sub("e", 2 * days))
-    spans = distinct.select(
-        "start_date", "end_date", "s", "e", F.explode(F.sequence(first, F.date_sub("e", 1))).alias("day")
-    )
-    inside = F.col("day") >= F.col("s")
-    current = F.col("day") >= F.date_sub("e", days)
-    prior = (F.col("day") >= F.date_sub("e", 2 * days)) & ~current
-    counts = (
-        spans.join(day_counts(cases), "day")
-        .groupBy("start_date", "end_date")
-        .agg(
-            F.sum(F.when(current, F.col("cases"))).alias("current"),
-            F.sum(F.when(prior, F.col("cases"))).alias("prior"),
-            *[F.sum(F.when(inside, F.col(c))).alias(c) for c in COUNTS],
-        )
-    )
+    ).filter("e IS NOT NULL")
+    names = ["cases", *COUNTS]
+    by_day = day_counts(cases)
+    last = by_day.agg(F.max("day")).scalar()
+    looked_up = F.array(*[
+        F.struct(F.lit(what).alias("what"), F.least(F.date_sub(day, back), last).alias("day"))
+        for what, day, back in (("end", "e", 1), ("start", "s", 1), ("current", "e", days + 1), ("prior", "e", 2 * days + 1))
+    ])
+    found = distinct.select("start_date", "end_date", "s", F.inline(looked_up)).join(running_totals(by_day, names), "day", "left")
+    at = lambda what, name: F.coalesce(F.sum(F.when(F.col("what") == what, F.col(name))), F.lit(0).cast("long"))
+    counts = found.groupBy("start_date", "end_date", "s").agg(
+        (at("end", "cases") - at("current", "cases")).alias("current"),
+        (at("current", "cases") - at("prior", "cases")).alias("prior"),
+        *[F.when(F.col("s").isNotNull(), at("end", c) - at("start", c)).alias(c) for c in COUNTS],
+    ).drop("s")
     end_day = F.col("end_date").try_cast("date")
     period = period_text(F.col("start_date"), F.col("end_date"))
     growth_period = F.when(end_day.isNotNull(), period_text(F.date_sub(end_day, days), end_day)).otherwise(period)

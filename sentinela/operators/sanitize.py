@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sentinela.functions.text import BLOCK_END, BLOCK_START, is_injection, strip_injection, strip_markers
-from sentinela.schema import MAX_NEWS_ITEMS
-from sentinela.sources.news import top_news
 
 
 def sanitize_items(news: DataFrame) -> DataFrame:
@@ -20,14 +18,12 @@ def sanitize_items(news: DataFrame) -> DataFrame:
     return marked.withColumn("text", F.when(F.col("flagged"), F.nullif(strip_injection(F.col("text")), F.lit(""))).otherwise(F.col("text")))
 
 
-def sanitized_blocks(news: DataFrame, limit: int = MAX_NEWS_ITEMS) -> DataFrame:
-    """One delimited block per report, its items in order: (report_id, sanitized_news, news_flagged).
+def sanitized_blocks(news: DataFrame) -> DataFrame:
+    """One delimited block per report, of all its items in order: (report_id, sanitized_news, news_flagged).
 
-    A block is a single text in one row. It holds the `limit` items a report's search returns, whatever the
-    number of items stored for the report.
+    A block is a single text in one row, so its size is that of the report's own items.
     """
-    items = sanitize_items(top_news(news, limit))
-    blocks = items.groupBy("report_id").agg(
+    blocks = sanitize_items(news).groupBy("report_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("pos", "text")))).alias("items"),
         F.max("flagged").alias("news_flagged"),
     )

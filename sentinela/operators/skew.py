@@ -8,6 +8,8 @@ are dealt over several parts, and their few lookup rows are repeated once per pa
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,13 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], min_rows: int = MIN_ROWS) ->
 
 
 def split_hot(rows: DataFrame, hot: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
-    """`rows` with the part each belongs to: 0, or one of its hot key's parts by the row's id."""
-    part = F.pmod(F.xxhash64(row_id), F.coalesce("parts", F.lit(1))).cast("int")
+    """`rows` with the part each belongs to: 0, or one of its hot key's parts by the row's id.
+
+    A NULL key matches no lookup row, so such rows are dealt over SHARE parts however many there are.
+    """
+    unmatched = reduce(or_, [F.col(k).isNull() for k in keys])
+    parts = F.when(unmatched, F.lit(SHARE)).otherwise(F.coalesce("parts", F.lit(1)))
+    part = F.pmod(F.xxhash64(row_id), parts).cast("int")
     return rows.join(F.broadcast(hot), list(keys), "left").withColumn(PART, part).drop("parts")
 
 

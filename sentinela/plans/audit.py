@@ -39,12 +39,12 @@ def audit_records(runs: DataFrame, metrics: DataFrame, outcomes: DataFrame, news
     """The audit record of every run, whether or not it reached a narrative.
 
     `runs` is (report_id, run_id, generated_at, data_mode, data_check_result, source_csv_hash,
-    source_extraction_date, exclusion_log, chart_paths, news_source, error); `outcomes` carries the draft as
-    `narrative` next to its outcome; `news_flags` is (report_id, news_flagged).
+    source_extraction_date, exclusion_log, chart_paths, news_source, error); `outcomes` carries the draft of
+    each run as `narrative` next to its outcome; `news_flags` is (report_id, news_flagged).
     """
     joined = (
         runs.join(wide_facts(metrics), "report_id", "left")
-        .join(outcomes, "report_id", "left")
+        .join(outcomes.drop("report_id"), "run_id", "left")
         .join(news_flags.select("report_id", "news_flagged"), "report_id", "left")
     )
     return joined.select(

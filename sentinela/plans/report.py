@@ -13,8 +13,7 @@ from sentinela.functions.dates import day_label, month_label
 from sentinela.functions.display import metric_lines, prompt_lines, table_row
 from sentinela.operators.facts import wide_facts
 from sentinela.operators.metrics import day_counts
-from sentinela.schema import DAILY_WINDOW_DAYS, MAX_NEWS_ITEMS, MONTHLY_WINDOW_DAYS
-from sentinela.sources.news import top_news
+from sentinela.schema import DAILY_WINDOW_DAYS, MONTHLY_WINDOW_DAYS
 
 # Texts of the report and the prompt.
 TITLE = "# Relatório de Vigilância SRAG\n"
@@ -23,6 +22,7 @@ NARRATIVE_NOTICE = (
     "\n> ⚠️ Esta narrativa foi parcialmente validada — consulte a tabela de métricas oficiais para valores precisos.\n"
 )
 NO_SOURCES = "## Fontes\n\nNenhuma notícia relevante encontrada neste período.\n"
+PROMPT_HEAD = "## Métricas do Período"
 PROMPT_NO_NEWS = (
     "## Contexto de Notícias\nNenhuma notícia relevante encontrada neste período. "
     "Não faça afirmações baseadas em notícias."
@@ -50,21 +50,22 @@ def metric_tables(metrics: DataFrame) -> DataFrame:
 
 def metric_prompts(metrics: DataFrame) -> DataFrame:
     """(report_id, metric_prompt): the metrics described to the model."""
-    parts = F.concat_ws("\n\n", F.lit("## Métricas do Período"), *metric_lines(prompt_lines))
+    parts = F.concat_ws("\n\n", F.lit(PROMPT_HEAD), *metric_lines(prompt_lines))
     return wide_facts(metrics).select("report_id", parts.alias("metric_prompt"))
 
 
 def prompts(metrics: DataFrame, blocks: DataFrame, availability: DataFrame) -> DataFrame:
-    """(report_id, prompt) from metric rows, sanitised blocks and news availability."""
-    joined = metric_prompts(metrics).join(blocks, "report_id", "left").join(availability, "report_id", "left")
+    """(report_id, prompt) from metric rows, sanitised blocks and news availability, for every report of any of them."""
+    joined = metric_prompts(metrics).join(blocks, "report_id", "full").join(availability, "report_id", "full")
     with_news = (F.col("news_source") == "tavily") & (F.col("sanitized_news") != "")
     news = F.when(with_news, F.concat(F.lit("## Contexto de Notícias\n\n"), F.col("sanitized_news"))).otherwise(PROMPT_NO_NEWS)
-    return joined.select("report_id", F.concat_ws("\n\n", "metric_prompt", news, F.lit(PROMPT_END)).alias("prompt"))
+    described = F.coalesce("metric_prompt", F.lit(PROMPT_HEAD))
+    return joined.select("report_id", F.concat_ws("\n\n", described, news, F.lit(PROMPT_END)).alias("prompt"))
 
 
-def source_lists(news: DataFrame, limit: int = MAX_NEWS_ITEMS) -> DataFrame:
-    """(report_id, sources): the numbered items a report's search returns."""
-    items = top_news(news, limit).groupBy("report_id").agg(
+def source_lists(news: DataFrame) -> DataFrame:
+    """(report_id, sources): the report's items, numbered."""
+    items = news.groupBy("report_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "title", "source", "url"))).alias("items")
     )
     lines = F.transform(
@@ -153,12 +154,12 @@ def render_reports(
     """(report_id, run_id, report): the whole report text of each run.
 
     `runs` is (report_id, run_id, generated_at, end_date, source_csv_hash, source_extraction_date,
-    pii_stripped, columns_not_found, news_source); `outcomes` has one validated narrative per report; `news`
+    pii_stripped, columns_not_found, news_source); `outcomes` has the validated narrative of each run; `news`
     holds the items of the reports; `series` that of `series_by_end`.
     """
     joined = (
         runs.join(metric_tables(metrics), "report_id", "left")
-        .join(outcomes.select("report_id", "narrative_validated", "validation_passed"), "report_id", "left")
+        .join(outcomes.select("run_id", "narrative_validated", "validation_passed"), "run_id", "left")
         .join(source_lists(news), "report_id", "left")
         .join(series_sections(series), "end_date", "left")
     )

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,8 +10,12 @@ from sentinela.operators.quality import drop_pii, select_columns
 from sentinela.schema import CASE_TYPES, ONSET
 
 DEFAULT_ENCODING = "ISO-8859-1"
-WHOLE_FILE_LIMIT = 1 << 30
-BLOCK_BYTES = 65536
+
+# Spellings of a missing value.
+MISSING = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+]
 
 
 def read_case_csv(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCODING) -> DataFrame:
@@ -33,16 +33,48 @@ def read_case_csv(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCODI
         raise
 
 
+def parse_case_lines(lines: DataFrame, columns: list[str], line: str = "line") -> DataFrame:
+    """Text lines in the layout of `columns` as a raw case table; other columns of `lines` are kept."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    parsed = F.from_csv(line, schema, {"sep": ";", "quote": '"', "escape": '"', "mode": "FAILFAST"})
+    return lines.withColumn("_row", parsed).select(*[c for c in lines.columns if c != line], "_row.*")
+
+
+def present(value: Column) -> Column:
+    """A raw value, NULL where it spells a missing one."""
+    return F.when(~value.isin(MISSING), value)
+
+
+def _is_whole(value: Column) -> Column:
+    number = value.try_cast("double")
+    return number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < 2**31)
+
+
+def _typed(name: str, kind: str) -> Column:
+    value = present(F.col(name).cast("string"))
+    if kind != "int":
+        return value.cast(kind)
+    # a column with blanks comes back from a rewrite with its codes as 1.0
+    message = F.concat(F.lit(f"no whole number in {name}: "), value)
+    return F.when(_is_whole(value), value.try_cast("double").cast("int")).when(value.isNotNull(), F.raise_error(message).cast("int"))
+
+
 def clean_cases(raw: DataFrame) -> DataFrame:
-    """Personal data dropped, the known columns kept in their order and cast strictly to their types."""
+    """Personal data dropped, the known columns kept in their order and cast strictly to their types.
+
+    Missing-value spellings give NULL. Codes may be written as whole decimals; any other text in a coded column, and any
+    text that is no date in a date column, raises an error.
+    """
     kept, _ = select_columns(drop_pii(raw))
-    return kept.select(*[F.col(c).cast(CASE_TYPES[c]).alias(c) for c in kept.columns])
+    return kept.select(*[_typed(c, CASE_TYPES[c]).alias(c) for c in kept.columns])
 
 
 def malformed_values(raw: DataFrame) -> DataFrame:
     """How many values of each typed column a strict cast would refuse: (column, malformed, example)."""
     typed = [c for c in CASE_TYPES if c in raw.columns and CASE_TYPES[c] != "string"]
-    bad = {c: F.col(c).isNotNull() & F.col(c).try_cast(CASE_TYPES[c]).isNull() for c in typed}
+    value = {c: present(F.col(c).cast("string")) for c in typed}
+    fits = {c: _is_whole(value[c]) if CASE_TYPES[c] == "int" else value[c].try_cast(CASE_TYPES[c]).isNotNull() for c in typed}
+    bad = {c: value[c].isNotNull() & ~fits[c] for c in typed}
     counts = raw.agg(*[
         F.struct(F.lit(c).alias("column"), F.count_if(bad[c]).alias("malformed"), F.min(F.when(bad[c], F.col(c))).alias("example"))
         .alias(c) for c in typed
@@ -74,40 +106,25 @@ def extraction_date(file_name: Column) -> Column:
     return F.when(file_name.rlike(pattern), F.concat_ws("-", year, month, day)).otherwise("unknown")
 
 
-def _hash_by_block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyarrow import fs
+def fingerprint(content: Column) -> dict[str, Column]:
+    """Length, SHA-256 and UTF-8 check of a file's content."""
+    return {
+        "length": F.octet_length(content).cast("bigint"), "sha256": F.sha2(content, 256),
+        "valid_utf8": F.is_valid_utf8(content.cast("string")),
+    }
 
-    for batch in batches:
-        hashes = []
-        for path in batch["path"]:
-            system, name = fs.FileSystem.from_uri(path)
-            digest = hashlib.sha256()
-            with system.open_input_stream(name) as stream:
-                while block := stream.read(BLOCK_BYTES):
-                    digest.update(block)
-            hashes.append(digest.hexdigest())
-        yield batch.assign(sha256=hashes)
 
-
-def source_files(spark: SparkSession, path: str, whole_limit: int = WHOLE_FILE_LIMIT) -> DataFrame:
+def source_files(spark: SparkSession, path: str) -> DataFrame:
     """Provenance of each file: file_name, length, sha256, extraction_date, valid_utf8, encoding.
 
-    Files up to `whole_limit` bytes are hashed as one value. Larger ones do not fit a value and are hashed
-    block by block in a task each; their UTF-8 check is NULL. The reading encoding is Latin-1 either way:
-    files that look like ASCII or UTF-8 are read as Latin-1 too.
+    A file is hashed as one value. One of 2 GiB or more does not fit a value and raises Spark's error, which names it. The
+    reading encoding is Latin-1 either way: files that look like ASCII or UTF-8 are read as Latin-1 too.
     """
     files = spark.read.format("binaryFile").load(path)
-    whole = files.filter(F.col("length") <= whole_limit).select(
-        "path", "length", F.sha2("content", 256).alias("sha256"),
-        F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8"),
-    )
-    large = (
-        files.filter(F.col("length") > whole_limit).select("path", "length")
-        .mapInPandas(_hash_by_block, "path string, length bigint, sha256 string")
-        .withColumn("valid_utf8", F.lit(None).cast("boolean"))
-    )
     name = F.element_at(F.split("path", "/"), -1)
-    return whole.unionByName(large).select(
-        name.alias("file_name"), "length", "sha256", extraction_date(name).alias("extraction_date"), "valid_utf8",
+    found = fingerprint(F.col("content"))
+    return files.select(
+        name.alias("file_name"), found["length"].alias("length"), found["sha256"].alias("sha256"),
+        extraction_date(name).alias("extraction_date"), found["valid_utf8"].alias("valid_utf8"),
         F.lit(DEFAULT_ENCODING).alias("encoding"),
     )

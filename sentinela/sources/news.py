@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sentinela.functions.text import variant_text
 from sentinela.schema import MAX_NEWS_ITEMS
 
 # Fields of a news row and the response fields they come from.
@@ -13,8 +14,7 @@ FIELDS = {"title": "title", "url": "url", "source": "source", "published_date":
 
 def _field(item: Column, name: str) -> Column:
     """Text of a field; a missing field is empty, an explicit null reads None."""
-    value = F.try_variant_get(item, f"$.{name}", "string")
-    return F.coalesce(value, F.when(F.is_variant_null(F.try_variant_get(item, f"$.{name}", "variant")), "None"), F.lit(""))
+    return F.coalesce(variant_text(F.try_variant_get(item, f"$.{name}", "variant")), F.lit(""))
 
 
 def extract_news(responses: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def extract_news(responses: DataFrame) -> DataFrame:
 
     `pos` is the entry's place in its response; other columns of the responses are kept. Entries that are no objects are skipped; a response whose `results` is no list gives no rows.
     """
+    # a repeated key of an object keeps its last value, instead of making the whole response unreadable
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     results = F.try_variant_get(F.try_parse_json("response"), "$.results", "variant")
     listed = F.when(F.schema_of_variant(results).startswith("ARRAY"), F.try_variant_get(results, "$", "array<variant>"))
     keep = [c for c in responses.columns if c != "response"]

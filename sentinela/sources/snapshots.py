@@ -17,8 +17,8 @@ def _same(ours: Column, theirs: Column) -> Column:
     return F.coalesce((ours == theirs) & (theirs != ""), F.lit(False))
 
 
-def sync_actions(remote: DataFrame, cached: DataFrame) -> DataFrame:
-    """What each source needs: (url, action, error, filename, remote and cached headers).
+def sync_actions(remote: DataFrame, cached: DataFrame, checked_at: str | None = None) -> DataFrame:
+    """What each source needs: (url, action, error, filename, remote and cached headers, checked_at).
 
     `remote` is (url, mode, pinned_filename, head_ok, download_ok, etag, last_modified, failure), `cached`
     is (url, etag, last_modified, filename, file_exists). `action` is pinned_snapshot, cached_up_to_date,
@@ -52,6 +52,7 @@ def sync_actions(remote: DataFrame, cached: DataFrame) -> DataFrame:
         F.when(online, F.col("etag")).alias("remote_etag"),
         F.when(online, F.col("last_modified")).alias("remote_last_modified"),
         F.when(F.col("action") == "cached_up_to_date", F.coalesce("cached_last_modified", F.lit(""))).alias("cached_last_modified"),
+        F.when(F.col("action").isNotNull(), F.lit(checked_at)).cast("string").alias("checked_at"),
     )
 
 

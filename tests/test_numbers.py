@@ -1,9 +1,13 @@
 """Number tokens and their values, all cases in one DataFrame."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from sentinela.functions.numbers import number_tokens, parse_number
 from sentinela.functions.rounding import round_exact
+from sentinela.functions.text import strip_mismatches
 
 PARSED = [
     ("15.5", 15.5), ("15,5", 15.5), ("15.5%", 15.5), ("abc", None), ("7.485", 7485.0), ("129.373", 129373.0),
@@ -96,3 +100,34 @@ def test_round_exact_equals_python(spark):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     for r in df.select("x", round_exact(F.col("x"), 4).alias("a"), round_exact(F.col("x"), 2).alias("b")).collect():
         assert (r.a, r.b) == (round(r.x, 4), round(r.x, 2)), r.x
+
+
+def test_white_space_before_the_percent_sign(spark):
+    rows = spark.createDataFrame([("15 %",), ("15,5 %",), (" 7 ",), ("% 7",), ("1 5%",)], "t string")
+    assert [r.v for r in rows.select(parse_number(F.col("t")).alias("v")).collect()] == [15.0, 15.5, 7.0, None, None]
+
+
+def test_time_grows_with_the_number_of_tokens(spark):
+    def seconds(n):
+        row = spark.createDataFrame([(" e ".join(f"{i},5" for i in range(1, n + 1)),)], "t string").cache()
+        row.count()
+        begin = time.perf_counter()
+        starts = row.select(F.transform(number_tokens(F.col("t")), lambda x: x["start"]).alias("s")).first().s
+        assert len(starts) == n and starts[-1] == sum(len(str(i)) + 5 for i in range(1, n))
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    few, many = seconds(20_000), seconds(80_000)
+    assert many < max(8 * few, 3)
+
+
+def test_mismatches_of_a_long_text_are_deleted_run_by_run(spark):
+    n = 4000
+    text = " ".join(f"{i},5 {i}.{i + 1}" for i in range(n))
+    raws = [f"{i},5" for i in range(0, n, 2)]
+    want = text
+    for raw in raws:
+        want = re.sub(rf"(?<!\d){re.escape(raw)}(?!\d)", "", want)
+    want = re.sub(r"\n{3,}", "\n\n", re.sub(" {2,}", " ", want)).strip()
+    df = spark.createDataFrame([(text, raws)], "t string, r array<string>")
+    assert df.select(strip_mismatches(F.col("t"), F.col("r"), F.array().cast("array<string>")).alias("x")).first().x == want

@@ -32,8 +32,8 @@ def tables(spark):
     ], "report_id int, run_id string, generated_at timestamp_ntz, end_date string, source_csv_hash string, source_extraction_date string, "
        "pii_stripped array<string>, columns_not_found array<string>, news_source string")
     outcomes = spark.createDataFrame([
-        (1, "Texto.", True, 0, "Texto."), (2, "", False, 1, "Rascunho 9"),
-    ], "report_id int, narrative_validated string, validation_passed boolean, retry_count int, narrative string")
+        ("r-1", "Texto.", True, 0, "Texto."), ("r-2", "", False, 1, "Rascunho 9"),
+    ], "run_id string, narrative_validated string, validation_passed boolean, retry_count int, narrative string")
     outcomes = outcomes.selectExpr("*", "named_struct('numeric_mismatches', array(named_struct('raw', '9', 'value', 9.0D))) AS validation_diff")
     series = spark.createDataFrame([
         ("2026-02-01", "daily", "2026-01-30", "30/01", 4), ("2026-02-01", "daily", "2026-01-02", "02/01", 3),
@@ -61,6 +61,8 @@ def test_prompt(spark, tables):
     assert "\n  Numerador: 1 | Denominador: 2000\n" in got[1]
     assert "## Contexto de Notícias\n\n{{NEWS_CONTENT_START}}\num\n\ndois\n{{NEWS_CONTENT_END}}\n\n\n## Instrução Final\n" in got[1]
     assert "\n\n## Contexto de Notícias\nNenhuma notícia relevante" in got[2]
+    bare = {r.report_id: r.prompt for r in report.prompts(metrics.limit(0), sanitized_blocks(news), news_availability(runs, news)).collect()}
+    assert bare[1].startswith("## Métricas do Período\n\n## Contexto de Notícias\n\n{{NEWS_CONTENT_START}}") and set(bare) == {1, 2}
 
 
 def test_whole_report(tables):
@@ -97,4 +99,4 @@ def test_audit(spark, tables, tmp_path):
     assert got["r-1"].metrics.case_growth_rate.computable is False
     assert got["r-2"].metrics.uti_admission_rate is None and got["r-2"].validation_diff.numeric_mismatches[0].raw == "9"
     assert (got["unknown"].narrative_draft, got["unknown"].retry_count, got["unknown"].validation_passed) == ("", 0, False)
-    assert got["r-2"].error == "boom"
+    assert got["r-2"].error == "boom" and got["r-2"].narrative_draft == "Rascunho 9"

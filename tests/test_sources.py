@@ -73,12 +73,27 @@ def test_strict_dates_and_the_report_on_them(spark):
         c.clean_cases(raw).collect()
 
 
+def test_missing_spellings_and_whole_decimals(spark):
+    raw = spark.createDataFrame([("2026-07-20", "1.0", "NA"), ("N/A", "NaN", "2"), ("null", "", "9.00"), (None, None, "<NA>")],
+                                "DT_SIN_PRI string, EVOLUCAO string, UTI string")
+    assert [(r.EVOLUCAO, r.UTI) for r in c.clean_cases(raw).collect()] == [(1, None), (None, 2), (None, 9), (None, None)]
+    assert sum(r.malformed for r in c.malformed_values(raw).collect()) == 0
+    for bad in ("1.5", "x", "1e12"):
+        with pytest.raises(Exception, match="no whole number in UTI"):
+            c.clean_cases(spark.createDataFrame([(bad,)], "UTI string")).collect()
+
+
+def test_lines(spark):
+    lines = spark.createDataFrame([(7, '2026-07-20;"a;b";"q""r"'), (8, ";;")], "id int, line string")
+    got = c.parse_case_lines(lines, ["DT_SIN_PRI", "SG_UF", "CS_SEXO"]).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(7, "2026-07-20", "a;b", 'q"r'), (8, None, None, None)]
+
+
 def test_fingerprints(spark, folder):
     path = folder / "INFLUD26-20-07-2026.csv"
     want = hashlib.sha256(path.read_bytes()).hexdigest()
-    for limit, utf8 in ((1 << 20, True), (10, None)):
-        row = c.source_files(spark, str(path), limit).first()
-        assert (row.sha256, row.extraction_date, row.valid_utf8, row.encoding) == (want, "2026-07-20", utf8, "ISO-8859-1")
+    row = c.source_files(spark, str(path)).first()
+    assert (row.sha256, row.extraction_date, row.valid_utf8, row.encoding) == (want, "2026-07-20", True, "ISO-8859-1")
     row = c.source_files(spark, str(folder / "private" / "casos.csv")).first()
     assert (row.extraction_date, row.valid_utf8) == ("unknown", False)
 

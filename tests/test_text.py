@@ -50,7 +50,7 @@ def test_blocks(spark):
     wrap = lambda body: f"{BLOCK_START}\n{body}\n{BLOCK_END}"
     assert got == {
         1: (wrap("e leia\n\nNormal ."), True), 2: ("", True), 3: (wrap(""), False), 4: (wrap("\n\na b c"), False),
-        5: (wrap("\n\n".join(f"item {i}" for i in range(5))), False),
+        5: (wrap("\n\n".join(f"item {i}" for i in range(9))), False),
     }
 
 
