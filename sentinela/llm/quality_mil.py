@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from sentinela.llm.common import passes
-from sentinela.llm.tokens import LOWER, SPACE, mix, window_hashes, word_bounds, word_hashes
+from sentinela.llm.tokens import LOWER, mix, salts, window_hashes, word_bounds, word_hashes
 
 PASSAGE = 64
 SAMPLE = 6000
@@ -65,12 +65,12 @@ def passages(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     letters = upper + np.concatenate([[0], np.cumsum(_CLASSES[1][data] | _CLASSES[3][data])])
     n_letters = letters[ends] - letters[starts]
     n_upper = upper[ends] - upper[starts]
-    in_passage = hashes + mix(where.astype(np.uint64))
+    in_passage = hashes + salts(where)
     fresh = np.zeros(len(hashes))
     fresh[np.unique(in_passage, return_index=True)[1]] = 1
     same = np.zeros(len(hashes))
     same[1:] = (hashes[1:] == hashes[:-1]) & (of[1:] == of[:-1])
-    pair_at, pair = window_hashes(hashes + mix(of.astype(np.uint64)), first, 2)
+    pair_at, pair = window_hashes(hashes + salts(of), first, 2)
     _, which, times = np.unique(pair, return_inverse=True, return_counts=True)
     again = np.zeros(len(hashes))
     again[pair_at] = times[which] > 1

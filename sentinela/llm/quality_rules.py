@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinela.llm.common import passes, stored
-from sentinela.llm.tokens import SPACE, stretch_hashes, window_hashes, word_bounds, word_hashes, mix
+from sentinela.llm.tokens import SPACE, salts, stretch_hashes, window_hashes, word_bounds, word_hashes
 
 RUN = 3
+MOST_FALSE = 0.01
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[ord(c) for c in "#*$%&|<>"]] = 1
 _CLASS[65:91] = 2
@@ -37,8 +38,7 @@ def text_statistics(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     starts, ends, first = word_bounds(data, at)
     kind = _CLASS[data]
     words = word_hashes(data, starts, ends)
-    of = np.repeat(np.arange(n), np.diff(first)).astype(np.uint64)
-    in_text = words + mix(of + np.uint64(1))
+    in_text = words + salts(np.repeat(np.arange(n), np.diff(first)))
     where, windows = window_hashes(in_text, first, RUN)
     _, which, times = np.unique(windows, return_inverse=True, return_counts=True)
     steps = np.zeros(len(words) + 1, np.int64)
@@ -50,13 +50,12 @@ def text_statistics(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     cut = np.flatnonzero(data == 10)
     line_starts = np.unique(np.concatenate([at[:-1], cut + 1]))
     line_starts = line_starts[line_starts < len(data)]
-    bounds = np.unique(np.concatenate([cut, at[1:]]))
-    line_ends = bounds[np.searchsorted(bounds, line_starts)] if len(line_starts) else line_starts
+    line_of = np.searchsorted(at, line_starts, "right") - 1
+    line_ends = np.minimum(np.append(cut, len(data))[np.searchsorted(cut, line_starts)], at[line_of + 1])
     some = np.concatenate([[0], np.cumsum(~SPACE[data])])
     worded = some[line_ends] > some[line_starts]
-    line_starts, line_ends = line_starts[worded], line_ends[worded]
-    line_of = np.searchsorted(at, line_starts, "right") - 1
-    lines = stretch_hashes(data, line_starts, line_ends) + mix(line_of.astype(np.uint64) + np.uint64(1))
+    line_starts, line_ends, line_of = line_starts[worded], line_ends[worded], line_of[worded]
+    lines = stretch_hashes(data, line_starts, line_ends) + salts(line_of)
     _, firsts = np.unique(lines, return_index=True)
     n_lines = np.bincount(line_of, minlength=n)
     last = kind[ends - 1] if len(ends) else np.zeros(0, np.uint8)
@@ -101,7 +100,7 @@ def votes() -> dict[str, Column]:
     case = F.col("n_upper") / F.when(F.col("n_upper") + F.col("n_lower") > 0, F.col("n_upper") + F.col("n_lower"))
     length = share("word_chars", "n_words")
     return {
-        "words": _vote(F.col("n_words") >= 100, F.col("n_words") < 50),
+        "words": _vote(F.col("n_words") >= 100, F.col("n_words") < 5),
         "repeats": _vote(share("n_repeat_words", "n_words") <= 0.1, share("n_repeat_words", "n_words") > 0.3),
         "lines": _vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), share("n_dup_lines", "n_lines") > 0.3),
         "symbols": _vote(share("n_symbols", "n_words") <= 0.02, share("n_symbols", "n_words") > 0.1),
@@ -112,26 +111,38 @@ def votes() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: dict[tuple[int, ...], int], steps: int = 100) -> tuple[float, list[float]]:
-    """Share of good texts and accuracy of each rule, by expectation-maximisation over counted vote patterns.
+def estimate(patterns: dict[tuple[int, ...], int], steps: int = 100) -> tuple[float, np.ndarray]:
+    """Share of good texts, and how often each rule votes -1, 0 and 1 on bad and on good texts: rates[good, rule, vote + 1].
 
-    A rule is taken to be right with one probability whenever it votes, independently of the others given the text's
-    quality. The first guess of a text's quality is the majority of its votes. Estimates keep to 0.01 and 0.99, and
-    accuracies to 0.5 or more, so that no rule is read the other way round.
+    Expectation-maximisation over counted vote patterns; rules are taken to vote independently of one another given a text's
+    quality. At first texts with two bad votes or more are taken for bad, those with one for undecided, the others for good.
+    Rates are smoothed by one vote each, so that none is 0. No rule is taken to reject more than MOST_FALSE of the good texts:
+    rules vote bad only where a text is far from prose, and without that bound a common kind of junk would pass for good.
     """
     if not patterns:
-        return 0.5, []
-    seen = np.array(list(patterns), float)
+        return 0.5, np.full((2, 0, 3), 1 / 3)
+    seen = np.array(list(patterns))
     counts = np.array(list(patterns.values()), float)
-    good = (np.sign(seen.sum(axis=1)) + 1) / 2
+    is_vote = np.array([seen == v for v in (-1, 0, 1)], float)
+    bad_votes = (seen < 0).sum(axis=1)
+    good = np.where(bad_votes == 0, 1.0, np.where(bad_votes == 1, 0.5, 0.0))
     for _ in range(steps):
         prior = float(np.clip((counts * good).sum() / counts.sum(), 0.01, 0.99))
-        right = (counts[:, None] * (good[:, None] * (seen > 0) + (1 - good)[:, None] * (seen < 0))).sum(axis=0)
-        voted = (counts[:, None] * (seen != 0)).sum(axis=0)
-        accuracy = np.clip((right + 1) / (voted + 2), 0.5, 0.99)
-        logit = math.log(prior / (1 - prior)) + seen @ np.log(accuracy / (1 - accuracy))
+        rates = np.empty((2, seen.shape[1], 3))
+        for k, share in enumerate((1 - good, good)):
+            voted = np.einsum("p,vpr->rv", counts * share, is_vote) + 1
+            rates[k] = voted / voted.sum(axis=1, keepdims=True)
+        rates[1, :, 0] = np.minimum(rates[1, :, 0], MOST_FALSE)
+        logit = math.log(prior / (1 - prior)) + np.einsum("vpr,rv->p", is_vote, np.log(rates[1] / rates[0]))
         good = 1 / (1 + np.exp(-logit))
-    return prior, accuracy.tolist()
+    return prior, rates
+
+
+def accuracies(prior: float, rates: np.ndarray) -> list[float]:
+    """How often each rule is right when it votes."""
+    right = prior * rates[1, :, 2] + (1 - prior) * rates[0, :, 0]
+    voted = prior * (rates[1, :, 0] + rates[1, :, 2]) + (1 - prior) * (rates[0, :, 0] + rates[0, :, 2])
+    return (right / voted).tolist()
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -146,9 +157,9 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     voted = found.select("*", *(v.cast("int").alias(f"vote_{r}") for r, v in rules.items()))
     names = [f"vote_{r}" for r in rules]
     counted = voted.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
-    prior, accuracy = estimate({tuple(row[n] for n in names): row["count"] for row in counted})
+    prior, rates = estimate({tuple(row[n] for n in names): row["count"] for row in counted})
     logit = F.lit(math.log(prior / (1 - prior)))
-    for name, a in zip(names, accuracy, strict=False):
-        logit = logit + F.col(name) * F.lit(math.log(a / (1 - a)))
+    for name, (bad, none, good) in zip(names, np.log(rates[1] / rates[0]).tolist(), strict=False):
+        logit = logit + F.when(F.col(name) < 0, bad).when(F.col(name) > 0, good).otherwise(none)
     judged = voted.withColumn("quality", F.round(1 / (1 + F.exp(-logit)), 9)).withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

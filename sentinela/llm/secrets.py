@@ -1,6 +1,6 @@
 """Secret scans: three fixed shapes, and strings that a primed compressor cannot predict.
 
-A candidate of the novelty scan is a long run of key characters with a letter and a digit, after a word that announces
+A candidate of the novelty scan is a long run of key characters with a letter and two digits, after a word that announces
 something sensitive. It is compressed by zstandard with a dictionary of common code and identifiers, once with the text
 around it and once without; the difference is what the candidate itself costs. Strings made of known words and of what
 stands beside them cost little. A candidate that costs more than `NOVELTY` bytes per character is reported.
@@ -23,7 +23,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|credential|auth|bearer|private|signature|login|salt", re.IGNORECASE | re.ASCII)
 AROUND = 96
-NOVELTY = 0.45
+NOVELTY = 0.85
 
 # Identifiers and lines that are common in source code and settings.
 COMMON = """
@@ -72,7 +72,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty) -> list[tu
     for m in CANDIDATE.finditer(text):
         begin, end = m.span()
         value = m[0]
-        if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
+        if sum(c.isdigit() for c in value) < 2 or not any(c.isalpha() for c in value):
             continue
         before = text[max(0, begin - AROUND) : begin]
         if not SENSITIVE.search(before) or any(a < end and begin < b for a, b, _ in base):

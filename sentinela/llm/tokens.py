@@ -35,6 +35,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def salts(n: np.ndarray) -> np.ndarray:
+    """A value for each number, to be added to hashes that count within one text only; unlike the hash of any short stretch."""
+    return mix(n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(0x632BE59BD9B4E019))
+
+
 def stretch_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of values[start:end] for each pair; equal stretches have equal hashes wherever they lie."""
     n = len(values)

@@ -43,5 +43,5 @@ def test_against_every_passage_and_template(spark):
     have = sorted(((r.doc_id, r.license, r.score, r.licenses) for r in got), key=str)
     assert have == sorted(((r[0], *expected(r[1])) for r in rows), key=str)
     by_id = {r.doc_id: r for r in got}
-    assert by_id[100].licenses == "gpl-3.0,mit" and by_id[101].license == "mit-text" and by_id[102].license == "mit-text" and by_id[104].license is None
+    assert by_id[100].licenses == "gpl-2.0,gpl-3.0,mit" and by_id[100].license == "gpl-3.0" and by_id[101].license == "mit-text" and by_id[102].license == "mit-text" and by_id[104].license is None
     assert scan_licenses(frame(spark, [])).count() == 0
