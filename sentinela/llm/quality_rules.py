@@ -18,7 +18,7 @@ from sentinela.llm.common import passes, stored
 from sentinela.llm.tokens import SPACE, salts, stretch_hashes, window_hashes, word_bounds, word_hashes
 
 RUN = 3
-MOST_FALSE = 0.01
+MOST_FALSE = 0.002
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[ord(c) for c in "#*$%&|<>"]] = 1
 _CLASS[65:91] = 2
@@ -102,8 +102,8 @@ def votes() -> dict[str, Column]:
     return {
         "words": _vote(F.col("n_words") >= 100, F.col("n_words") < 5),
         "repeats": _vote(share("n_repeat_words", "n_words") <= 0.1, share("n_repeat_words", "n_words") > 0.3),
-        "lines": _vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), share("n_dup_lines", "n_lines") > 0.3),
-        "symbols": _vote(share("n_symbols", "n_words") <= 0.02, share("n_symbols", "n_words") > 0.1),
+        "lines": _vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), share("n_dup_lines", "n_lines") > 0.6),
+        "symbols": _vote(share("n_symbols", "n_words") <= 0.02, share("n_symbols", "n_words") > 0.2),
         "word_length": _vote(length.between(3, 9), (length < 2) | (length > 15)),
         "case": _vote(case <= 0.15, case > 0.4),
         "letters": _vote(share("n_letter_words", "n_words") >= 0.9, share("n_letter_words", "n_words") < 0.7),
@@ -112,23 +112,23 @@ def votes() -> dict[str, Column]:
 
 
 def estimate(patterns: dict[tuple[int, ...], int], steps: int = 100) -> tuple[float, np.ndarray]:
-    """Share of good texts, and how often each rule votes -1, 0 and 1 on bad and on good texts: rates[good, rule, vote + 1].
+    """Share of good texts, and how often a vote of each rule is bad and good on bad and on good texts: rates[good, rule, vote > 0].
 
     Expectation-maximisation over counted vote patterns; rules are taken to vote independently of one another given a text's
-    quality. At first texts with two bad votes or more are taken for bad, those with one for undecided, the others for good.
+    quality, and an abstention says nothing. At first texts with two bad votes or more are taken for bad, those with one for undecided, the others for good.
     Rates are smoothed by one vote each, so that none is 0. No rule is taken to reject more than MOST_FALSE of the good texts:
     rules vote bad only where a text is far from prose, and without that bound a common kind of junk would pass for good.
     """
     if not patterns:
-        return 0.5, np.full((2, 0, 3), 1 / 3)
+        return 0.5, np.full((2, 0, 2), 1 / 2)
     seen = np.array(list(patterns))
     counts = np.array(list(patterns.values()), float)
-    is_vote = np.array([seen == v for v in (-1, 0, 1)], float)
+    is_vote = np.array([seen == v for v in (-1, 1)], float)
     bad_votes = (seen < 0).sum(axis=1)
     good = np.where(bad_votes == 0, 1.0, np.where(bad_votes == 1, 0.5, 0.0))
     for _ in range(steps):
         prior = float(np.clip((counts * good).sum() / counts.sum(), 0.01, 0.99))
-        rates = np.empty((2, seen.shape[1], 3))
+        rates = np.empty((2, seen.shape[1], 2))
         for k, share in enumerate((1 - good, good)):
             voted = np.einsum("p,vpr->rv", counts * share, is_vote) + 1
             rates[k] = voted / voted.sum(axis=1, keepdims=True)
@@ -140,9 +140,7 @@ def estimate(patterns: dict[tuple[int, ...], int], steps: int = 100) -> tuple[fl
 
 def accuracies(prior: float, rates: np.ndarray) -> list[float]:
     """How often each rule is right when it votes."""
-    right = prior * rates[1, :, 2] + (1 - prior) * rates[0, :, 0]
-    voted = prior * (rates[1, :, 0] + rates[1, :, 2]) + (1 - prior) * (rates[0, :, 0] + rates[0, :, 2])
-    return (right / voted).tolist()
+    return (prior * rates[1, :, 1] + (1 - prior) * rates[0, :, 0]).tolist()
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -159,7 +157,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     counted = voted.groupBy(*names).count().collect()  # at most 3 ** len(rules) rows
     prior, rates = estimate({tuple(row[n] for n in names): row["count"] for row in counted})
     logit = F.lit(math.log(prior / (1 - prior)))
-    for name, (bad, none, good) in zip(names, np.log(rates[1] / rates[0]).tolist(), strict=False):
-        logit = logit + F.when(F.col(name) < 0, bad).when(F.col(name) > 0, good).otherwise(none)
+    for name, (bad, good) in zip(names, np.log(rates[1] / rates[0]).tolist(), strict=False):
+        logit = logit + F.when(F.col(name) < 0, bad).when(F.col(name) > 0, good).otherwise(0.0)
     judged = voted.withColumn("quality", F.round(1 / (1 + F.exp(-logit)), 9)).withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
