@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labels = components(found, join.parts).withColumnRenamed("node", "class")
     least = join.signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(labels, "class", "left")
     least = stored(least.select("class", "least", F.coalesce("label", "class").alias("label")))
-    smallest = least.groupBy("label").agg(F.min("least").alias("component_id"))
+    smallest = stored(least.groupBy("label").agg(F.min("least").alias("component_id")))
     of_class = stored(least.join(smallest, "label").select("class", "component_id"))
     rows = join.signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
