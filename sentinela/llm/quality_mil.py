@@ -24,6 +24,7 @@ SAMPLE = 6000
 BUCKETS = 64
 HIDDEN = 24
 GATE = 12
+LEAST_STEPS = 600
 MARKS = [b"!", b"?", b".,;:", b"|", b"#*$%&", b"<>[]{}()", b"\"'", b"/\\_=+-@~^`", b"\n"]
 
 
@@ -132,7 +133,8 @@ class AttentionModel:
             "attend": (f["t"] * f["g"]).T @ d_raw, "out": f["bag"].T @ d_score, "out_bias": np.array([d_score.sum()])}
 
     def fit(self, x: np.ndarray, cut: np.ndarray, label: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 0.005, decay: float = 1e-4):
-        """Adam on the logistic loss, over texts in a fixed random order."""
+        """Adam on the logistic loss, over texts in a fixed random order; a small sample is gone over more often."""
+        epochs = max(epochs, -(-LEAST_STEPS * batch // len(label)))
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-3
         rng = np.random.default_rng(11)
         m = {k: np.zeros_like(v) for k, v in self.w.items()}
