@@ -1,21 +1,29 @@
 """Secret scans: three fixed shapes, and strings that a primed compressor cannot predict.
 
-A candidate of the novelty scan is a long run of key characters with a letter and two digits, after a word that announces
-something sensitive. It is compressed by zstandard with a dictionary of common code and identifiers, once with the text
-around it and once without; the difference is what the candidate itself costs. Strings made of known words and of what
-stands beside them cost little. A candidate that costs more than `NOVELTY` bytes per character is reported.
+A candidate of the novelty scan is a long run of key characters with a letter, after a word that announces something
+sensitive. The text around it is compressed by zstandard with a dictionary of common code and identifiers, once with the
+candidate and once without; the difference is what the candidate itself costs. Strings made of known words and of what
+stands beside them cost little. What a random string costs depends on its alphabet and length, so random strings of the
+candidate's own are measured in its place, and a candidate that costs at least `NOVELTY` of their mean is reported, unless
+its pairs of characters are those of words: names that no dictionary holds cost as much as short random strings.
 """
 
 from __future__ import annotations
 
+import math
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sentinela.llm.license_scan import TEMPLATES
+
 KINDS = ["assign", "access", "hex", "novel"]
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -23,7 +31,12 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"key|secret|token|passw|pwd|credential|auth|bearer|private|signature|login|salt", re.IGNORECASE | re.ASCII)
 AROUND = 96
-NOVELTY = 0.85
+NOVELTY = 0.75
+# Random strings that a candidate is compared with; of a longer candidate than LONGEST, strings of LONGEST.
+RIVALS = 6
+LONGEST = 2048
+# Standard deviations below the mean of random strings from which pairs of characters are those of words.
+WORDLIKE = 3.0
 
 # Identifiers and lines that are common in source code and settings.
 COMMON = """
@@ -58,6 +71,60 @@ def novelty_meter():
     return novelty
 
 
+def alphabet(value: str) -> str:
+    """The characters that a string like `value` is drawn from: digits and a to f of one case, or all classes it has."""
+    for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+        if not set(value) - set(digits):
+            return digits
+    classes = [c for c in (string.ascii_lowercase, string.ascii_uppercase, string.digits) if not set(c).isdisjoint(value)]
+    return "".join(classes + sorted(c for c in set(value) if not c.isalnum()))
+
+
+@lru_cache(maxsize=512)
+def _rivals(letters: str, size: int) -> list[str]:
+    return ["".join(random.Random(f"{letters} {size} {i}").choices(letters, k=size)) for i in range(RIVALS)]
+
+
+def share_of_random(novelty, before: str, value: str, after: str) -> float:
+    """The novelty of `value` as a share of the mean novelty of random strings of its alphabet and length."""
+    rivals = _rivals(alphabet(value), min(len(value), LONGEST))
+    return novelty(before, value, after) * len(rivals) / sum(novelty(before, x, after) for x in rivals)
+
+
+def _folded(character: str) -> str:
+    return "0" if character.isdigit() else character.lower()
+
+
+@lru_cache(maxsize=1)
+def _pair_bits() -> dict[str, float]:
+    """Bits of the second of two letters or digits after the first, in common code and prose; digits count as one."""
+    text = "".join(_folded(c) for c in " ".join([COMMON.decode(), *TEMPLATES.values()]))
+    symbols = string.ascii_lowercase + "0"
+    counts = {a + b: 0.1 for a in symbols for b in symbols}
+    for a, b in zip(text, text[1:]):
+        if a + b in counts:
+            counts[a + b] += 1
+    sums = {a: sum(counts[a + b] for b in symbols) for a in symbols}
+    return {pair: -math.log2(n / sums[pair[0]]) for pair, n in counts.items()}
+
+
+@lru_cache(maxsize=512)
+def _random_pairs(letters: str) -> tuple[float, float]:
+    """Mean and standard deviation of the bits of a random pair of letters or digits of an alphabet."""
+    known = [_folded(c) for c in letters if c.isalnum()]
+    bits = [_pair_bits()[a + b] for a in known for b in known]
+    mean = sum(bits) / len(bits)
+    return mean, math.sqrt(sum((x - mean) ** 2 for x in bits) / len(bits))
+
+
+def wordlike(value: str) -> bool:
+    """Whether the pairs of characters of `value` are far likelier in words than those of random strings are."""
+    folded = [_folded(c) if c.isalnum() else "" for c in value]
+    bits = [_pair_bits()[a + b] for a, b in zip(folded, folded[1:]) if a and b]
+    mean, deviation = _random_pairs(alphabet(value))
+    return sum(bits) - mean * len(bits) < -WORDLIKE * deviation * math.sqrt(len(bits))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) of the three fixed shapes; leftmost and non-overlapping within a kind."""
     found = [(m.start(), m.end(), 0) for m in ASSIGN.finditer(text) if len(m[1]) >= 6] if "=" in text or ":" in text else []
@@ -72,12 +139,12 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty) -> list[tu
     for m in CANDIDATE.finditer(text):
         begin, end = m.span()
         value = m[0]
-        if sum(c.isdigit() for c in value) < 2 or not any(c.isalpha() for c in value):
+        if not any(c.isalpha() for c in value):
             continue
         before = text[max(0, begin - AROUND) : begin]
         if not SENSITIVE.search(before) or any(a < end and begin < b for a, b, _ in base):
             continue
-        if novelty(before, value, text[end : end + AROUND]) >= NOVELTY:
+        if not wordlike(value) and share_of_random(novelty, before, value, text[end : end + AROUND]) >= NOVELTY:
             found.append((begin, end, 3))
     return found
 

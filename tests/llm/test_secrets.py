@@ -1,9 +1,11 @@
 import random
 import re
+import string
 
+import pytest
 from cases import ODD, frame, row
 
-from sentinela.llm.secrets import base_spans, find_secrets, novelty_meter, redact_secrets
+from sentinela.llm.secrets import base_spans, find_secrets, novel_spans, novelty_meter, redact_secrets
 
 SECRET = "".join(random.Random(4).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=40))
 TEXTS = [
@@ -55,3 +57,31 @@ def test_redaction(spark):
     got = {r.doc_id: r.text for r in redact_secrets(docs).collect()}
     assert got == {1: 'é [assign]" and PASSWD:abc and Api-key: nothing12 [assign]"', 2: None, 3: "clean", 4: "[assign]"}
     assert redact_secrets(docs).columns == docs.columns and redact_secrets(frame(spark, [])).count() == 0
+
+
+ALPHABETS = {
+    "lower and digits": string.ascii_lowercase + string.digits, "lower": string.ascii_lowercase, "upper": string.ascii_uppercase,
+    "upper hex": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "base62": string.ascii_letters + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/"}
+
+
+@pytest.mark.parametrize("size", [16, 24, 32, 64, 88, 128])
+@pytest.mark.parametrize("name", sorted(ALPHABETS))
+def test_random_keys_are_found_whatever_their_alphabet_and_length(name, size):
+    rng, novelty, found = random.Random(f"{name}{size}"), novelty_meter(), 0
+    for _ in range(100):
+        value = "".join(rng.choices(ALPHABETS[name], k=size))
+        text = f'It is started by hand on the first day of the month. The private key = "{value}" and then the next step.'
+        found += novel_spans(text, [], novelty) == [(text.index(value), text.index(value) + size, 3)]
+    assert found >= 95
+
+
+def test_names_are_no_keys():
+    novelty = novelty_meter()
+    for name in ("authentication_required", "IsAuthenticatedOrReadOnly", "certificate-transparency", "responsibilities", "HKEY_CURRENT_CONFIG"):
+        assert novel_spans(f"the private key of {name} and so on", [], novelty) == []
+
+
+def test_long_runs_take_linear_time():
+    value = "".join(random.Random(6).choices(string.ascii_lowercase, k=300_000))
+    assert novel_spans(f"secret {value}", [], novelty_meter()) == [(7, 300_007, 3)]
