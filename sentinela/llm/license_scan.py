@@ -4,6 +4,11 @@ Text is normalised to words of a-z and 0-9. Passages are the lines of a text, it
 the text as a whole. A passage of a bigrams and a template of t can have a Dice coefficient of at most 2 min(a, t) / (a + t),
 so only templates of t * D / (2 - D) to t * (2 - D) / D bigrams are candidates for a threshold D, and of these only those
 that the number of template bigrams in the passage still allows.
+
+Notices also lie within a line, or run over blank lines. So each run of words of a text, wherever its line breaks are, that
+begins and ends with a bigram of a template and has at most t * (2 - D) / D bigrams, is a passage for that template, unless
+all of it lies in such runs of larger templates: a sentence of a longer notice is that notice. Runs start where enough
+template bigrams follow within that length, so their number grows with the text.
 """
 
 from __future__ import annotations
@@ -90,16 +95,40 @@ def _passages(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     yield np.unique(at)
 
 
+def _runs(hashes: np.ndarray, ends: np.ndarray, places: np.ndarray, template: set[int], threshold: float) -> Iterator[tuple[int, int, float]]:
+    """(first bigram, end, Dice coefficient) of the best run from each of `places` that reaches the threshold.
+
+    `places` are the bigrams of the template, in order, and `ends` the end of the text of each of them.
+    """
+    size = len(template)
+    longest = int(size * (2 - threshold) / threshold + 1e-9)
+    limits = np.minimum(places + longest, ends)
+    enough = np.searchsorted(places, limits) - np.arange(len(places)) >= size * threshold / (2 - threshold) - 1e-9
+    for first, limit in zip(places[enough].tolist(), limits[enough].tolist(), strict=True):
+        own, common, best, end = set(), 0, 0.0, first
+        for i, x in enumerate(hashes[first:limit].tolist(), first + 1):
+            if x not in own:
+                own.add(x)
+                common += x in template
+            if x in template and 2 * common > best * (len(own) + size):
+                best, end = 2 * common / (len(own) + size), i
+        if best >= threshold:
+            yield first, end, best
+
+
 def _scan(templates: dict[str, str], threshold: float):
     names, sets = _templates(templates)
     known = np.array(sorted(set().union(*sets)), np.uint64)
     sizes = np.array([len(s) for s in sets])
+    hashed = [np.array(sorted(s), np.uint64) for s in sets]
+    larger_first = [int(t) for t in np.argsort(-sizes, kind="stable") if sizes[t]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, data, at in passes(batch):
                 found: list[dict[str, float]] = [{} for _ in range(rows.num_rows)]
                 one, two, hashes = bigrams(data, at)
+                covered = np.zeros(len(hashes), np.int64)  # bigrams of the largest template with a run there
                 hit = known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes if len(known) else np.zeros(0, bool)
                 for bounds in _passages(data, at) if hit.any() else ():
                     of = np.searchsorted(bounds, one, "right") - 1
@@ -115,6 +144,19 @@ def _scan(templates: dict[str, str], threshold: float):
                             dice = 2 * len(own & sets[t]) / (len(own) + len(sets[t]))
                             if dice >= threshold:
                                 found[text][names[t]] = max(dice, found[text].get(names[t], 0.0))
+                places = np.flatnonzero(hit)
+                text_of = np.searchsorted(at, one[places], "right") - 1
+                text_end = np.searchsorted(one, at[text_of + 1])
+                of_passages = [set(f) for f in found]
+                for t in larger_first if len(places) else ():
+                    own = np.isin(hashes[places], hashed[t])
+                    for first, end, dice in _runs(hashes, text_end[own], places[own], sets[t], threshold):
+                        if covered[first:end].min() > sizes[t]:
+                            continue
+                        covered[first:end] = np.maximum(covered[first:end], sizes[t])
+                        text = int(np.searchsorted(at, one[first], "right")) - 1
+                        if names[t] not in of_passages[text]:
+                            found[text][names[t]] = max(dice, found[text].get(names[t], 0.0))
                 best = [min(f.items(), key=lambda x: (-x[1], x[0])) if f else (None, 0.0) for f in found]
                 yield pa.RecordBatch.from_arrays([
                     rows.column("doc_id"), pa.array([b[0] for b in best], pa.string()), pa.array([round(b[1], 6) for b in best], pa.float64()),
@@ -126,7 +168,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
     """(doc_id, license, score, licenses) of every row of `docs` (doc_id, text; other columns are ignored).
 
     `licenses` lists the templates that some passage reaches the threshold for, `license` is the one of highest coefficient
-    (of equal ones the first name) and `score` its coefficient. Without any, and so for null and empty texts and texts of one
+    (of equal ones the first name) and `score` its coefficient. A template that a line, a paragraph or the text reaches has
+    the coefficient of the best of these, another that of its best run of words. Without any, and so for null and empty texts and texts of one
     word, they are '', null and 0. Repeated rows are scanned each, null ids stay null, an empty table gives an empty one.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

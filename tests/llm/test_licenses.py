@@ -1,3 +1,4 @@
+import random
 import re
 
 from cases import ODD, frame, row
@@ -45,3 +46,40 @@ def test_against_every_passage_and_template(spark):
     by_id = {r.doc_id: r for r in got}
     assert by_id[100].licenses == "gpl-2.0,gpl-3.0,mit" and by_id[100].license == "gpl-3.0" and by_id[101].license == "mit-text" and by_id[102].license == "mit-text" and by_id[104].license is None
     assert scan_licenses(frame(spark, [])).count() == 0
+
+
+def test_notices_within_lines_and_over_blank_lines(spark):
+    gpl, apache = TEMPLATES["gpl-header"], TEMPLATES["apache-2.0-header"]
+    one, two = gpl[: gpl.index("This program is distributed")], gpl[gpl.index("This program is distributed") :]
+    code = "".join(f"\n\nint f{i}(int a{i}, char **b{i}) {{\n  return g{i}(a{i}, b{i});\n}}\n" for i in range(60))
+    rows = [
+        row(1, f"/*\n * {one}\n *\n * {two}\n */" + code), row(2, "Copyright 2020 Jane Doe. Released under the MIT License."),
+        row(3, "This project is great. Released under the MIT License. See the file for more. " * 3 + code.replace("\n", " ")),
+        row(4, "Intro " + apache.replace(" Unless", "\n#\n# Unless").replace(" See the", "\n\nSee the") + code.replace("\n", " ")),
+        row(5, "first " + TEMPLATES["isc"] + " then " + TEMPLATES["mit"] + " last" + code), row(6, one + code), row(7, "Released under the"), row(8, "MIT License."),
+        row(9, "a b " + " ".join(["the MIT License", "under the"] * 3000))]
+    got = {r.doc_id: (r.license, r.score, r.licenses) for r in scan_licenses(frame(spark, rows)).collect()}
+    assert got[1] == ("gpl-header", 1.0, "gpl-header") and got[4] == ("apache-2.0-header", 1.0, "apache-2.0-header")
+    assert got[2] == got[3] == ("mit", 1.0, "mit") and got[5] == ("mit", 1.0, "isc,mit")
+    assert got[6] == got[7] == got[8] == (None, 0.0, "")
+
+
+def test_runs_against_every_run(spark):
+    rng = random.Random(5)
+    templates = {"one": "a b c d e f g h", "two": "d e f x y", "three": "a b c d e f g h i j k l m n"}
+    rows = [row(i, " ".join(rng.choices("abcdefghijklmnxyz", k=6) + list(rng.choice(["abcdefgh", "defxy", "abcdefghijklmn", "abcdegh", "abcefghijkmn"])) + rng.choices("abcxyz", k=9)) + " 0 1 2" * 40)
+            for i in range(150)]
+    got = {r.doc_id: set(filter(None, r.licenses.split(","))) for r in scan_licenses(frame(spark, rows), templates).collect()}
+    for r in rows:
+        w, want = r[1].split(), {}
+        for name, template in templates.items():
+            t = pairs(template)
+            for i in range(len(w)):
+                for j in range(i + 2, min(len(w), i + 1 + int(len(t) * 1.5)) + 1):
+                    own = set(zip(w[i : j - 1], w[i + 1 : j], strict=True))
+                    if 2 * len(own & t) >= THRESHOLD * (len(own) + len(t)):
+                        want.setdefault(name, []).append((i, j))
+        assert got[r[0]] <= set(want)
+        longest = max(want, key=lambda n: len(templates[n]), default=None)
+        assert longest is None or longest in got[r[0]]
+    assert len({frozenset(x) for x in got.values()}) >= 4
