@@ -1,8 +1,11 @@
 """Document fingerprints of closed syncmers.
 
 A k-mer of code points is chosen when the smallest of its s-mers is its first or last one. Whether a k-mer is chosen depends
-on nothing outside it, so equal passages have equal anchors wherever they stand. A fingerprint is the hash and position of
-each distinct anchor; two are alike as far as common anchors follow one another in the same order.
+on nothing outside it, so equal passages have equal anchors wherever they stand: any 2 K - S - 1 = 26 code points in a row
+hold one. Texts of less than 3 K code points, which may share less, have all their s-mers as anchors too, and those of less
+than 2 S their code points. So a text of three code points or more that keeps its first two thirds keeps an anchor. A
+fingerprint is the hash and position of each distinct anchor; two are alike as far as common anchors follow one another in
+the same order.
 """
 
 from __future__ import annotations
@@ -19,8 +22,9 @@ from pyspark.sql import functions as F
 
 from sentinela.llm.tokens import mix, powers
 
-K = 40
-S = 9
+K = 16
+S = 5
+SHORT = 3 * K
 PART_BYTES = 8_000_000
 MOST_PARTS = 20_000
 
@@ -52,27 +56,30 @@ def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (32 bits) and positions of the first occurrence of each chosen k-mer, by position.
+    """Hashes (32 bits) and positions of the first occurrence of each anchor, by position, of one position longer ones first.
 
-    A text of less than K code points is one anchor, and so is a longer one none of whose k-mers is chosen: its k-mer of
-    least hash. The empty text has none.
+    Anchors are the chosen k-mers, in a text of less than SHORT code points also all s-mers, and in one of less than 2 S also
+    all code points. The empty text has none.
     """
     points = code_points(text)
-    if len(points) == 0:
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    if len(points) < K:
-        return (_rolling(points, len(points)) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
-    inner = _rolling(points, S)
-    width = K - S + 1
-    least = _sliding_least(inner, width)
-    chosen = np.flatnonzero((inner[: len(least)] == least) | (inner[width - 1 :] == least))
-    whole = _rolling(points, K)
-    if len(chosen) == 0:
-        chosen = np.array([int(whole.argmin())])
-    hashes = (whole[chosen] >> np.uint64(32)).astype(np.uint32)
+    at, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    if len(points) >= K:
+        inner = _rolling(points, S)
+        width = K - S + 1
+        least = _sliding_least(inner, width)
+        chosen = np.flatnonzero((inner[: len(least)] == least) | (inner[width - 1 :] == least))
+        at.append(chosen)
+        hashes.append(_rolling(points, K)[chosen])
+    for size, most in ((S, SHORT), (1, 2 * S)):
+        if size <= len(points) < most:
+            at.append(np.arange(len(points) - size + 1))
+            hashes.append(_rolling(points, size))
+    at, hashes = np.concatenate(at), (np.concatenate(hashes) >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(at, kind="stable")
+    at, hashes = at[order], hashes[order]
     _, firsts = np.unique(hashes, return_index=True)
     firsts.sort()
-    return hashes[firsts], chosen[firsts]
+    return hashes[firsts], at[firsts]
 
 
 def written(found: tuple[np.ndarray, np.ndarray]) -> str:
@@ -93,7 +100,7 @@ def likeness(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarr
     if len(one[0]) + len(two[0]) == 0:
         return 1.0
     _, a, b = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
-    there = two[1][b][np.argsort(one[1][a])]
+    there = b[np.argsort(a)]  # anchors are held in order
     if np.all(there[1:] > there[:-1]):
         chain = len(there)
     else:

@@ -81,3 +81,20 @@ def test_neighbours(spark, monkeypatch):
 def test_hash_of_the_edited_text(spark):
     got = compare_with_next(frame(spark, [row(2, "áé" * 30), row(1, "xyz" * 30)])).orderBy("doc_id").collect()
     assert hashlib.sha256(got[1].edited_text.encode()).hexdigest() == hashlib.sha256(("áé" * 20 + "xyz" * 6 + "xy").encode()).hexdigest()
+
+
+def test_edited_texts_share_an_anchor_at_every_length():
+    rng = random.Random(7)
+    for n in [*range(3, 130), 400]:
+        for rest in (0, 1, n // 9, n // 3):
+            text, other = prose(rng, n)[:n], prose(rng, n + 1)[:rest]
+            edited = text[: n - n // 3] + other
+            assert len(text) == n and likeness(anchors(text), anchors(edited)) > 0, (text, edited)
+            assert likeness(anchors(text), anchors(text)) == 1.0
+
+
+def test_close_edits_leave_an_anchor_between_them():
+    rng = random.Random(8)
+    for _ in range(50):
+        a, b, kept = prose(rng, 30), prose(rng, 30), prose(rng, 20)[: 2 * K - S - 1]
+        assert likeness(anchors(a + "#" + kept + "#" + b), anchors(prose(rng, 30) + "%" + kept + "%" + prose(rng, 30))) > 0
