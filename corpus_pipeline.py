@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sentinela.llm import quality_mil
 from sentinela.llm.common import crc_of_id, stored
-from sentinela.llm.minhash_join import near_duplicates
+from sentinela.llm.minhash_join import decisions
 from sentinela.llm.mixing import mixed_documents
 from sentinela.llm.packing import pack
 from sentinela.llm.queries import tokenizer_path
@@ -25,10 +25,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates; of rows with the same id and text one."""
-    gone = near_duplicates(docs).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return rest.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
+    """One document of each group of near duplicates, that of smallest id, null ids last, and of one id that of smallest hash
+    of text; of rows with the same id and text one. A row is known by id and text, so unlike texts of one id, or without id,
+    are decided on each for itself."""
+    gone = decisions(docs).filter("not first").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_gone_hash")).distinct()
+    rest = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
+    rest = rest.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash")), "left_anti")
+    return rest.dropDuplicates(["doc_id", "_hash"]).select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,6 +291,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     in one component, and all rows with its smallest id are kept. A null id is never smallest; such a row is kept only if
     no row of its component has an id. An empty table gives an empty one. For 75 percent and more, see the module text.
     """
+    return decisions(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def decisions(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The columns of `near_duplicates` with text_hash and first, for every row of `docs`.
+
+    first is true for one (doc_id, text_hash) of each component, the smallest with null ids last, and for rows without
+    shingles. Unlike kept, it tells apart rows of one id and rows without id.
+    """
     if percent < PERCENT:
         raise ValueError(f"the number of matching coordinates is set for {PERCENT} percent and more")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -300,10 +309,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = join.labelled(found)
     found = found.unionByName(join.links(join.in_short_lists(rows))).unionByName(join.family_links(rows))
     labels = components(found, join.parts).withColumnRenamed("node", "class")
-    least = join.signed.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least")).join(labels, "class", "left")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    least = join.signed.filter("n_shingles > 0").groupBy("class").agg(F.min(order).alias("least")).join(labels, "class", "left")
     least = stored(least.select("class", "least", F.coalesce("label", "class").alias("label")))
-    smallest = stored(least.groupBy("label").agg(F.min("least").alias("component_id")))
-    of_class = stored(least.join(smallest, "label").select("class", "component_id"))
-    rows = join.signed.select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    smallest = stored(least.groupBy("label").agg(F.min("least").alias("smallest")))
+    of_class = least.join(smallest, "label").select("class", F.col("smallest.doc_id").alias("component_id"), F.col("smallest.text_hash").alias("first_hash"))
+    rows = join.signed.select("doc_id", "text_hash", "n_shingles", "class").join(stored(of_class), "class", "left")
+    some = F.col("n_shingles") > 0
+    component = F.when(some, F.col("component_id")).otherwise(F.col("doc_id"))
+    kept = F.col("doc_id").eqNullSafe(component)
+    first = ~some | (kept & (F.col("text_hash") == F.col("first_hash")))
+    return rows.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), kept.alias("kept"), first.alias("first"))
