@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.llm import language_id, quality_mil, quality_rules
@@ -12,6 +12,7 @@ from sentinela.llm.license_scan import TEMPLATES, THRESHOLD, scan_licenses
 from sentinela.llm.minhash_join import near_duplicates
 from sentinela.llm.mixing import BLOCK_TOKENS, ENTROPY, MAX_PASSES, STEPS, mix_sources
 from sentinela.llm.packing import pack
+from sentinela.llm.periodic_runs import detect_runs
 from sentinela.llm.secrets import KINDS, find_secrets
 from sentinela.llm.substring_dedup import remove_repeated_passages
 
@@ -85,13 +86,49 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "source", "pass", "n_tokens", "start", "block", "slot")
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with a tenth of the texts made periodic from some word on; rows without id are left as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(w: Column) -> Column:
+        n = F.size(w)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, place(i))), " "))
+
+    words = F.array(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))  # cut once, then looked up
+    return docs.select("doc_id", F.when(h % 10 == 0, F.coalesce(F.transform(words, planted)[0], F.col("text"))).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detect_runs(with_planted_runs(documents(spark, sf_dir)))
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    better = lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a)
+    found = found.withColumn("most", F.aggregate("runs", none, better))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "most.start", "most.length", "most.period",
+        F.expr("1000 * most.length div most.period").alias("exponent_milli"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"), "n_words", "n_dropped")
+
 
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_substring_dedup, op3_fingerprints, op4_quality_classifier, op5_license_scan, op6_secret_scan,
-    op7_quality_rules, op8_minhash_dedup, op9_packing, op10_mixing)}
+    op7_quality_rules, op8_minhash_dedup, op9_packing, op10_mixing, op11_periodic_runs)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+# crc32 of a text of plain characters; the table of the 256 remainders comes from its rule.
+CRC_TABLE = """(SELECT list(c ORDER BY i) AS remainders FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, (c & 1) * 3988292384)) AS c FROM range(256) AS r(i)))"""
+
+
+def _crc_sql(text: str) -> str:
+    codes = f"list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT))"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(remainders[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
 
 
 def _entropy_sql(exponent: str) -> str:
@@ -175,4 +212,24 @@ ORACLES = {
                row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5('block:' || coalesce(doc_id::VARCHAR, '') || ':' || pass), 1, 15))::BIGINT,
                                   doc_id, source, pass, start) - 1 AS slot
         FROM blocked""".replace("{e_mid}", _entropy_sql("mid")).replace("{e_one}", _entropy_sql("1.0")),
+    # A stretch of 16 equal words or more at lag q is as many equal 16-word windows, less 15, one after the other.
+    "op11_periodic_runs": rf"""
+        WITH crc AS {CRC_TABLE},
+        d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w, len({WORDS}) AS n, {_crc_sql("doc_id::VARCHAR")} AS h FROM documents, crc),
+        a AS (SELECT *, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM d),
+        made AS (SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n),
+                     lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM a),
+        windows AS (SELECT r, n, i, array_to_string(w[i + 1:i + 16], ' ') AS x
+                    FROM (SELECT r, n, w, unnest(range(n - 15)) AS i FROM made WHERE n >= 24)),
+        alike AS (SELECT a.r, a.i, b.i - a.i AS q FROM windows a JOIN windows b ON a.r = b.r AND a.x = b.x AND a.i < b.i AND 3 * (b.i - a.i) <= a.n),
+        grouped AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS part FROM alike),
+        stretches AS (SELECT r, q, min(i) AS start, count(*) + 15 + q AS length FROM grouped GROUP BY r, q, part),
+        runs AS (SELECT r, start, length, min(q) AS period FROM stretches WHERE length >= greatest(24, 3 * q) GROUP BY r, start, length),
+        listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS line FROM runs GROUP BY r),
+        most AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+        gone AS (SELECT r, list(DISTINCT i) AS places FROM (SELECT r, unnest(range(start + period, start + length)) AS i FROM runs) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+               sha256(coalesce(line, '')) AS runs_sha256, n AS n_words, coalesce(len(places), 0) AS n_dropped,
+               sha256(array_to_string([x FOR x, i IN w IF places IS NULL OR NOT list_contains(places, i - 1)], ' ')) AS collapsed_sha256
+        FROM made LEFT JOIN listed USING (r) LEFT JOIN most USING (r) LEFT JOIN gone USING (r)""",
 }

@@ -77,3 +77,22 @@ def window_hashes(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.
     of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(of[:count] == of[width - 1 :])
     return at, stretch_hashes(words, at, at + width)
+
+
+def joined_words(data: np.ndarray, at: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the words of each text that are not `gone`, joined by one space, and the n + 1 offsets of the texts."""
+    kept = np.flatnonzero(~gone)
+    sizes = ends[kept] - starts[kept]
+    cut = np.searchsorted(kept, first)
+    spaced = np.ones(len(kept), np.int64)
+    spaced[cut[1:][cut[1:] > cut[:-1]] - 1] = 0  # none after the last word of a text
+    upto = np.concatenate([[0], np.cumsum(sizes + spaced)])
+    out = np.full(int(upto[-1]), 32, np.uint8)
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[starts[kept]] += 1
+    edges[ends[kept]] -= 1
+    place = np.zeros(len(out) + 1, np.int8)
+    place[upto[:-1]] += 1
+    np.add.at(place, upto[:-1] + sizes, -1)
+    out[np.cumsum(place[:-1], dtype=np.int8) > 0] = data[np.cumsum(edges[:-1], dtype=np.int8) > 0]
+    return out, upto[cut]
