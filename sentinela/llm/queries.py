@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sentinela.llm import language_id, quality_mil, quality_rules
 from sentinela.llm.common import crc_of_id
+from sentinela.llm.conversation_repair import damaged, repair, transcript_hashes
 from sentinela.llm.fingerprints import compare_with_next
 from sentinela.llm.license_scan import TEMPLATES, THRESHOLD, scan_licenses
 from sentinela.llm.minhash_join import near_duplicates
@@ -114,9 +115,23 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed_text", 256).alias("collapsed_sha256"), "n_words", "n_dropped")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    solved, repaired = repair(damaged(rows))
+    found = rows.select("conv_id").distinct()
+    for one in (solved.drop("n_rows"), transcript_hashes(repaired)):
+        one = one.withColumnRenamed("conv_id", "_conv")
+        found = found.join(one, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").drop("_conv")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select(
+        "conv_id", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_substring_dedup, op3_fingerprints, op4_quality_classifier, op5_license_scan, op6_secret_scan,
-    op7_quality_rules, op8_minhash_dedup, op9_packing, op10_mixing, op11_periodic_runs)}
+    op7_quality_rules, op8_minhash_dedup, op9_packing, op10_mixing, op11_periodic_runs,
+    op12_conversation_repair)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -232,4 +247,47 @@ ORACLES = {
                sha256(coalesce(line, '')) AS runs_sha256, n AS n_words, coalesce(len(places), 0) AS n_dropped,
                sha256(array_to_string([x FOR x, i IN w IF places IS NULL OR NOT list_contains(places, i - 1)], ' ')) AS collapsed_sha256
         FROM made LEFT JOIN listed USING (r) LEFT JOIN most USING (r) LEFT JOIN gone USING (r)""",
+    # Every state of the repaired roles so far, row by row; up to two insertions before a row or the end, as more lead back.
+    "op12_conversation_repair": rf"""
+        WITH RECURSIVE crc AS {CRC_TABLE},
+        plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                         {_crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations, crc),
+        damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+                           CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                           unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM plain),
+        numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(md5(role) || md5(text))) AS i FROM damaged),
+        judged AS (SELECT *, left(role, 1) AS x, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+                          row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+                          NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM numbered),
+        faulty AS (SELECT *, CASE WHEN blank THEN 'b' WHEN again THEN 'd' WHEN cut THEN 't' ELSE '' END AS fault FROM judged),
+        -- from, to, insertions
+        fills(q, p, letters, lines) AS (VALUES ('', '', '', []), ('s', 's', '', []), ('u', 'u', '', []), ('a', 'a', '', []),
+            ('', 'u', 'I', ['user:']), ('s', 'u', 'I', ['user:']), ('a', 'u', 'I', ['user:']), ('u', 'a', 'I', ['assistant:']),
+            ('', 'a', 'II', ['user:', 'assistant:']), ('s', 'a', 'II', ['user:', 'assistant:'])),
+        edits(p, letter, x, to_state, price) AS (VALUES
+            ('', 'D', '*', '', 4), ('s', 'D', '*', 's', 4), ('u', 'D', '*', 'u', 4), ('a', 'D', '*', 'a', 4),
+            ('', 'K', 's', 's', 0), ('', 'K', 'u', 'u', 0), ('s', 'K', 'u', 'u', 0), ('a', 'K', 'u', 'u', 0), ('u', 'K', 'a', 'a', 0),
+            ('', 'R', '*', 'u', 3), ('s', 'R', '*', 'u', 3), ('a', 'R', '*', 'u', 3), ('u', 'R', '*', 'a', 3)),
+        walk(conv_id, i, q, best) AS (
+            SELECT DISTINCT conv_id, 0::BIGINT, '', {{'cost': 0::BIGINT, 'audit': '', 'lines': []::VARCHAR[]}} FROM faulty
+            UNION ALL
+            SELECT w.conv_id, w.i + 1, e.to_state, min({{
+                       'cost': (w.best.cost + 3 * len(f.letters) + e.price + CASE WHEN e.letter <> 'D' AND r.fault = 't' THEN 3 ELSE 0 END)::BIGINT,
+                       'audit': w.best.audit || f.letters || e.letter,
+                       'lines': list_concat(w.best.lines, f.lines, CASE e.letter WHEN 'D' THEN []
+                           WHEN 'K' THEN [r.role || ':' || r.text] ELSE [CASE e.to_state WHEN 'u' THEN 'user:' ELSE 'assistant:' END || r.text] END)}})
+            FROM walk w JOIN faulty r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1 JOIN fills f ON f.q = w.q JOIN edits e ON e.p = f.p
+            WHERE e.letter = 'D' OR (r.fault IN ('', 't') AND e.x IN ('*', r.x))
+            GROUP BY w.conv_id, w.i, e.to_state),
+        ends AS (SELECT w.conv_id, min({{'cost': (w.best.cost + 3 * len(f.letters))::BIGINT, 'audit': w.best.audit || f.letters, 'lines': list_concat(w.best.lines, f.lines)}}) AS best
+                 FROM walk w JOIN (SELECT conv_id, max(i) AS n FROM faulty GROUP BY conv_id) t ON t.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = t.n
+                 JOIN fills f ON f.q = w.q WHERE f.p IN ('', 'a') GROUP BY w.conv_id),
+        counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                           count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (bad) AS illegal
+                    FROM (SELECT *, coalesce(lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x NOT IN ('su', 'ua', 'au'), false) AS bad FROM faulty) GROUP BY conv_id)
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit,
+               sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+        LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""",
 }
