@@ -16,6 +16,7 @@ from sentinela.llm.packing import pack
 from sentinela.llm.periodic_runs import detect_runs
 from sentinela.llm.secrets import KINDS, find_secrets
 from sentinela.llm.substring_dedup import remove_repeated_passages
+from sentinela.llm.vector_packing import pack_best_fit
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +129,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = pack_best_fit(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset", "sequence_tokens", "sequence_documents")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_substring_dedup, op3_fingerprints, op4_quality_classifier, op5_license_scan, op6_secret_scan,
     op7_quality_rules, op8_minhash_dedup, op9_packing, op10_mixing, op11_periodic_runs,
-    op12_conversation_repair)}
+    op12_conversation_repair, op13_best_fit_packing)}
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
