@@ -17,6 +17,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,22 +30,30 @@ from sentinela.llm.common import stored
 LENGTH = 1024
 END_ID = 2
 WEIGHTS = (1.0, 0.05, 0.05)
-HELD = 600_000
+HELD = 900_000
 
 TOKENS = "part bigint, doc_id bigint, doc_tokens bigint, tail bigint, tail_number bigint, full_number bigint, ids binary"
 PIECE = (
     "doc_id bigint, piece int, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, "
     "sequence_tokens bigint, sequence_documents bigint, sequence_attention bigint")
 
-# The tokenizer's cut of a text, for texts of plain Latin letters and common signs; others go through the whole tokenizer.
-_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
-_CUT = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
+# The tokenizer's cut of a text, for ASCII, and for texts of plain Latin letters and common signs; others go through the whole tokenizer.
+_LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 _OTHER = re.compile(r"[^\x20-\x7e\x09-\x0dÀ-ÖØ-öø-ÿ“”‘’–—…«»¡¿€]")
 
 
+def _cutter(letters: str, flags: int = 0) -> re.Pattern:
+    return re.compile(rf" ?[{letters}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^\s{letters}0-9]+|\s+(?!\S)|\s+", flags)
+
+
+_CUT_ASCII, _CUT_LATIN = _cutter("A-Za-z", re.ASCII), _cutter(_LATIN)
+
+
+@cache
 def byte_encoder(path: str):
     """A function from texts to their ids as little-endian unsigned 32-bit values, for a byte-level BPE tokenizer file that
-    cuts texts into contractions, and runs of letters, of digits, of other signs and of white space. A cut piece is encoded once."""
+    cuts texts into contractions, and runs of letters, of digits, of other signs and of white space. The ids of a cut piece are
+    held, up to HELD pieces, and over the tasks of a worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer, pre_tokenizers
 
@@ -52,20 +61,25 @@ def byte_encoder(path: str):
     one_piece = Tokenizer(tokenizer.model)
     one_piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     special = [str(t.content) for t in tokenizer.get_added_tokens_decoder().values()]
+
     held: dict[str, bytes] = {}
 
+    def cut(text: str) -> list[str] | None:
+        if any(s in text for s in special):
+            return None
+        return _CUT_ASCII.findall(text) if text.isascii() else None if _OTHER.search(text) else _CUT_LATIN.findall(text)
+
     def encode(texts: list[str]) -> list[bytes]:
-        plain = [not _OTHER.search(t) and not any(s in t for s in special) for t in texts]
-        parts = [_CUT.findall(t) if p else [] for t, p in zip(texts, plain, strict=True)]
+        parts = [cut(t) for t in texts]
         if len(held) > HELD:
             held.clear()
-        new = list(set().union(*parts).difference(held))
+        new = list(set().union(*(w for w in parts if w)).difference(held))
         for begin in range(0, len(new), 20_000):
             some = new[begin : begin + 20_000]
             ids = (np.array(e.ids, "<u4").tobytes() for e in one_piece.encode_batch_fast(some, add_special_tokens=False))
             held.update(zip(some, ids, strict=True))
-        whole = iter(tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False))
-        return [b"".join(map(held.__getitem__, w)) if p else np.array(next(whole).ids, "<u4").tobytes() for w, p in zip(parts, plain, strict=True)]
+        whole = iter(tokenizer.encode_batch_fast([t for t, w in zip(texts, parts, strict=True) if w is None], add_special_tokens=False))
+        return [np.array(next(whole).ids, "<u4").tobytes() if w is None else b"".join(map(held.__getitem__, w)) for w in parts]
 
     return encode
 
