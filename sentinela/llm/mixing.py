@@ -12,6 +12,8 @@ run up, and only rows of one range are sorted together. A source with a third of
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,60 +23,68 @@ ENTROPY = 0.9
 MAX_PASSES = 4.0
 BLOCK_TOKENS = 1_000_000
 SLICE_BITS = 12
-STEPS = 50
+STEPS = 52
+LEVELS = 4
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
-
-
-def _weights(shares: Column, exponent: Column) -> Column:
-    raw = F.transform(shares, lambda q: F.pow(q, exponent))
-    return F.transform(raw, lambda x: x / _sum(raw))
-
-
-def _entropy(shares: Column, exponent: Column) -> Column:
-    """Entropy of the weights, as a share of the most that as many sources can have; 1 for a single source."""
-    w = _weights(shares, exponent)
-    most = F.log(F.size(shares).cast("double"))
-    return F.when(F.size(shares) < 2, 1.0).otherwise(-_sum(F.transform(w, lambda p: p * F.log(p))) / most)
-
-
-def _bisect(holds) -> Column:
-    """The largest exponent in [0, 1] for which `holds`, which is true at 0 and false beyond some point."""
-    def step(state: Column, _: Column) -> Column:
-        middle = (state["lo"] + state["hi"]) / 2
-        right = holds(middle)
-        return F.struct(F.when(right, middle).otherwise(state["lo"]).alias("lo"), F.when(right, state["hi"]).otherwise(middle).alias("hi"))
-
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step)["lo"]
-    return F.when(holds(F.lit(1.0)), 1.0).otherwise(found)
+def _flat_enough(shares: DataFrame, sources: int, entropy: float) -> float:
+    """The largest exponent in [0, 1] at which the weights' entropy, as a share of the most that as many sources can have, is
+    `entropy` or more. Bisection, LEVELS halvings for each pass over the sources: sums for all the middles they may come to."""
+    if sources < 2:
+        return 1.0
+    lo, hi, done = 0.0, 1.0, 0
+    while done < STEPS:
+        points = [lo + (hi - lo) * k / (1 << LEVELS) for k in range(1, 1 << LEVELS)] + [hi]
+        power = lambda a: F.pow(F.col("share"), F.lit(a))
+        sums = shares.agg(
+            F.array(*[F.sum(power(a)) for a in points]).alias("s"), F.array(*[F.sum(power(a) * F.log("share")) for a in points]).alias("l")).first()
+        holds = [(math.log(x) - a * y / x) / math.log(sources) >= entropy for a, x, y in zip(points, sums["s"], sums["l"], strict=True)]
+        if done == 0 and holds[-1]:
+            return 1.0
+        at = 0
+        for level in range(LEVELS):
+            middle = at + (1 << (LEVELS - 1 - level))
+            at = middle if holds[middle - 1] else at
+        lo, hi, done = lo + (hi - lo) * at / (1 << LEVELS), lo + (hi - lo) * (at + 1) / (1 << LEVELS), done + LEVELS
+    return lo
+
+
+def _rare_enough(spread: float, max_passes: float) -> float:
+    """The least exponent at which sources whose largest share is `spread` times the smallest are shown `max_passes` times as often at most."""
+    if spread <= max_passes:
+        return 0.0
+    lo, hi = 0.0, 1.0
+    for _ in range(STEPS):
+        middle = (lo + hi) / 2
+        lo, hi = (middle, hi) if spread**middle <= max_passes else (lo, middle)
+    return 1.0 - lo
+
+
+PLAN = "source string, tokens bigint, exponent double, weight double, budget bigint, whole bigint, rest bigint"
 
 
 def source_plan(counted: DataFrame, entropy: float = ENTROPY, max_passes: float = MAX_PASSES, budget: int | None = None) -> DataFrame:
-    """(source, tokens, weight, budget, whole, rest) of each source of `counted` (source, n_tokens); one row per source.
+    """(source, tokens, exponent, weight, budget, whole, rest) of each source of `counted` (source, n_tokens).
 
     `whole` passes and `rest` tokens of another make the source's budget. Without `budget`, it is the least at which every
-    document is shown. Sources without tokens are left out.
+    document is shown. Sources without tokens are left out. Sources stay rows, however many there are; to the driver come sums.
     """
-    sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0")
-    rows = sums.agg(F.array_sort(F.collect_list(F.struct("source", "tokens"))).alias("s"))
-    total = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"])
-    rows = rows.select("s", F.transform("s", lambda x: x["tokens"] / total).alias("q"))
-    q = F.col("q")
-    flat = _bisect(lambda a: _entropy(q, a) >= entropy)
-    spread = F.array_max(q) / F.array_min(q)
-    # 1 - exponent is bisected, as repetition grows with it
-    steep = F.lit(1.0) - _bisect(lambda b: F.pow(spread, b) <= max_passes)
-    rows = rows.withColumn("exponent", F.greatest(flat, steep))
-    rows = rows.select("s", "exponent", _weights(q, F.col("exponent")).alias("w"))
-    times = F.transform(F.arrays_zip("s", "w"), lambda x: x["w"] / x["s"]["tokens"])
-    rows = rows.select("*", F.array_min(times).alias("least")).select("least", "exponent", F.explode(F.arrays_zip("s", "w")).alias("x"))
-    tokens, weight = F.col("x.s.tokens"), F.col("x.w")
-    given = F.round(weight / F.col("least")) if budget is None else F.floor(weight * budget)
-    rows = rows.select(F.col("x.s.source").alias("source"), tokens.alias("tokens"), "exponent", weight.alias("weight"), given.cast("bigint").alias("budget"))
+    sums = stored(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"))
+    of_all = sums.agg(F.sum("tokens").alias("total"), F.count(F.lit(1)).alias("n"), F.max("tokens").alias("most"), F.min("tokens").alias("least")).first()
+    if not of_all["n"]:
+        return counted.sparkSession.createDataFrame([], PLAN)
+    shares = sums.withColumn("share", F.col("tokens") / F.lit(of_all["total"]))
+    spread = (of_all["most"] / of_all["total"]) / (of_all["least"] / of_all["total"])
+    exponent = max(_flat_enough(shares, of_all["n"], entropy), _rare_enough(spread, max_passes))
+    raw = shares.withColumn("raw", F.pow("share", F.lit(exponent)))
+    weight = F.col("raw") / F.lit(raw.agg(F.sum("raw")).first()[0])
+    rows = raw.withColumn("weight", weight)
+    if budget is None:
+        given = F.round(F.col("weight") / F.lit(rows.agg(F.min(F.col("weight") / F.col("tokens"))).first()[0]))
+    else:
+        given = F.floor(F.col("weight") * budget)
+    rows = rows.select("source", "tokens", F.lit(exponent).alias("exponent"), "weight", given.cast("bigint").alias("budget"))
     return rows.withColumn("whole", F.expr("budget div tokens")).withColumn("rest", F.col("budget") % F.col("tokens"))
 
 
@@ -94,10 +104,10 @@ def place(doc_id: str, turn: Column, salt: str) -> Column:
 def drawn(counted: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, source, pass, n_tokens, place, start, block, slot): every showing of a document.
 
-    `start` is the showing's offset in its source's stream, `slot` its position in its block, from 0. A pass takes the
-    documents that start before the budget ends.
+    `start` is the showing's offset in its source's stream, `slot` its position in its block, from 0. Whole passes show every
+    document; the one that the budget cuts takes those that start before it ends.
     """
-    few = F.broadcast(plan.select("source", "tokens", "budget", "whole", "rest"))  # one row per source
+    few = plan.select("source", "tokens", "budget", "whole", "rest")
     all_budget = plan.agg(F.sum("budget").alias("n"))
     passes = F.sequence(F.lit(0).cast("bigint"), F.when(F.col("rest") > 0, F.col("whole")).otherwise(F.col("whole") - 1))
     passes = F.when((F.col("rest") > 0) | (F.col("whole") > 0), passes)
@@ -111,9 +121,10 @@ def drawn(counted: DataFrame, plan: DataFrame, block_tokens: int = BLOCK_TOKENS)
     within = Window.partitionBy(*key).orderBy("place", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.join(bases, key)
     rows = rows.withColumn("at", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    rows = rows.withColumn("start", F.col("pass") * F.col("tokens") + F.col("at")).filter("start < budget")
+    rows = rows.withColumn("start", F.col("pass") * F.col("tokens") + F.col("at")).filter("pass < whole OR start < budget")
     blocks = F.greatest(F.lit(1).cast("bigint"), F.ceil(all_budget.scalar() / F.lit(float(block_tokens))))
-    rows = rows.withColumn("block", F.floor(F.col("start") / F.col("budget") * blocks).cast("bigint"))
+    # a text without tokens may stand just where the budget ends
+    rows = rows.withColumn("block", F.least(F.floor(F.col("start") / F.col("budget") * blocks).cast("bigint"), blocks - 1))
     shuffled = Window.partitionBy("block").orderBy(place("doc_id", F.col("pass"), "block"), "doc_id", "source", "pass", "start")
     rows = rows.withColumn("slot", F.row_number().over(shuffled).cast("bigint") - 1)
     return rows.select("doc_id", "source", "pass", "n_tokens", "place", "start", "block", "slot")
@@ -134,14 +145,14 @@ def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """`docs` with each row as often as the mixture shows it: all columns of `docs`, in no order.
 
     The last pass of a source is everything up to its last place, so a bound per source, one row each, decides for every
-    row, and texts are not shuffled. Documents of one place, such as repeated rows, are shown or left out together.
+    row. Texts are shuffled only where there are so many sources that Spark does not broadcast these rows. Documents of one place, such as repeated rows, are shown or left out together.
     """
     counted = stored(counted_words(docs))
     plan = stored(source_plan(counted, **settings))
     shown = drawn(counted, plan)
-    last = shown.groupBy("source", "pass").agg(F.max("place").alias("last")).join(F.broadcast(plan), "source").filter("pass = whole")
+    last = shown.groupBy("source", "pass").agg(F.max("place").alias("last")).join(plan, "source").filter("pass = whole")
     bound = plan.select("source", "whole").join(last.select("source", "last"), "source", "left")
-    bound = F.broadcast(stored(bound.select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("last").alias("_mix_last"))))
+    bound = stored(bound.select(F.col("source").alias("_mix_source"), F.col("whole").alias("_mix_whole"), F.col("last").alias("_mix_last")))
     rows = docs.join(bound, F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_mix_source"))
     again = (place("doc_id", F.col("_mix_whole"), "pass") <= F.coalesce("_mix_last", F.lit(-1))).cast("bigint")
     return rows.withColumn("_mix_times", F.explode(F.array_repeat(F.lit(1), (F.col("_mix_whole") + again).cast("int")))).select(*docs.columns)

@@ -227,8 +227,10 @@ ORACLES = {
             SELECT *, pass * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, pass ORDER BY place, doc_id, n_tokens
                                                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM placed),
         blocked AS (
-            SELECT *, floor(start / budget * (SELECT greatest(1, ceil(sum(budget) / {BLOCK_TOKENS}.0)) FROM plan))::BIGINT AS block
-            FROM started WHERE start < budget)
+            SELECT *, least(floor(start / budget * n)::BIGINT, n - 1) AS block
+            FROM started, (SELECT greatest(1, ceil(sum(budget) / {BLOCK_TOKENS}.0))::BIGINT AS n FROM plan)
+            -- every document of a pass that the budget covers, and of the one it cuts what begins within
+            WHERE (pass + 1) * tokens <= budget OR start < budget)
         SELECT doc_id, source, pass, n_tokens, start, block,
                row_number() OVER (PARTITION BY block ORDER BY ('0x' || substr(md5('block:' || coalesce(doc_id::VARCHAR, '') || ':' || pass), 1, 15))::BIGINT,
                                   doc_id, source, pass, start) - 1 AS slot

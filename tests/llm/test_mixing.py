@@ -97,6 +97,25 @@ def test_odd_rows(spark):
     assert Counter(r.doc_id for r in single) == Counter(range(9))
 
 
+def test_texts_without_tokens_at_the_end_of_the_last_pass(spark):
+    """Of ten empty texts some come after the last one with words in every hash order."""
+    for k in range(6):
+        docs = [row(100 * k + i, "a b c" if i % 20 < 9 else ("" if i % 2 else None), source="s") for i in range(20)]
+        docs += [row(100 * k + 20 + i, "w " * 50 if i < 30 else "", source="big") for i in range(60)]
+        got = mix_sources(frame(spark, docs), block_tokens=7).collect()
+        assert {r.doc_id for r in got} == {r[0] for r in docs}
+        whole = Counter(r.doc_id for r in got)
+        assert all(whole[r[0]] >= 1 for r in docs) and whole == Counter(r.doc_id for r in mixed_documents(frame(spark, docs)).collect())
+        assert max(r.block for r in got) < math.ceil(sum(p.budget for p in source_plan(counted_words(frame(spark, docs))).collect()) / 7)
+
+
+def test_thousands_of_sources_stay_rows(spark):
+    docs = [row(i, "w " * (1 + i % 7), source=f"host{i % 3000}") for i in range(9000)]
+    plan = source_plan(counted_words(frame(spark, docs)))
+    assert plan.count() == 3000 and abs(plan.agg({"weight": "sum"}).first()[0] - 1) < 1e-9
+    assert "Broadcast" not in mix_sources(frame(spark, docs))._jdf.queryExecution().logical().toString()
+
+
 def test_no_python_in_the_plan(spark, rows):
     plan = mix_sources(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
