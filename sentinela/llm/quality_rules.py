@@ -18,7 +18,8 @@ from sentinela.llm.common import passes, stored
 from sentinela.llm.tokens import SPACE, salts, stretch_hashes, window_hashes, word_bounds, word_hashes
 
 RUN = 3
-MOST_FALSE = 0.002
+# Votes, bad and good, that each rule starts from on bad and on good texts.
+FIRST_VOTES = ((1.0, 1.0), (2.0, 200.0))
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[ord(c) for c in "#*$%&|<>"]] = 1
 _CLASS[65:91] = 2
@@ -95,19 +96,25 @@ def _vote(good: Column, bad: Column) -> Column:
 
 
 def votes() -> dict[str, Column]:
-    """The rules, over STATISTICS: 1 good, -1 bad, 0 no opinion. Shares of nothing are null, which is no opinion."""
+    """The rules, over STATISTICS: 1 good, -1 bad, 0 no opinion. Shares of nothing are null, which is no opinion.
+
+    Some object to much that is good, such as short texts and single lines; how far an objection counts is not set here.
+    Symbols are looked at twice, by word and by character.
+    """
     share = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
     case = F.col("n_upper") / F.when(F.col("n_upper") + F.col("n_lower") > 0, F.col("n_upper") + F.col("n_lower"))
     length = share("word_chars", "n_words")
+    stops = share("n_stops", "n_words")
     return {
-        "words": _vote(F.col("n_words") >= 100, F.col("n_words") < 5),
+        "words": _vote(F.col("n_words") >= 100, F.col("n_words") < 80),
         "repeats": _vote(share("n_repeat_words", "n_words") <= 0.1, share("n_repeat_words", "n_words") > 0.3),
-        "lines": _vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), share("n_dup_lines", "n_lines") > 0.6),
+        "lines": _vote((F.col("n_lines") > 1) & (F.col("n_dup_lines") == 0), (share("n_dup_lines", "n_lines") > 0.3) | (F.col("n_lines") == 1)),
         "symbols": _vote(share("n_symbols", "n_words") <= 0.02, share("n_symbols", "n_words") > 0.2),
+        "sparse": _vote(share("n_symbols", "word_chars") <= 0.005, share("n_symbols", "word_chars") > 0.03),
         "word_length": _vote(length.between(3, 9), (length < 2) | (length > 15)),
         "case": _vote(case <= 0.15, case > 0.4),
-        "letters": _vote(share("n_letter_words", "n_words") >= 0.9, share("n_letter_words", "n_words") < 0.7),
-        "stops": _vote(share("n_stops", "n_words").between(0.01, 0.34), share("n_stops", "n_words") > 0.5),
+        "letters": _vote(share("n_letter_words", "n_words") >= 0.95, share("n_letter_words", "n_words") < 0.85),
+        "stops": _vote(stops.between(0.01, 0.34), (stops > 0.5) | (stops < 0.02)),
     }
 
 
@@ -116,8 +123,9 @@ def estimate(patterns: dict[tuple[int, ...], int], steps: int = 100) -> tuple[fl
 
     Expectation-maximisation over counted vote patterns; rules are taken to vote independently of one another given a text's
     quality, and an abstention says nothing. At first texts with two bad votes or more are taken for bad, those with one for undecided, the others for good.
-    Rates are smoothed by one vote each, so that none is 0. No rule is taken to reject more than MOST_FALSE of the good texts:
-    rules vote bad only where a text is far from prose, and without that bound a common kind of junk would pass for good.
+    Each rate starts from FIRST_VOTES, so that none is 0: a rule is thought to reject a good text in a hundred, as firmly as two
+    hundred votes say it, until there are more. A kind of junk is found if more than one rule objects to it: what a single
+    rule objects to, and no other, may as well be that rule's error.
     """
     if not patterns:
         return 0.5, np.full((2, 0, 2), 1 / 2)
@@ -130,9 +138,8 @@ def estimate(patterns: dict[tuple[int, ...], int], steps: int = 100) -> tuple[fl
         prior = float(np.clip((counts * good).sum() / counts.sum(), 0.01, 0.99))
         rates = np.empty((2, seen.shape[1], 2))
         for k, share in enumerate((1 - good, good)):
-            voted = np.einsum("p,vpr->rv", counts * share, is_vote) + 1
+            voted = np.einsum("p,vpr->rv", counts * share, is_vote) + FIRST_VOTES[k]
             rates[k] = voted / voted.sum(axis=1, keepdims=True)
-        rates[1, :, 0] = np.minimum(rates[1, :, 0], MOST_FALSE)
         logit = math.log(prior / (1 - prior)) + np.einsum("vpr,rv->p", is_vote, np.log(rates[1] / rates[0]))
         good = 1 / (1 + np.exp(-logit))
     return prior, rates

@@ -1,9 +1,10 @@
 import random
 from collections import Counter
 
+import numpy as np
 from cases import ODD, frame, row, words
 
-from sentinela.llm.quality_rules import accuracies, estimate, judge, statistics
+from sentinela.llm.quality_rules import STATISTICS, accuracies, estimate, judge, statistics
 
 
 def expected(text):
@@ -62,3 +63,72 @@ def test_verdicts(spark):
     assert not any(r.kept for i, r in got.items() if i >= 100)
     assert got[300].base_failed and got[301].base_failed and got[302].base_failed
     assert judge(frame(spark, [])).count() == 0
+
+
+def plain_votes(r):
+    """The rules once more, one text at a time."""
+    def vote(good, bad):
+        return -1 if bad else 1 if good else 0
+    n = r["n_words"]
+    part = lambda a, b: r[a] / r[b] if r[b] else None
+    def on(value, good, bad):
+        return 0 if value is None else vote(good(value), bad(value))
+    cased = r["n_upper"] + r["n_lower"]
+    dup = part("n_dup_lines", "n_lines")
+    return (
+        vote(n >= 100, n < 80),
+        on(part("n_repeat_words", "n_words"), lambda x: x <= 0.1, lambda x: x > 0.3),
+        vote(r["n_lines"] > 1 and r["n_dup_lines"] == 0, (dup is not None and dup > 0.3) or r["n_lines"] == 1),
+        on(part("n_symbols", "n_words"), lambda x: x <= 0.02, lambda x: x > 0.2),
+        on(part("n_symbols", "word_chars"), lambda x: x <= 0.005, lambda x: x > 0.03),
+        on(part("word_chars", "n_words"), lambda x: 3 <= x <= 9, lambda x: x < 2 or x > 15),
+        on(r["n_upper"] / cased if cased else None, lambda x: x <= 0.15, lambda x: x > 0.4),
+        on(part("n_letter_words", "n_words"), lambda x: x >= 0.95, lambda x: x < 0.85),
+        on(part("n_stops", "n_words"), lambda x: 0.01 <= x <= 0.34, lambda x: x > 0.5 or x < 0.02),
+    )
+
+
+def plain_posteriors(votes, steps=100):
+    """Expectation-maximisation text by text, without counted patterns or arrays."""
+    good = [{0: 1.0, 1: 0.5}.get(sum(x < 0 for x in v), 0.0) for v in votes]
+    for _ in range(steps):
+        prior = min(max(sum(good) / len(good), 0.01), 0.99)
+        rates = []
+        for share, first in (([1 - g for g in good], (1, 1)), (good, (2, 200))):
+            per_rule = []
+            for k in range(len(votes[0])):
+                bad, ok = (f + sum(s for v, s in zip(votes, share, strict=True) if v[k] == x) for f, x in zip(first, (-1, 1), strict=True))
+                per_rule.append((bad / (bad + ok), ok / (bad + ok)))
+            rates.append(per_rule)
+        good = []
+        for v in votes:
+            one, two = prior, 1 - prior
+            for k, x in enumerate(v):
+                if x:
+                    one *= rates[1][k][x > 0]
+                    two *= rates[0][k][x > 0]
+            good.append(one / (one + two))
+    return good
+
+
+def test_votes_estimate_and_posterior_against_plain_python(spark):
+    rng = random.Random(12)
+    kinds = ["word", "Word.", "WORD!", "x#", "| |", "$$ %", "y.", "longerword", "é", "12"]
+    rows = [row(i, "".join(rng.choice(kinds[: rng.choice([2, 8, 10])]) + rng.choice([" ", " ", " ", "\n"]) for _ in range(rng.choice([3, 60, 90, 150])))) for i in range(250)]
+    rows += [row(1000, None), row(1001, ""), row(1002, "a a a")]
+    got = judge(frame(spark, rows)).collect()
+    votes = [plain_votes({s: r[s] for s in STATISTICS}) for r in got]
+    assert votes == [tuple(r[c] for c in r.asDict() if c.startswith("vote_")) for r in got]
+    for r, p in zip(got, plain_posteriors(votes), strict=True):
+        assert abs(r.quality - p) < 1e-6
+        assert r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words)
+        assert r.kept == (not r.base_failed and r.quality >= 0.5)
+
+
+def test_an_objection_counts_as_far_as_its_rule_is_right():
+    """A rule that objects to a third of good texts keeps none of them out; two rules that agree on junk do."""
+    patterns = {(1, 1, 1): 6000, (-1, 1, 1): 3000, (1, -1, -1): 600, (-1, -1, -1): 300, (1, -1, 1): 10, (0, 1, 1): 500}
+    prior, rates = estimate(patterns)
+    odds = lambda p: prior / (1 - prior) * np.prod([rates[1, k, int(x > 0)] / rates[0, k, int(x > 0)] for k, x in enumerate(p) if x])
+    assert odds((-1, 1, 1)) > 1 > odds((1, -1, -1)) and abs(rates[1, 0, 0] - 1 / 3) < 0.02
+    assert odds((-1, 1, 1)) > 1 and odds((0, 1, 1)) > 1 and abs(prior - 9500 / 10410) < 0.02
