@@ -98,3 +98,62 @@ def test_close_edits_leave_an_anchor_between_them():
     for _ in range(50):
         a, b, kept = prose(rng, 30), prose(rng, 30), prose(rng, 20)[: 2 * K - S - 1]
         assert likeness(anchors(a + "#" + kept + "#" + b), anchors(prose(rng, 30) + "%" + kept + "%" + prose(rng, 30))) > 0
+
+
+def plain_likeness(one, two):
+    """Longest common subsequence of the anchors of the kinds both have, by the table."""
+    kinds = [max((h & 3 for h in x), default=None) for x in (one, two)]
+    if None in kinds:
+        return float(kinds[0] == kinds[1])
+    a, b = ([h for h in x if h & 3 <= min(kinds)] for x in (one, two))
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return 2 * table[-1][-1] / (len(a) + len(b))
+
+
+def test_likeness_against_the_longest_common_subsequence():
+    rng = random.Random(9)
+    for _ in range(150):
+        a = prose(rng, rng.randrange(1, 30))[: rng.choice([3, 7, 8, 25, 29, 30, 31, 90])]
+        cut = rng.randrange(len(a) + 1)
+        b = rng.choice([a[cut:] + a[:cut], a[:cut] + "##" + a[cut:], a + "x", prose(rng, 9), ""])
+        one, two = anchors(a), anchors(b)
+        assert likeness(one, two) == plain_likeness(one[0].tolist(), two[0].tolist())
+
+
+def test_a_code_point_more_changes_little_at_every_length():
+    rng = random.Random(10)
+    for n in range(10, 131):
+        for _ in range(8):
+            text = prose(rng, n)[:n]
+            assert likeness(anchors(text), anchors(text + rng.choice("xyz."))) > 0.8, text
+
+
+def test_rows_of_one_id_or_none_lie_in_many_parts(spark, monkeypatch):
+    """A third of the rows have no id and half of these one text; another id has a fifth."""
+    monkeypatch.setattr(fingerprints, "PART_BYTES", 3000)
+    rng = random.Random(11)
+    rows = [row(None, "one and the same text of some words" if i % 2 else prose(rng, 8)) for i in range(200)]
+    rows += [row(77, prose(rng, 8)) for i in range(120)] + [row(1000 + i, prose(rng, 8)) for i in range(280)]
+    seen = []
+    true = fingerprints.part_of
+    monkeypatch.setattr(fingerprints, "part_of", lambda s, w: seen.append((s, w)) or true(s, w))
+    got = compare_with_next(frame(spark, rows)).collect()
+    ids = sorted({r[0] for r in rows}, key=lambda i: (i is not None, i or 0), reverse=True)
+    texts = {i: [r[1] for r in rows if r[0] == i] for i in ids}
+    assert len(got) == 600
+    follows = []
+    for r in got:
+        after = ids[(ids.index(r.doc_id) + 1) % len(ids)]
+        follows.append(r.next_id)
+        assert r.next_id in (r.doc_id, after)
+        candidates = {t[: len(t) - len(t) // 3] + a[: len(t) // 3] for t in texts[r.doc_id] for a in texts[r.next_id]}
+        assert r.edited_text in candidates
+    # every row but the first of all is the next of just one
+    assert follows.count(None) == 200 and follows.count(77) == 120
+    splits, within = seen[0]
+    frame_ = frame(spark, rows).selectExpr("doc_id", "coalesce(xxhash64(text), 0) AS order", "pmod(xxhash64(monotonically_increasing_id()), 1L << 40) AS tie")
+    sizes = [r["count"] for r in frame_.groupBy(true(splits, within).alias("p")).count().collect()]
+    assert sum(sizes) == 600 and max(sizes) < 600 / len(sizes) * 4 and len(sizes) >= len(splits) * 0.8
