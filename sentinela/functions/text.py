@@ -86,6 +86,42 @@ def content_text(content: Column) -> Column:
     return F.when(parsed.isNotNull(), joined).otherwise(content)
 
 
+def _without_urls(text: Column, urls: Column) -> Column:
+    """Delete `urls` one after another, each wherever it stands; a slash after it stays.
+
+    A URL stands only where `http://` or `https://` does, so the text is cut there once, and the beginning of each piece, as
+    long as some URL is, is looked up among them. They lie in as many buckets as the root of their number, by hash. If more
+    than one begins a piece, the first of the list is deleted. A URL with another one inside would be cut itself; lists with
+    such a one go over the text once per URL.
+    """
+    def bound(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def looked_up(x: Column) -> Column:
+        slot = lambda u: F.pmod(F.xxhash64(u), x["n"]).cast("int")
+        numbered = F.transform(x["urls"], lambda u, k: F.struct(k.alias("k"), u.alias("u"), slot(u).alias("slot")))
+        lengths = F.array_distinct(F.transform(x["urls"], F.length))
+
+        def piece(c: Column, y: Column) -> Column:
+            found = lambda m: F.get(F.filter(F.get(y["buckets"], slot(m)), lambda e: e["u"] == m), F.lit(0))
+            first = F.array_min(F.filter(F.transform(y["lengths"], lambda n: found(F.left(c, n))), lambda e: e.isNotNull()))
+            return bound(first, lambda e: F.when(e.isNull(), c).otherwise(F.substring(c, F.length(e["u"]) + 1, F.length(c))))
+
+        def in_buckets(of: Column) -> Column:
+            buckets = F.transform(F.sequence(F.lit(0), x["n"] - 1), lambda b: F.filter(of, lambda e: e["slot"] == b))
+            pieces = lambda y: F.transform(F.split(x["t"], "(?=https?://)", -1), lambda c: F.when(c.startswith("http"), piece(c, y)).otherwise(c))
+            return bound(F.struct(buckets.alias("buckets"), lengths.alias("lengths")), lambda y: F.array_join(pieces(y), ""))
+
+        return bound(numbered, in_buckets)
+
+    def one_by_one(t: Column, url: Column) -> Column:
+        return F.replace(t, url, F.lit(""))
+
+    nested = F.exists(urls, lambda u: F.substring(u, 2, 1 << 30).rlike("https?://"))
+    start = F.struct(text.alias("t"), F.ceil(F.sqrt(F.size(urls))).cast("int").alias("n"), urls.alias("urls"))
+    return F.when(nested, F.aggregate(urls, text, one_by_one)).otherwise(bound(start, looked_up))
+
+
 def strip_mismatches(text: Column, raws: Column, urls: Column) -> Column:
     """Delete flagged numbers and URLs wherever they occur, then tidy spaces and line breaks.
 
@@ -109,10 +145,6 @@ def strip_mismatches(text: Column, raws: Column, urls: Column) -> Column:
         F.array_distinct(raws).alias("raws"))
     cleaned = F.when(F.size(raws) > 0, F.get(F.transform(F.array(cut), joined), F.lit(0))).otherwise(text)
 
-    def without_url(t: Column, url: Column) -> Column:
-        bare = F.replace(t, url, F.lit(""))
-        return F.replace(bare, F.concat(url, F.lit("/")), F.lit(""))
-
-    without_urls = F.aggregate(urls, cleaned, without_url)
+    without_urls = F.when(F.size(urls) > 0, _without_urls(cleaned, urls)).otherwise(cleaned)
     spaced = F.regexp_replace(F.regexp_replace(without_urls, " {2,}", " "), r"\n{3,}", "\n\n")
     return strip_space(spaced)

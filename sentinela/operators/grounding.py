@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sentinela.functions.direction import is_grounded
-from sentinela.functions.numbers import number_tokens
+from sentinela.functions.numbers import number_values
 from sentinela.functions.text import content_text, strip_mismatches
 from sentinela.functions.urls import cited_urls, normalize_url
 from sentinela.operators.facts import allowed_numbers, wide_facts
@@ -28,7 +28,7 @@ def _news_blob(news: DataFrame) -> Column:
 
 def news_numbers(news: DataFrame) -> DataFrame:
     """Distinct values found in each report's news: (report_id, value)."""
-    values = F.transform(number_tokens(_news_blob(news)), lambda t: t["value"])
+    values = F.transform(number_values(_news_blob(news)), lambda t: t["value"])
     return news.select("report_id", F.explode(F.array_distinct(values)).alias("value")).distinct()
 
 
@@ -84,7 +84,7 @@ def _candidates() -> Column:
     Always given to a generator as an expression, never through a column of its own: Spark would add a filter
     on such a column, push it down and evaluate the expression once more for it.
     """
-    return _unsupported(number_tokens(F.col("narrative")), F.col("allowed"))
+    return _unsupported(number_values(F.col("narrative")), F.col("allowed"))
 
 
 def numeric_mismatches(
@@ -117,7 +117,7 @@ def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame,
     joined = _with_reports(narratives, _allowed(metrics), min_rows)
     claims = joined.select("narrative_id", "report_id", F.inline(F.concat(number_claim, url_claim)))
     numbers = F.transform(
-        F.array_distinct(F.transform(number_tokens(_news_blob(news)), lambda t: t["value"])),
+        F.array_distinct(F.transform(number_values(_news_blob(news)), lambda t: t["value"])),
         lambda v: F.struct(v.alias("value"), F.lit("").alias("url")),
     )
     url = F.when(F.col("url") != "", F.array(F.struct(F.lit(0.0).alias("value"), normalize_url(F.col("url")).alias("url"))))

@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from sentinela.functions.numbers import number_tokens, parse_number
+from sentinela.functions.numbers import number_tokens, number_values, parse_number
 from sentinela.functions.rounding import round_exact
 from sentinela.functions.text import strip_mismatches
 
@@ -121,6 +121,77 @@ def test_time_grows_with_the_number_of_tokens(spark):
     assert many < max(8 * few, 3)
 
 
+WINDOWS = [
+    # a linked phrase that runs on over numbers to its end, or to a stop in a gap or in a number
+    ("últimos 7 dias de coleta em 3 salas e 4 casos de 5 na uti, fim", ["7", "3", "4", "5"]),
+    ("últimos 7 dias de coleta em 3 salas e 4 casos de 5 sem uti2 e 6", ["3", "4", "5", "6"]),
+    ("últimos 7 dias de 1, e 2 dias de 3 e 4 e 5 e análise", ["7", "1", "2", "3", "4", "5"]),
+    ("últimos 7 dias muito 1, dias e 2 dias 3 internado", ["1", "2", "3"]),
+    ("últimos 7 dias de 1 e 2 e 3 e 4 e 5 para análise", ["1", "2", "3", "4", "5"]),
+    ("últimos 7 dias de 1 e 2 e 3 e 4 e 5 para chuva", ["7", "1", "2", "3", "4", "5"]),
+    ("últimos 7 dias de 1 e 2 e 3 e 4 e 5,5 para análise", ["7", "1", "2", "3", "4", "5,5"]),
+    ("últimos 7 dias de 1 e 2 e 3 e 4 e análise. 5 uti", ["1", "2", "3", "4", "5"]),
+    ("últimos 7 dias de 1 e 2 e 3 e 4 e 5% uti e 6 análise", ["7", "1", "2", "3", "4", "5%", "6"]),
+    ("últimos 7 dias de 1 e 2 e 3 e 4 e 5uti e 6 análise", ["1", "2", "3", "4", "5", "6"]),
+    ("últimos 7 a 14 dias de 1 e 2 e 3 e 4 e estudo", ["1", "2", "3", "4"]),
+    # the two words after the days, over numbers and letters that run on
+    ("últimos 7 dias 1 internado", ["7", "1"]),
+    ("últimos 7 dias 1a2a3a4a5a6 internado", ["7", "1"]),
+    ("últimos 7 dias 1a2a3a4a5a6 ontem internado", ["1"]),
+]
+
+
+def test_what_follows_a_window(spark):
+    df = spark.createDataFrame([(t,) for t, _ in WINDOWS], "t string")
+    rows = df.select("t", number_tokens(F.col("t")).alias("k"), number_values(F.col("t")).alias("v")).collect()
+    assert {r.t: [k.raw for k in r.k] for r in rows} == dict(WINDOWS)
+    for r in rows:
+        assert [(k.raw, k.value, k.context) for k in r.k] == [(v.raw, v.value, v.context) for v in r.v]
+
+
+def seconds_of(spark, text, expression):
+    row = spark.createDataFrame([(text,)], "t string").cache()
+    row.count()
+    begin = time.perf_counter()
+    found = row.select(expression.alias("x")).first().x
+    return time.perf_counter() - begin, found
+
+
+def test_time_grows_with_the_number_of_windows(spark):
+    for phrase in ("nos últimos 7 dias de observação. ", "nos últimos 7 dias de observação ", "nos últimos 7 dias de chuva ", "últimos 7 dias "):
+        seconds_of(spark, phrase * 500, number_tokens(F.col("t")))
+        few, _ = seconds_of(spark, phrase * 4000, number_tokens(F.col("t")))
+        many, found = seconds_of(spark, phrase * 16_000, number_tokens(F.col("t")))
+        assert len(found) == (16_000 if "chuva" in phrase else 0) and many < max(8 * few, 4), phrase
+
+
+def test_urls_are_deleted_by_looking_them_up(spark):
+    urls = [f"https://a.br/{i}" for i in range(4000)]
+    text = "Ver " + ", ".join(f"{u}/ e {u}x" for u in urls) + " fim"
+    gone = sorted(urls[::2])
+    want = text
+    for u in gone:
+        want = want.replace(u, "").replace(u + "/", "")
+    strip = strip_mismatches(F.col("t"), F.array().cast("array<string>"), F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(3999), F.lit(2)), lambda i: F.concat(F.lit("https://a.br/"), i.cast("string")))))
+    took, got = seconds_of(spark, text, strip)
+    assert got == want and took < 4
+
+
+def test_urls_within_and_before_others(spark):
+    cases = [
+        ("x https://a.br e https://a.br/c fim", ["https://a.br"]), ("https://a.br/c https://a.br", ["https://a.br/c", "https://a.br"]),
+        ("https://a.br/c https://a.br", ["https://a.br", "https://a.br/c"]), ("(http://b.br/?u=https://a.br/d) https://a.br/d", ["http://b.br/?u=https://a.br/d"]),
+        ("(http://b.br/?u=https://a.br/d) https://a.br/d", ["https://a.br/d"]), ("https://a.br", ["https://a.br"]), ("sem", ["https://a.br"]), ("https://a.br/", ["https://a.br"]),
+        ("https://a.br/1 https://a.br/12 https://a.br/123", ["https://a.br/12", "https://a.br/1"]),
+    ]
+    df = spark.createDataFrame([(i, t, u) for i, (t, u) in enumerate(cases)], "i int, t string, u array<string>")
+    got = {r.i: r.x for r in df.select("i", strip_mismatches(F.col("t"), F.array().cast("array<string>"), F.col("u")).alias("x")).collect()}
+    for i, (text, urls) in enumerate(cases):
+        for u in urls:
+            text = text.replace(u, "").replace(u + "/", "")
+        assert got[i] == re.sub(" {2,}", " ", text).strip(), i
+
+
 def test_mismatches_of_a_long_text_are_deleted_run_by_run(spark):
     n = 4000
     text = " ".join(f"{i},5 {i}.{i + 1}" for i in range(n))
