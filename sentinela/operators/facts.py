@@ -21,7 +21,7 @@ def wide_facts(metrics: DataFrame, key: str = "report_id") -> DataFrame:
     The registry fixes the number of columns, and `max` combines on the map side, so a report repeated a
     million times in the input still is one small row per task.
     """
-    part = "struct(computable, value, numerator, denominator, period)"
+    part = f"struct(computable, value, numerator, denominator, period, {'failed' if 'failed' in metrics.columns else 'false'} AS failed)"
     return metrics.groupBy(key).agg(*[
         F.expr(f"max(CASE WHEN metric_key = '{k}' AND component = '{c}' THEN {part} END)").alias(name)
         for name, (k, c) in SLOTS.items()

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, timedelta
+from functools import reduce
+from operator import add
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sentinela.functions.dates import ordered_period, period_text
+from sentinela.functions.raw import is_whole, present
 from sentinela.functions.rounding import round_exact_sql
 from sentinela.operators.skew import MIN_ROWS, PART, hot_keys, repeat_hot, split_hot
 from sentinela.schema import (
@@ -80,21 +83,26 @@ def _ratio_value(metric_key: str, numerator: str, denominator: str) -> str:
 
 
 def to_long(
-    counts: DataFrame, keep: Sequence[str], period: Column, growth_period: Column, skip: Sequence[str] = ()
+    counts: DataFrame, keep: Sequence[str], period: Column, growth_period: Column, skip: Sequence[str] = (),
+    unreadable: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """One row of counts per group to one row per metric and component, in registry order.
 
-    Metrics in `skip`, and counts that are NULL, give the fallback row: no value, 0 of 0.
+    Metrics in `skip`, and counts that are NULL, give the fallback row: no value, 0 of 0, `failed`. `unreadable` names, for each
+    metric, a count of values that could not be read; it is put out too, and a metric with any falls back.
     """
     rows = []
     for position, ((key, component), pair) in enumerate(RATIOS.items()):
-        num, den = (f"coalesce({c}, 0L)" if key not in skip else "0L" for c in pair)
+        bad = f"{unreadable[key]} > 0" if unreadable else "false"
+        failed = "true" if key in skip else f"({bad} OR {pair[0]} IS NULL)"
+        num, den = (f"CASE WHEN {failed} THEN 0L ELSE coalesce({c}, 0L) END" if key not in skip else "0L" for c in pair)
         value = _ratio_value(key, num, den)
         span = "growth_period" if key == "case_growth_rate" else "period"
         rows.append(
             f"named_struct('position', {position}, 'metric_key', '{key}', 'component', '{component}', 'value', {value}, "
             f"'computable', {den} > 0, 'numerator', {num}, 'denominator', {den}, 'period', {span}, "
-            f"'definition_ref', '{definition_ref(key)}')"
+            f"'definition_ref', '{definition_ref(key)}', 'failed', {failed}"
+            + (f", 'unreadable', {unreadable[key]})" if unreadable else ")")
         )
     spanned = counts.withColumns({"period": period, "growth_period": growth_period})
     return spanned.selectExpr(*keep, f"inline(array({', '.join(rows)}))")
@@ -154,6 +162,46 @@ def compute_metrics(
     return to_long(counts, by, period, growth_period, skip)
 
 
+AGE_BANDS = {"0-4": 4, "5-19": 19, "20-59": 59, "60+": 200}
+
+
+def age_band(age: str = "NU_IDADE_N", unit: str = "TP_IDADE") -> Column:
+    """Band of an age given as a number and its unit, 1 days, 2 months, 3 years; NULL where it is unknown or over 200 years."""
+    years = F.when(F.col(unit) == 3, F.col(age)).when((F.col(unit) == 2) & (F.col(age) >= 0), F.floor(F.col(age) / 12)).when((F.col(unit) == 1) & (F.col(age) >= 0), F.lit(0))
+    band = F.when(years < 0, None)
+    for name, last in AGE_BANDS.items():
+        band = band.when(years <= last, name)
+    return band
+
+
+def metrics_by_level(
+    cases: DataFrame, start_date: str, end_date: str, levels: Sequence[Sequence[str]], days: int = GROWTH_DAYS
+) -> DataFrame:
+    """All metrics of one period at several levels of grouping at once, the whole being the level `()`: (level, every group column,
+    the metric rows). `level` names the columns that a row is grouped by; the others are NULL in it, as a group without a value is.
+
+    The cases are read and counted once, by all columns together, and only these counts are grouped again per level. Rates
+    come from each level's own counts.
+    """
+    start, end = sorted((date.fromisoformat(start_date), date.fromisoformat(end_date)))
+    onset, columns = F.col(ONSET), list(dict.fromkeys(c for level in levels for c in level))
+    current_from, prior_from = end - timedelta(days), end - timedelta(2 * days)
+    scope = cases.filter((onset >= F.lit(min(start, prior_from))) & (onset < F.lit(end)))
+    finest = scope.groupBy(*columns).agg(
+        F.count_if(onset >= F.lit(current_from)).alias("current"),
+        F.count_if((onset >= F.lit(prior_from)) & (onset < F.lit(current_from))).alias("prior"),
+        *[_counted(name, cases.columns, onset >= F.lit(start)) for name in COUNTS])
+    names = ["current", "prior", *COUNTS]
+    grouped = finest.groupingSets([[F.col(c) for c in level] for level in levels], *columns).agg(
+        *[F.sum(n).alias(n) for n in names], F.grouping_id().alias("_level"))
+    # the bits of grouping_id are the columns that a row is not grouped by
+    bits = {sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in level): ",".join(level) for level in levels}
+    level = F.create_map(*[F.lit(x) for pair in bits.items() for x in pair])
+    named = grouped.withColumn("level", level[F.col("_level").cast("int")])
+    skip = [k for k in METRIC_KEYS if _missing(k, cases.columns)]
+    return to_long(named, ["level", *columns], F.lit(f"{start} to {end}"), F.lit(f"{end - timedelta(days)} to {end}"), skip)
+
+
 def single_metric(cases: DataFrame, metric_key: str, start_date: str | None, end_date: str, days: int = GROWTH_DAYS) -> DataFrame:
     """One metric through its own defining statement with bound parameters."""
     args = {"end": end_date, "days": days} if metric_key == "case_growth_rate" else {"start": start_date, "end": end_date}
@@ -190,9 +238,54 @@ def compute_metrics_isolated(cases: DataFrame, start_date: str, end_date: str) -
     return _long_rows(spark, rows)
 
 
+def isolated_metrics(
+    cases: DataFrame, start_date: str, end_date: str, days: int = GROWTH_DAYS, by: Sequence[str] = ()
+) -> DataFrame:
+    """`compute_metrics` over columns as they were delivered, in one pass in which a value that cannot be read costs only the
+    metrics, and with `by` only the groups, whose counts it would enter.
+
+    Columns may be text or typed. Text that is no whole number in a coded column, or no date in the onset column, is counted
+    beside the metrics' own counts instead of raising. A coded value counts against the metrics that need its column if its
+    case lies in their window; an unreadable onset lies in no window and counts against every metric. Such a metric gives its
+    fallback row; `unreadable` says how many values are the reason. Missing values are no errors. No action is run.
+    """
+    start, end = sorted((date.fromisoformat(start_date), date.fromisoformat(end_date)))
+    period, growth_period = F.lit(f"{start} to {end}"), F.lit(f"{end - timedelta(days)} to {end}")
+    typed = dict(cases.dtypes)
+    needed = [c for c in dict.fromkeys(c for m in METRICS.values() for c in m["needs"]) if c in typed]
+    skip = [k for k in METRIC_KEYS if _missing(k, cases.columns)]
+    text = [c for c in needed if typed[c] == "string"]
+    read = {c: present(F.col(c)) for c in text}
+    value = {c: read[c].try_cast("date") if c == ONSET else F.when(is_whole(read[c]), read[c].try_cast("double").cast("int")) for c in text}
+    rows = cases.select(
+        *by, *[value.get(c, F.col(c)).alias(c) for c in needed if c not in by],
+        *[(read[c].isNotNull() & value[c].isNull()).alias(f"_bad_{c}") for c in text])
+    if ONSET not in needed:
+        empty = cases.sparkSession.range(1) if not by else cases.select(*by).distinct()
+        zero = empty.withColumn("_zero", F.lit(0).cast("bigint"))
+        return to_long(zero, by, period, growth_period, METRIC_KEYS, dict.fromkeys(METRIC_KEYS, "_zero"))
+
+    onset = F.col(ONSET)
+    current_from, prior_from = end - timedelta(days), end - timedelta(2 * days)
+    inside = (onset >= F.lit(start)) & (onset < F.lit(end))
+    scope = (onset >= F.lit(min(start, prior_from))) & (onset < F.lit(end))
+    lost = F.col(f"_bad_{ONSET}") if ONSET in text else F.lit(False)
+    aggregates = [
+        F.count_if((onset >= F.lit(current_from)) & (onset < F.lit(end))).alias("current"),
+        F.count_if((onset >= F.lit(prior_from)) & (onset < F.lit(current_from))).alias("prior"),
+        *[_counted(name, rows.columns, inside) for name in COUNTS],
+    ]
+    for key in METRIC_KEYS:
+        bad = [F.col(f"_bad_{c}").cast("int") for c in METRICS[key]["needs"] if c in text and c != ONSET]
+        in_window = F.when(inside, reduce(add, bad)) if bad else F.lit(0)
+        aggregates.append(F.coalesce(F.sum(F.coalesce(in_window, F.lit(0)) + lost.cast("int")), F.lit(0)).cast("bigint").alias(f"_unreadable_{key}"))
+    counts = rows.filter(scope | lost).groupBy(*by).agg(*aggregates)
+    return to_long(counts, by, period, growth_period, skip, {k: f"_unreadable_{k}" for k in METRIC_KEYS})
+
+
 def _long_rows(spark: SparkSession, rows: list) -> DataFrame:
     schema = "position int, metric_key string, component string, value double, computable boolean, " \
-        "numerator bigint, denominator bigint, period string, definition_ref string"
+        "numerator bigint, denominator bigint, period string, definition_ref string, failed boolean"
     return spark.createDataFrame(rows, schema)
 
 
@@ -216,6 +309,7 @@ def complete_metrics(metrics: DataFrame, groups: DataFrame, keys: Sequence[str],
         F.coalesce("denominator", F.lit(0).cast("long")).alias("denominator"),
         F.coalesce("period", "_period").alias("period"),
         F.coalesce("definition_ref", F.concat("metric_key", F.lit("_v1"))).alias("definition_ref"),
+        F.coalesce(F.col("failed") if "failed" in found.columns else F.col("computable").isNull(), F.lit(True)).alias("failed"),
     )
 
 

@@ -28,10 +28,11 @@ def select_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.select(*[c for c in SELECTED_COLUMNS if c in df.columns]), missing
 
 
-def exclusion_log(raw: DataFrame) -> DataFrame:
+def exclusion_log(raw: DataFrame, encoding: str | None = None) -> DataFrame:
     """What loading does to a table: (section, position, name, status).
 
-    Sections are `input` and `output` (columns, with the row count as the status of the row called `rows`),
+    Sections are `input` and `output` (columns, with the row count as the status of the row called `rows`, and the encoding
+    that the input was read with, if it is given, as that of `encoding`),
     `pii_columns`, and `columns_not_found` only if any are missing. Cleaning keeps every row, so one count
     serves both ends.
     """
@@ -41,6 +42,7 @@ def exclusion_log(raw: DataFrame) -> DataFrame:
         ("pii_columns", i, c, "present_and_stripped" if c in raw.columns else "already_absent")
         for i, c in enumerate(PII_COLUMNS)
     ]
+    rows += [("input", 0, "encoding", encoding)] if encoding else []
     rows += [("columns_not_found", i, c, "missing") for i, c in enumerate(missing)]
     rows += [("output", i + 1, c, "kept") for i, c in enumerate(kept.columns)]
     sections = F.array(*[F.struct(F.lit(s).alias("section"), F.lit(0).alias("position"), F.lit("rows").alias("name"))

@@ -6,17 +6,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentinela.functions.raw import is_whole, present
 from sentinela.operators.quality import drop_pii, select_columns
 from sentinela.schema import CASE_TYPES, ONSET
 
 DEFAULT_ENCODING = "ISO-8859-1"
 
-# Spellings of a missing value.
-MISSING = [
-    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
-    "NaN", "None", "n/a", "nan", "null",
-]
-
 
 def read_case_csv(spark: SparkSession, path: str, encoding: str = DEFAULT_ENCODING) -> DataFrame:
     """A `;`-separated case file with a header, every column as text.
@@ -40,23 +35,13 @@ def parse_case_lines(lines: DataFrame, columns: list[str], line: str = "line") -
     return lines.withColumn("_row", parsed).select(*[c for c in lines.columns if c != line], "_row.*")
 
 
-def present(value: Column) -> Column:
-    """A raw value, NULL where it spells a missing one."""
-    return F.when(~value.isin(MISSING), value)
-
-
-def _is_whole(value: Column) -> Column:
-    number = value.try_cast("double")
-    return number.isNotNull() & (number == F.floor(number)) & (F.abs(number) < 2**31)
-
-
 def _typed(name: str, kind: str) -> Column:
     value = present(F.col(name).cast("string"))
     if kind != "int":
         return value.cast(kind)
     # a column with blanks comes back from a rewrite with its codes as 1.0
     message = F.concat(F.lit(f"no whole number in {name}: "), value)
-    return F.when(_is_whole(value), value.try_cast("double").cast("int")).when(value.isNotNull(), F.raise_error(message).cast("int"))
+    return F.when(is_whole(value), value.try_cast("double").cast("int")).when(value.isNotNull(), F.raise_error(message).cast("int"))
 
 
 def clean_cases(raw: DataFrame) -> DataFrame:
@@ -73,7 +58,7 @@ def malformed_values(raw: DataFrame) -> DataFrame:
     """How many values of each typed column a strict cast would refuse: (column, malformed, example)."""
     typed = [c for c in CASE_TYPES if c in raw.columns and CASE_TYPES[c] != "string"]
     value = {c: present(F.col(c).cast("string")) for c in typed}
-    fits = {c: _is_whole(value[c]) if CASE_TYPES[c] == "int" else value[c].try_cast(CASE_TYPES[c]).isNotNull() for c in typed}
+    fits = {c: is_whole(value[c]) if CASE_TYPES[c] == "int" else value[c].try_cast(CASE_TYPES[c]).isNotNull() for c in typed}
     bad = {c: value[c].isNotNull() & ~fits[c] for c in typed}
     counts = raw.agg(*[
         F.struct(F.lit(c).alias("column"), F.count_if(bad[c]).alias("malformed"), F.min(F.when(bad[c], F.col(c))).alias("example"))

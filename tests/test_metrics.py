@@ -90,6 +90,58 @@ def test_failures_stay_with_their_metric(spark, cases):
         k: v for k, v in EXPECTED.items() if k[0] != "uti_admission_rate"}
 
 
+def as_text(cases):
+    return cases.select(*[F.col(c).cast("string").alias(c) for c in cases.columns])
+
+
+def test_values_that_cannot_be_read_cost_only_their_metrics(spark, cases):
+    text = as_text(cases)
+    assert values(m.isolated_metrics(text, "2026-01-01", "2026-02-28")) == EXPECTED == values(m.isolated_metrics(cases, "2026-02-28", "2026-01-01"))
+    fallback = (None, False, 0, 0, WHOLE)
+    at = lambda day, column, value: text.withColumn(column, F.when(F.col("DT_SIN_PRI") == day, value).otherwise(F.col(column)))
+    for column, value, lost in [
+        ("UTI", "sim", {"uti_admission_rate"}), ("HOSPITAL", "1,5", {"uti_admission_rate", "vaccination_coverage"}), ("UTI", "1.5", {"uti_admission_rate"}),
+        ("VACINA", "x", {"vaccination_coverage"}), ("EVOLUCAO", "99999999999", {"mortality_rate"}), ("UTI", "NA", set()), ("EVOLUCAO", "2.0", set()),
+    ]:
+        rows = m.isolated_metrics(at("2026-01-10", column, value), "2026-01-01", "2026-02-28").collect()
+        assert {r.metric_key for r in rows if r.failed} == lost
+        assert all(r.unreadable == (r.metric_key in lost) for r in rows)
+        for r in rows:
+            got = (r.value, r.computable, r.numerator, r.denominator, r.period)
+            if r.metric_key in lost:
+                assert got == fallback
+            elif value not in ("NA", "2.0"):
+                assert got == EXPECTED[r.metric_key, r.component]
+    # a bad code outside of the window is no one's loss, a bad onset is everyone's
+    outside = m.isolated_metrics(at("2026-01-01", "UTI", "x"), "2026-01-02", "2026-02-28").collect()
+    assert not any(r.failed for r in outside)
+    lost = m.isolated_metrics(at("2026-01-10", "DT_SIN_PRI", "10/01/2026"), "2026-01-01", "2026-02-28").collect()
+    assert all(r.failed and r.unreadable == 1 and r.denominator == 0 for r in lost) and len(lost) == 5
+
+
+def test_isolation_by_group_and_missing_columns(spark, cases):
+    text = as_text(cases).withColumn("UTI", F.when(F.col("SG_UF") == "RJ", "?").otherwise(F.col("UTI")))
+    rows = m.isolated_metrics(text, "2026-01-01", "2026-02-28", by=["SG_UF"]).collect()
+    assert {(r.SG_UF, r.metric_key, r.unreadable) for r in rows if r.failed} == {("RJ", "uti_admission_rate", 4)}
+    want = {(r.SG_UF, r.metric_key, r.component): r.value for r in m.compute_metrics(cases, "2026-01-01", "2026-02-28", by=["SG_UF"]).collect()}
+    assert {(r.SG_UF, r.metric_key, r.component): r.value for r in rows if not r.failed} == {
+        k: v for k, v in want.items() if k[:2] != ("RJ", "uti_admission_rate")}
+    rows = m.isolated_metrics(text.drop("HOSPITAL"), "2026-01-01", "2026-02-28").collect()
+    assert {r.metric_key for r in rows if r.failed} == {"uti_admission_rate", "vaccination_coverage"}
+    assert all(r.failed for r in m.isolated_metrics(text.drop("DT_SIN_PRI"), "2026-01-01", "2026-02-28").collect())
+    none = m.isolated_metrics(text.filter("false"), "2026-01-01", "2026-02-28").collect()
+    assert len(none) == 5 and not any(r.failed or r.computable for r in none)
+
+
+def test_isolation_runs_no_action_and_reads_once(spark, cases, tmp_path):
+    as_text(cases).write.parquet(str(tmp_path / "t"))
+    stages = lambda: spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    before = set(stages())
+    plan = m.isolated_metrics(stored, "2026-01-01", "2026-02-28")._jdf.queryExecution().executedPlan().toString()
+    assert set(stages()) == before and plan.count("FileScan") == 1
+
+
 def test_missing_metric_rows_are_completed(cases):
     found = m.compute_metrics(cases, "2026-01-01", "2026-02-28").filter("metric_key <> 'mortality_rate'")
     groups = cases.sparkSession.createDataFrame([(1,), (2,)], "report_id int")
