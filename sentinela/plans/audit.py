@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentinela.operators.facts import slot, wide_facts
 from sentinela.operators.metrics import METRIC_SQL
+from sentinela.plans.sinks import read_latest, write_batch
 from sentinela.schema import METRICS, definition_ref
 
 
 def _audited(metric_key: str) -> Column:
-    """The seven audited fields of a metric; one in parts has a value and a numerator per part."""
+    """The seven audited fields of a metric; one in parts has a value and a numerator per part, one that failed no query."""
     components = METRICS[metric_key]["components"]
     facts = {c: F.col(slot(metric_key, c)) for c in components}
     first = facts[components[0]]
@@ -30,7 +31,7 @@ def _audited(metric_key: str) -> Column:
             first["denominator"].alias("denominator"),
             F.coalesce(first["period"], F.lit("")).alias("period"),
             F.lit(definition_ref(metric_key)).alias("definition_ref"),
-            F.lit(" ".join(METRIC_SQL[metric_key].split())).alias("query"),
+            F.when(first["failed"], "").otherwise(" ".join(METRIC_SQL[metric_key].split())).alias("query"),
         ),
     )
 
@@ -62,6 +63,11 @@ def audit_records(runs: DataFrame, metrics: DataFrame, outcomes: DataFrame, news
     )
 
 
-def write_audit(records: DataFrame, path: str) -> None:
-    """Append the records as JSON lines; runs are told apart by their id, not by a file each."""
-    records.write.mode("append").json(path)
+def write_audit(records: DataFrame, path: str, batch: str | None = None) -> str:
+    """Store the records as JSON lines; the same runs written again replace their records. See `sinks.write_batch`."""
+    return write_batch(records, path, "json", batch)
+
+
+def read_audit(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """One record per run, its latest by timestamp. Without a schema, one pass over the files finds it."""
+    return read_latest(spark, path, "json", ["timestamp"], schema=schema)

@@ -13,6 +13,7 @@ from sentinela.functions.dates import day_label, month_label
 from sentinela.functions.display import metric_lines, prompt_lines, table_row
 from sentinela.operators.facts import wide_facts
 from sentinela.operators.metrics import day_counts
+from sentinela.plans.sinks import read_latest, write_batch
 from sentinela.schema import DAILY_WINDOW_DAYS, MONTHLY_WINDOW_DAYS
 
 # Texts of the report and the prompt.
@@ -183,6 +184,12 @@ def render_reports(
     return joined.select("report_id", "run_id", report.alias("report"))
 
 
-def write_reports(reports: DataFrame, path: str) -> None:
-    """Reports as rows of a Parquet table; a file per report would be millions of small files."""
-    reports.write.mode("append").parquet(path)
+def write_reports(reports: DataFrame, path: str, batch: str | None = None) -> str:
+    """Reports as rows of a Parquet table, a file per report would be millions of small files; the same runs written again
+    replace their reports. See `sinks.write_batch`."""
+    return write_batch(reports.withColumn("written_at", F.current_timestamp()), path, "parquet", batch)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    """One report per run, the one written last."""
+    return read_latest(spark, path, "parquet", ["written_at"])

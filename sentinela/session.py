@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +26,18 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def work_folder(spark: SparkSession) -> str:
+    """A folder that all machines see, for tables of one job: `spark.checkpoint.dir`, or in local mode, where that is unset, one of
+    this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
+        folder = tempfile.mkdtemp(prefix="work-")
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for CPU-heavy text work on an input with fewer scan tasks than cores.
 

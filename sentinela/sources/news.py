@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sentinela.functions.text import variant_text
 from sentinela.schema import MAX_NEWS_ITEMS
 
+# With it a repeated key of an object keeps its last value, instead of making the whole response unreadable.
+DUPLICATE_KEYS = "spark.sql.variant.allowDuplicateKeys"
 # Fields of a news row and the response fields they come from.
 FIELDS = {"title": "title", "url": "url", "source": "source", "published_date": "published_date", "snippet": "content"}
 
@@ -22,8 +24,8 @@ def extract_news(responses: DataFrame) -> DataFrame:
 
     `pos` is the entry's place in its response; other columns of the responses are kept. Entries that are no objects are skipped; a response whose `results` is no list gives no rows.
     """
-    # a repeated key of an object keeps its last value, instead of making the whole response unreadable
-    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    if responses.sparkSession.conf.get(DUPLICATE_KEYS, "false").lower() != "true":
+        raise ValueError(f"set {DUPLICATE_KEYS} to true, or a response with a repeated key cannot be read; build_session does")
     results = F.try_variant_get(F.try_parse_json("response"), "$.results", "variant")
     listed = F.when(F.schema_of_variant(results).startswith("ARRAY"), F.try_variant_get(results, "$", "array<variant>"))
     keep = [c for c in responses.columns if c != "response"]
