@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sentinela.operators.metrics import metrics_by_period
-from sentinela.session import spread
+from sentinela.session import spread, work_folder
+from sentinela.sources.news import DUPLICATE_KEYS
 
 END_DATE = "2000-01-01"
 START_DATE = "1999-01-01"
+COVERAGE_PERIODS = [("1998-01-01", "1998-12-01"), ("1999-01-01", "1999-06-30"), ("1999-06-01", "2000-01-01")]
 
 # Case line list. One case in 97 has no onset date.
 SRAG = """
@@ -38,6 +40,64 @@ SELECT CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
 """
 
+# Cases by state with the day of notification, up to some six weeks after onset; in a few it is missing or too early.
+REPORTED = """
+SELECT n_name AS SG_UF, CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS DT_SIN_PRI,
+       CASE WHEN l_orderkey % 89 = 0 THEN NULL
+            ELSE CAST(l_shipdate AS DATE) + CAST(CASE WHEN l_orderkey % 101 = 0 THEN -2
+                                                      ELSE floor(l_quantity * l_quantity / 60) + s_nationkey % 3 END AS INT) END AS DT_NOTIFIC
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
+"""
+
+# Cases by state as a file delivers them: text, missing values in several spellings, and values that nothing can read.
+DELIVERED = """
+SELECT SG_UF, CASE WHEN SG_UF LIKE '%A' AND k % 997 = 5 THEN '31/02/1999' WHEN DT_SIN_PRI IS NULL THEN 'NA' ELSE CAST(DT_SIN_PRI AS STRING) END AS DT_SIN_PRI,
+       CASE WHEN SG_UF LIKE '%E' AND EVOLUCAO = 9 THEN 'ignorado' WHEN EVOLUCAO = 3 THEN '3.0' ELSE CAST(EVOLUCAO AS STRING) END AS EVOLUCAO,
+       CAST(HOSPITAL AS STRING) || '.0' AS HOSPITAL,
+       CASE WHEN SG_UF LIKE '%Y' AND UTI = 2 THEN '2,5' WHEN UTI = 2 AND HOSPITAL = 2 THEN 'n/a' ELSE CAST(UTI AS STRING) END AS UTI,
+       CASE WHEN VACINA_COV = 2 THEN '' ELSE '1' END AS VACINA_COV, CAST(VACINA AS STRING) AS VACINA
+FROM (SELECT CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS DT_SIN_PRI,
+             CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 1
+                  ELSE CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 9 END END AS EVOLUCAO,
+             CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS HOSPITAL, CASE WHEN l_quantity >= 25 THEN 1 ELSE 2 END AS UTI,
+             CASE WHEN l_discount >= 0.05 THEN 1 ELSE 2 END AS VACINA_COV, CASE WHEN l_tax >= 0.04 THEN 1 ELSE 2 END AS VACINA,
+             upper(n_name) AS SG_UF, l_orderkey AS k
+      FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey) AS typed
+"""
+
+# Cases with state, sex and age; all three are missing in some.
+GROUPED = """
+SELECT CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS DT_SIN_PRI,
+       CASE l_returnflag WHEN 'A' THEN 2 WHEN 'N' THEN 1
+            ELSE CASE WHEN l_linenumber % 2 = 0 THEN 3 ELSE 9 END END AS EVOLUCAO,
+       CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS HOSPITAL, CASE WHEN l_quantity >= 25 THEN 1 ELSE 2 END AS UTI,
+       CASE WHEN l_discount >= 0.05 THEN 1 ELSE 2 END AS VACINA_COV, CASE WHEN l_tax >= 0.04 THEN 1 ELSE 2 END AS VACINA,
+       CASE WHEN l_orderkey % 53 <> 0 THEN n_name END AS SG_UF,
+       CASE WHEN l_partkey % 7 < 3 THEN 'F' WHEN l_partkey % 7 < 6 THEN 'M' END AS CS_SEXO,
+       CASE WHEN l_linenumber % 3 = 0 THEN CAST(l_quantity AS INT) % 31 ELSE CAST(l_quantity * 2 AS INT) END AS NU_IDADE_N,
+       CASE WHEN l_orderkey % 41 = 0 THEN NULL WHEN l_linenumber % 3 = 0 THEN 1 + l_linenumber % 2 ELSE 3 END AS TP_IDADE
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {nation} ON s_nationkey = n_nationkey
+"""
+
+# People of each state and how many of them are vaccinated, year by year, from the customers of a nation. One state has no
+# people known, one none until the middle of 1999, one a gap, and one two rows from the same day.
+POPULATION = """
+SELECT n_name AS SG_UF, CAST(CAST(y AS STRING) || CASE WHEN n_nationkey % 5 = 2 AND y = 1999 THEN '-07-01' ELSE '-01-01' END AS DATE) AS valid_from,
+       CASE WHEN n_nationkey % 5 = 3 AND y = 1998 THEN CAST('1998-06-30' AS DATE) WHEN y < 2001 THEN CAST(CAST(y + 1 AS STRING) || '-01-01' AS DATE) END AS valid_to,
+       people * (y - 1990) + k AS people, covid * (y - 1991) AS covid, CASE WHEN n_nationkey % 7 <> 4 THEN flu * (y - 1990) END AS flu
+FROM (SELECT n_nationkey, n_name, count(*) AS people, sum(CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END) AS covid,
+             sum(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS flu
+      FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE n_nationkey <> 11 GROUP BY n_nationkey, n_name) AS counted
+CROSS JOIN (VALUES (1996, 0), (1997, 0), (1998, 0), (1999, 0), (1999, 5), (2001, 0)) AS years (y, k)
+WHERE NOT (k = 5 AND n_nationkey % 5 <> 1) AND NOT (y < 1999 AND n_nationkey % 5 = 2)
+"""
+
+# Numbers without a report: prices and quantities that the line items state, with zero and values just off.
+STATED = """
+SELECT CASE l_linenumber % 4 WHEN 0 THEN l_discount * 0.505 WHEN 1 THEN l_quantity WHEN 2 THEN -l_quantity * 1.0099 ELSE floor(l_extendedprice / 100) / 100 END AS number
+FROM {lineitem}
+"""
+
 # One report per twenty documents, each over one month; every fourth has its dates swapped.
 PERIODS = """
 SELECT report_id,
@@ -177,6 +237,49 @@ FROM {documents} JOIN (SELECT report_id, greatest(start_date, end_date) AS end_d
   ON report_id = CAST(floor(doc_id / 20) AS BIGINT)
 """
 
+# Records of runs in batches: a third of the runs were run again a day later, some of them once more in the same second.
+RUN_RECORDS = """
+SELECT run_id, batch, timestamp, error
+FROM (SELECT 'run-' || CAST(doc_id AS STRING) AS run_id, 'b1' AS batch, '2026-07-20T10:11:12' AS timestamp,
+             CASE WHEN doc_id % 10 = 9 THEN 'timeout' END AS error FROM {documents}
+      UNION ALL
+      SELECT 'run-' || CAST(doc_id AS STRING), 'b2', '2026-07-21T08:00:00', CASE WHEN doc_id % 20 = 9 THEN 'again' END
+      FROM {documents} WHERE doc_id % 3 = 0
+      UNION ALL
+      SELECT 'run-' || CAST(doc_id AS STRING), 'b3', '2026-07-21T08:00:00', 'third' FROM {documents} WHERE doc_id % 12 = 0) AS written
+"""
+
+# Two line lists, one with a marker of the list: the later one has other outcomes in two months, some cases more in a third,
+# all of one month gone, and one month that the earlier list lacks. Cases without onset differ too.
+LINE_LISTS = """
+SELECT list, DT_SIN_PRI, EVOLUCAO, HOSPITAL, UTI, VACINA_COV, VACINA
+FROM (SELECT 1 AS list, * FROM ({cases}) AS a WHERE DT_SIN_PRI IS NULL OR NOT (year(DT_SIN_PRI) = 1998 AND month(DT_SIN_PRI) = 11)
+      UNION ALL
+      SELECT 2 AS list, DT_SIN_PRI, CASE WHEN year(DT_SIN_PRI) = 1997 AND month(DT_SIN_PRI) IN (3, 8) AND EVOLUCAO = 9 THEN 1
+                                         WHEN DT_SIN_PRI IS NULL AND EVOLUCAO = 3 THEN NULL ELSE EVOLUCAO END,
+             HOSPITAL, UTI, VACINA_COV, VACINA
+      FROM ({cases}) AS b WHERE DT_SIN_PRI IS NULL OR NOT (year(DT_SIN_PRI) = 1997 AND month(DT_SIN_PRI) = 5)
+      UNION ALL
+      SELECT 2 AS list, * FROM ({cases}) AS c WHERE year(DT_SIN_PRI) = 1996 AND month(DT_SIN_PRI) = 2 AND UTI = 1) AS joint
+""".replace("{cases}", SRAG.strip())
+
+# News hosts, half of them on the list of accepted domains or below one, or just like one.
+HOSTS = """
+SELECT page_id, CASE page_id % 12
+         WHEN 0 THEN 'agencia.fiocruz.br' WHEN 1 THEN 'portal.fiocruz.br' WHEN 2 THEN 'www.gov.br' WHEN 3 THEN 'gov.br'
+         WHEN 4 THEN 'notgov.br' WHEN 5 THEN 'g1.globo.com' WHEN 6 THEN 'globo.com' WHEN 7 THEN 'www1.folha.uol.com.br'
+         WHEN 8 THEN 'esporte.uol.com.br' WHEN 9 THEN 'www.PAHO.org' WHEN 10 THEN 'gov.br.example.org' ELSE NULL END AS given, url
+FROM {pages}
+"""
+
+# Profiles of the raw line list are taken of eight files.
+PROFILED = """
+SELECT CAST(l_orderkey % 8 AS INT) AS file, CAST(CAST(l_shipdate AS DATE) AS STRING) AS DT_SIN_PRI, CAST(l_linenumber AS STRING) AS EVOLUCAO,
+       CASE WHEN l_quantity >= 40 THEN 'NA' WHEN l_quantity < 5 THEN '' ELSE CAST(CAST(l_quantity AS INT) AS STRING) END AS NU_IDADE_N,
+       CAST(l_partkey AS STRING) AS NU_CPF, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_returnflag END AS CS_SEXO
+FROM {lineitem}
+"""
+
 # The line list as a file delivers it: every column as text, personal data included, some columns missing.
 RAW_CASES = """
 SELECT CAST(CAST(l_shipdate AS DATE) AS STRING) AS DT_SIN_PRI, CAST(CAST(l_shipdate AS DATE) AS STRING) AS DT_NOTIFIC,
@@ -240,6 +343,51 @@ def srag_by_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, SRAG_BY_STATE, **tables)
 
 
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, GROUPED, **{t: read(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation")})
+
+
+def population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, POPULATION, **{t: read(spark, sf_dir, t) for t in ("customer", "nation")})
+
+
+def stated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, STATED, lineitem=read(spark, sf_dir, "lineitem"))
+
+
+def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, DELIVERED, **{t: read(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation")})
+
+
+def reported(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, REPORTED, **{t: read(spark, sf_dir, t) for t in ("lineitem", "supplier", "nation")})
+
+
+def case_files(spark: SparkSession, sf_dir: str) -> str:
+    """The raw cases written as delimited files with a header, in Latin-1, and their folder."""
+    raw = raw_cases(spark, sf_dir).selectExpr("* EXCEPT (SG_UF)", "CASE WHEN SG_UF = 'O' THEN 'São; \"Paulo\"' END AS SG_UF")
+    folder = work_folder(spark)
+    raw.write.options(header=True, sep=";", encoding="ISO-8859-1", quote='"', escape='"').csv(folder)
+    return folder
+
+
+def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, HOSTS, pages=read(spark, sf_dir, "pages"))
+
+
+def profiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, PROFILED, lineitem=read(spark, sf_dir, "lineitem"))
+
+
+def line_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    both = run(spark, LINE_LISTS, lineitem=read(spark, sf_dir, "lineitem"))
+    return both.filter("list = 1").drop("list"), both.filter("list = 2").drop("list")
+
+
+def run_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, RUN_RECORDS, documents=read(spark, sf_dir, "documents"))
+
+
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, PERIODS, documents=read(spark, sf_dir, "documents"))
 
@@ -249,6 +397,8 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Needs the setting that `build_session` makes; a session that was built otherwise is given it here."""
+    spark.conf.set(DUPLICATE_KEYS, "true")
     return run(spark, RESPONSES, news=news(spark, sf_dir))
 
 

@@ -13,18 +13,21 @@ from sentinela.functions.numbers import number_tokens as tokens_of
 from sentinela.functions.numbers import parse_number
 from sentinela.functions.text import content_text, is_injection, strip_injection, strip_markers
 from sentinela.functions.urls import cited_urls, domain_tier, url_host
+from sentinela.operators import coverage, delays, nearest
 from sentinela.operators import facts as fa
 from sentinela.operators import grounding as g
+from sentinela.functions.raw import present
 from sentinela.operators import metrics as m
+from sentinela.operators import profiles as pr
 from sentinela.operators import quality as q
 from sentinela.operators import sanitize as sa
 from sentinela.operators import series as s
-from sentinela.plans import audit, report
-from sentinela.schema import METRIC_KEYS
-from sentinela.session import spread
+from sentinela.plans import audit, report, sinks
+from sentinela.schema import METRIC_KEYS, NEWS_DOMAINS
+from sentinela.session import spread, work_folder
 from sentinela.sources import cases as c
 from sentinela.sources import news as n
-from sentinela.sources import snapshots
+from sentinela.sources import refresh, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -79,8 +82,14 @@ def metrics_isolated(spark, sf_dir):
     """Text in one metric's column: that metric falls back, the others stand."""
     cases = a.srag_between(spark, sf_dir, a.START_DATE, a.END_DATE)
     text = F.when(F.col("EVOLUCAO") == 9, "ignorado").otherwise(F.col("UTI").cast("string"))
-    broken = cases.withColumn("UTI", text.cast("int"))
-    return m.compute_metrics_isolated(broken, a.START_DATE, a.END_DATE).select("position", *METRIC_COLUMNS)
+    return m.isolated_metrics(cases.withColumn("UTI", text), a.START_DATE, a.END_DATE).select("position", *METRIC_COLUMNS)
+
+
+@query
+def metrics_isolated_by_state(spark, sf_dir):
+    """Cases as text; words among one state's ICU codes and another's outcomes, and onsets of a third that are no dates."""
+    found = m.isolated_metrics(a.delivered(spark, sf_dir), a.START_DATE, a.END_DATE, by=["SG_UF"])
+    return found.select("SG_UF", "position", *METRIC_COLUMNS, "failed", "unreadable")
 
 
 @query
@@ -109,6 +118,71 @@ def ext_metrics_by_state(spark, sf_dir):
     return m.compute_metrics(cases, a.START_DATE, a.END_DATE, by=["SG_UF"]).select("SG_UF", "position", *METRIC_COLUMNS)
 
 
+@query
+def ext_reporting_triangle(spark, sf_dir):
+    return delays.reporting_triangle(a.reported(spark, sf_dir), ["SG_UF"])
+
+
+@query
+def ext_unusable_dates(spark, sf_dir):
+    return delays.unusable_dates(a.reported(spark, sf_dir), ["SG_UF"])
+
+
+@query
+def ext_delay_ratios(spark, sf_dir):
+    return delays.delay_ratios(delays.reporting_triangle(a.reported(spark, sf_dir)), a.END_DATE, max_delay=40)
+
+
+@query
+def ext_completed_days(spark, sf_dir):
+    return delays.completed_days(delays.reporting_triangle(a.reported(spark, sf_dir), ["SG_UF"]), a.END_DATE, ["SG_UF"], max_delay=40)
+
+
+@query
+def ext_completed_growth(spark, sf_dir):
+    return delays.completed_growth(delays.reporting_triangle(a.reported(spark, sf_dir), ["SG_UF"]), a.END_DATE, ["SG_UF"], max_delay=40)
+
+
+@query
+def ext_growth_by_day(spark, sf_dir):
+    return s.growth_by_day(a.srag_by_state(spark, sf_dir), ["SG_UF"])
+
+
+@query
+def ext_daily_filled(spark, sf_dir):
+    """The last days of the table, so that most states have days without cases."""
+    return s.daily_by_group(a.srag_by_state(spark, sf_dir), ["SG_UF"], "1999-11-15", a.END_DATE)
+
+
+@query
+def ext_metrics_by_level(spark, sf_dir):
+    cases = a.grouped(spark, sf_dir).withColumn("age_band", m.age_band())
+    levels = [[], ["SG_UF"], ["SG_UF", "CS_SEXO"], ["age_band"]]
+    return m.metrics_by_level(cases, a.START_DATE, a.END_DATE, levels).select("level", "SG_UF", "CS_SEXO", "age_band", "position", *METRIC_COLUMNS)
+
+
+@query
+def ext_population_coverage(spark, sf_dir):
+    """Coverage by state at the ends of three periods, with the hospital-based rate where no population is known."""
+    cases, found = a.srag_by_state(spark, sf_dir), []
+    for start, end in a.COVERAGE_PERIODS:
+        found.append(m.compute_metrics(cases, start, end, by=["SG_UF"]).withColumn("last_day", F.date_sub(F.lit(end).cast("date"), 1)))
+    metrics = found[0].unionByName(found[1]).unionByName(found[2])
+    covered = coverage.population_coverage(metrics, a.population(spark, sf_dir), ["SG_UF"], "last_day")
+    return covered.select("SG_UF", "last_day", "component", "value", "computable", "numerator", "denominator", "period", "basis")
+
+
+@query
+def ext_tolerance_pairs(spark, sf_dir):
+    return nearest.tolerance_join(a.stated(spark, sf_dir), a.facts(spark, sf_dir).filter("computable"))
+
+
+@query
+def ext_stated_metrics(spark, sf_dir):
+    """Which metrics, of how many reports, the numbers of the line items may state."""
+    return nearest.stated_metrics(a.stated(spark, sf_dir), a.facts(spark, sf_dir))
+
+
 @query
 def daily_cases(spark, sf_dir):
     return s.daily_cases(a.srag_between(spark, sf_dir, "1999-12-02", a.END_DATE), a.END_DATE)
@@ -163,7 +237,40 @@ def page_fingerprints(spark, sf_dir):
 
 @query
 def exclusion_log(spark, sf_dir):
-    return q.exclusion_log(a.raw_cases(spark, sf_dir))
+    return q.exclusion_log(a.raw_cases(spark, sf_dir), c.DEFAULT_ENCODING)
+
+
+@query
+def loaded_case_files(spark, sf_dir):
+    """Case files read by their header, cleaned, and counted through the view they are given."""
+    c.load_cases(spark, a.case_files(spark, sf_dir), view="loaded_cases")
+    return spark.sql("SELECT DT_SIN_PRI, EVOLUCAO, UTI, SG_UF, CS_SEXO, count(*) AS cases FROM loaded_cases GROUP BY ALL")
+
+
+@query
+def snapshot_metadata(spark, sf_dir):
+    """The metadata of a downloaded snapshot, stored and read back: as many rows as files, whose names Spark chooses."""
+    folder, store = a.case_files(spark, sf_dir), work_folder(spark)
+    found = snapshots.snapshot_metadata(
+        c.read_case_csv(spark, folder), c.source_files(spark, f"{folder}/*.csv"), "https://dados.example/srag.csv", "e1", "2026-07-20", "2026-07-21T00:00:00")
+    snapshots.write_metadata(found, store)
+    kept = snapshots.read_metadata(spark, store)
+    return kept.groupBy("url", "etag", "last_modified", "checked_at").agg(
+        F.sum("rows").alias("rows"), (F.count_distinct("filename") == F.count(F.lit(1))).alias("one_row_a_file"),
+        F.bool_and(F.length("sha256") == 64).alias("hashed"))
+
+
+@query
+def column_profiles(spark, sf_dir):
+    """Profiles of eight files put together, against counts over the whole: estimates within their bounds, everything else equal."""
+    raw = a.profiled(spark, sf_dir)
+    parts = pr.column_profiles(raw.filter("file % 2 = 0"), "ISO-8859-1", ["file"]).unionByName(pr.column_profiles(raw.filter("file % 2 = 1"), "UTF-8", ["file"]))
+    merged = pr.described(pr.merge_profiles(parts), [0.5])
+    columns = [k for k in raw.columns if k != "file"]
+    value = {k: present(F.col(k)) for k in columns}
+    exact = raw.agg(*[F.struct(F.lit(k).alias("column"), F.count_distinct(value[k]).alias("exact")).alias(k) for k in columns]).select(F.inline(F.array(*columns)))
+    within = F.abs(F.col("distinct") - F.col("exact")) <= pr.DISTINCT_ERROR * F.col("exact")
+    return merged.join(exact, "column").select("column", "encodings", "rows", "missing", "least", "greatest", "numbers", within.alias("distinct_within_bound"), "exact")
 
 
 @query
@@ -182,6 +289,17 @@ def sync_actions(spark, sf_dir):
     return snapshots.sync_actions(*a.manifests(spark, sf_dir), "2026-07-20T10:11:12+00:00")
 
 
+@query
+def changed_months(spark, sf_dir):
+    """Which onset months of a later line list differ from the earlier one's."""
+    return refresh.changed_months(*a.line_lists(spark, sf_dir))
+
+
+@query
+def month_digests(spark, sf_dir):
+    return refresh.month_digests(a.line_lists(spark, sf_dir)[1])
+
+
 @query
 def number_tokens(spark, sf_dir):
     texts = a.narratives(spark, sf_dir, a.facts(spark, sf_dir))
@@ -292,6 +410,25 @@ def domain_tiers(spark, sf_dir):
     )
 
 
+@query
+def listed_domain_tiers(spark, sf_dir):
+    """The accepted news domains, looked up for hosts on, below and near them."""
+    hosts = a.hosts(spark, sf_dir).withColumn("host", F.lower(F.coalesce("given", url_host(F.col("url")))))
+    return hosts.select("page_id", "host", domain_tier(F.col("host"), NEWS_DOMAINS).alias("m")).select("page_id", "host", "m.domain", "m.tier")
+
+
+@query
+def search_queries_dated(spark, sf_dir):
+    """Reports without metrics: the year comes from their own dates, the end first, some of which are none."""
+    wide = fa.wide_facts(a.facts(spark, sf_dir).filter("report_id % 5 = 0"))
+    dates = a.periods(spark, sf_dir).selectExpr(
+        "report_id", "CASE WHEN report_id % 4 = 1 THEN 'desconhecida' WHEN report_id % 4 = 2 THEN NULL ELSE end_date END AS ends",
+        "CASE WHEN report_id % 8 = 5 THEN '' ELSE start_date END AS starts")
+    years = [d.year_from_period(F.col(k)["period"]) for k in ("case_growth_rate", "mortality_rate", "uti_admission_rate")]
+    year = d.report_year(years, [F.col("ends"), F.col("starts")])
+    return dates.join(wide, "report_id", "left").select("report_id", year.alias("year"), d.search_query(year).alias("query"))
+
+
 @query
 def search_queries(spark, sf_dir):
     wide = fa.wide_facts(a.facts(spark, sf_dir))
@@ -333,6 +470,19 @@ def report_text(spark, sf_dir):
     return report.render_reports(runs, facts, outcomes, news, report.series_by_end(cases, runs))
 
 
+def _with_failures(spark, sf_dir, facts):
+    """The admission rate of every seventh report, and coverage of every eleventh, as they are where the metric failed."""
+    found = facts.filter("NOT (report_id % 7 = 3 AND metric_key = 'uti_admission_rate' OR report_id % 11 = 4 AND metric_key = 'vaccination_coverage')")
+    period = F.concat_ws(" to ", *d.ordered_period(F.col("start_date"), F.col("end_date")))
+    return m.complete_metrics(found, a.periods(spark, sf_dir), ["report_id"], period)
+
+
+@query
+def latest_runs(spark, sf_dir):
+    """Every run once, of those that were run again the last record."""
+    return sinks.latest(a.run_records(spark, sf_dir), "run_id", ["timestamp", "batch"])
+
+
 @query
 def audit_rows(spark, sf_dir):
     runs = a.runs(spark, sf_dir).select(
@@ -342,6 +492,7 @@ def audit_rows(spark, sf_dir):
     )
     facts, news = a.facts(spark, sf_dir), a.news(spark, sf_dir)
     outcomes = _outcomes(spark, sf_dir, facts, news)
+    facts = _with_failures(spark, sf_dir, facts)
     records = audit.audit_records(runs, facts, outcomes, sa.sanitized_blocks(news))
     m, diff = F.col("metrics"), F.col("validation_diff")
     fields = ("value", "computable", "numerator", "denominator", "period", "definition_ref", "query")
