@@ -14,8 +14,10 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -64,9 +66,14 @@ def novelty_meter():
         dict_data=zstandard.ZstdCompressionDict(COMMON, dict_type=zstandard.DICT_TYPE_RAWCONTENT), level=12,
         write_checksum=False, write_content_size=False, write_dict_id=False)
 
+    @lru_cache(maxsize=1)
+    def alone(context: bytes) -> int:
+        """The rivals of a candidate are measured in its own context."""
+        return len(packer.compress(context))
+
     def novelty(before: str, candidate: str, after: str) -> float:
         context = (before + " " + after + " ").encode()
-        return (len(packer.compress(context + candidate.encode())) - len(packer.compress(context))) / len(candidate)
+        return (len(packer.compress(context + candidate.encode())) - alone(context)) / len(candidate)
 
     return novelty
 
@@ -134,15 +141,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty) -> list[tuple[int, int, int]]:
-    """(start, end, 3) of candidates beside a sensitive word that touch no base span and that the meter cannot predict."""
+    """(start, end, 3) of candidates beside a sensitive word that touch no base span and that the meter cannot predict.
+
+    `base` is sorted. Among the spans that start before a candidate ends, the one that reaches furthest tells if any touches it.
+    """
     found = []
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     for m in CANDIDATE.finditer(text):
         begin, end = m.span()
         value = m[0]
         if not any(c.isalpha() for c in value):
             continue
         before = text[max(0, begin - AROUND) : begin]
-        if not SENSITIVE.search(before) or any(a < end and begin < b for a, b, _ in base):
+        earlier = bisect_left(starts, end)
+        if not SENSITIVE.search(before) or (earlier and reach[earlier - 1] > begin):
             continue
         if not wordlike(value) and share_of_random(novelty, before, value, text[end : end + AROUND]) >= NOVELTY:
             found.append((begin, end, 3))

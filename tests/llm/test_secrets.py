@@ -85,3 +85,27 @@ def test_names_are_no_keys():
 def test_long_runs_take_linear_time():
     value = "".join(random.Random(6).choices(string.ascii_lowercase, k=300_000))
     assert novel_spans(f"secret {value}", [], novelty_meter()) == [(7, 300_007, 3)]
+
+
+def test_candidates_that_touch_a_base_span():
+    """Against a walk over all spans, and in time that grows with the text."""
+    import time
+
+    novelty, rng = novelty_meter(), random.Random(5)
+    random_key = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=n))
+    text = " ".join(rng.choice([f"password={random_key(20)}", f"private key {random_key(24)}", f"{random_key(9)}/secret: {random_key(30)}", "plain words"]) for _ in range(300))
+    base = base_spans(text)
+    for a, b, _ in novel_spans(text, base, novelty):
+        assert not any(x < b and a < y for x, y, _ in base)
+    free = set(novel_spans(text, [], novelty))
+    assert set(novel_spans(text, base, novelty)) == {(a, b, k) for a, b, k in free if not any(x < b and a < y for x, y, _ in base)}
+
+    def seconds(n):
+        long = f"password={random_key(20)} key plainword " * n
+        spans = base_spans(long)
+        begin = time.perf_counter()
+        novel_spans(long, spans, novelty)
+        return time.perf_counter() - begin
+
+    seconds(500)
+    assert seconds(16_000) < max(16 * seconds(4000), 2)
