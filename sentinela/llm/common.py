@@ -16,9 +16,13 @@ PASS_BYTES = 2_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`; one of our own only where it is unset, as in tests."""
+    """The folder all executors see: `spark.checkpoint.dir`. Where it is unset, one of our own, but only in local mode: on a
+    cluster every machine would write to its own disk, so there the setting is required."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         folder = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
