@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 # Bytes of text that one numpy pass works on; a longer text is a pass of its own.
 PASS_BYTES = 2_000_000
+_OWN_FOLDER: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,8 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # Spark does not let this setting be changed later, so the folder is kept here
+        folder = _OWN_FOLDER.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="checkpoints-")
+        _OWN_FOLDER[spark.sparkContext.applicationId] = folder
     return folder
 
 
