@@ -36,12 +36,17 @@ def parse_case_lines(lines: DataFrame, columns: list[str], line: str = "line") -
 
 
 def _typed(name: str, kind: str) -> Column:
-    value = present(F.col(name).cast("string"))
+    """A column cast strictly. Most values are what they should be: only the others are looked at for what they spell."""
+    raw = F.col(name).cast("string")
+    value = present(raw)
+    if kind == "string":
+        return value
     if kind != "int":
-        return value.cast(kind)
+        return F.coalesce(raw.try_cast(kind), value.cast(kind))
     # a column with blanks comes back from a rewrite with its codes as 1.0
     message = F.concat(F.lit(f"no whole number in {name}: "), value)
-    return F.when(is_whole(value), value.try_cast("double").cast("int")).when(value.isNotNull(), F.raise_error(message).cast("int"))
+    spelled = F.when(is_whole(value), value.try_cast("double").cast("int")).when(value.isNotNull(), F.raise_error(message).cast("int"))
+    return F.coalesce(raw.try_cast("int"), spelled)
 
 
 def clean_cases(raw: DataFrame) -> DataFrame:
