@@ -128,3 +128,26 @@ def test_work_grows_with_the_text_and_not_its_square():
 
     took(1000)
     assert took(160_000) < 60 * max(took(10_000), 0.002)
+
+
+def test_planted_runs_against_plain_python(spark):
+    import zlib
+
+    from sentinela.llm.queries import with_planted_runs
+
+    rng = random.Random(3)
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10 == 0][:60] + [1, 2, 3]
+    texts = [None, "", " \n", "one", "two words"] + [" ".join(rng.choices("abcdefgh", k=n)) for n in range(3, 61)]
+    rows = [row(i, t) for i, t in zip(ids, texts, strict=True)] + [row(None, "no id here"), row(ids[5], "again\tthe  same id")]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.text or "") for r in with_planted_runs(frame(spark, rows)).collect())
+    want = []
+    for r in rows:
+        h, w = zlib.crc32(str(r[0]).encode()), words(r[1])
+        text = r[1] or ""
+        if r[0] is not None and h % 10 == 0 and w:
+            g = h // 10
+            a = g % len(w)
+            p = 1 + (len(w) - a) // (3 + g % 8)
+            text = " ".join(w[i if i < a else a + (i - a) % p] for i in range(len(w)))
+        want.append((-1 if r[0] is None else r[0], text))
+    assert got == sorted(want)
