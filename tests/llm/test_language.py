@@ -54,3 +54,30 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
 
 def test_families():
     assert family_of("pt-BR") == "romance" and family_of("de") == family_of("en") and family_of("zz") == "zz"
+
+
+def test_predictions_against_plain_votes(spark, rows):
+    """The family of the largest margin, then a vote for each pair of its languages."""
+    from math import exp
+
+    model = learn(frame(spark, rows))
+    got = {r.doc_id: r for r in identify(frame(spark, rows[:60]), model).collect()}
+    for r in rows[:60]:
+        data = np.frombuffer(r[1].encode(), np.uint8)
+        x = ngram_features(data, np.array([0, len(data)]))[0].tolist()
+        margin = lambda w: sum(a * b for a, b in zip(x, w[:-1].tolist(), strict=True)) + float(w[-1])  # noqa: E731, B023
+        family = dict(zip(model.families, map(margin, model.by_family), strict=True))
+        best = max(model.families, key=lambda f: family[f])  # noqa: B023
+        own = [a for a in model.langs if family_of(a) == best]
+        votes, total = dict.fromkeys(own, 0), dict.fromkeys(own, 0.0)
+        for (a, b), w in zip(model.pairs, model.by_pair, strict=True):
+            a, b = model.langs[a], model.langs[b]
+            if a in votes:
+                m = margin(w)
+                votes[a if m >= 0 else b] += 1
+                total[a] += 1 / (1 + exp(-4 * m))
+                total[b] += 1 - 1 / (1 + exp(-4 * m))
+        share = {a: total[a] / (len(own) - 1) if len(own) > 1 else 1.0 for a in own}
+        pick = max(own, key=lambda a: votes[a] + share[a] / 2)  # noqa: B023
+        whole = exp(4 * family[best]) / sum(exp(4 * v) for v in family.values())
+        assert got[r[0]].lang_pred == pick and abs(got[r[0]].score - whole * share[pick]) < 1e-4

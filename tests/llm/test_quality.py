@@ -81,3 +81,28 @@ def test_passages_of_a_text_do_not_depend_on_its_neighbours():
     for k, t in enumerate(parts):
         own = np.frombuffer(t.encode(), np.uint8)
         assert np.allclose(x[cut[k] : cut[k + 1]], passages(own, np.array([0, len(own)]))[0], atol=1e-6)
+
+
+def test_scores_against_a_plain_forward_pass(spark):
+    """Passage by passage and number by number, with softmax and sums written out."""
+    from math import exp, tanh
+
+    from sentinela.llm.quality_mil import FEATURES, GATE, HIDDEN
+
+    rows, labels = texts(120)
+    model = learn(frame(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    w = {k: v.tolist() for k, v in model.w.items()}
+    sigmoid = lambda x: 1 / (1 + exp(-x))
+    for r in score_texts(frame(spark, [*rows[:12], *ODD[:5]]), model, ["doc_id", "text"]).collect():
+        data = np.frombuffer((r.text or "").encode(), np.uint8)
+        found, _ = passages(data, np.array([0, len(data)]))
+        encoded, raw = [], []
+        for x in found.tolist():
+            x = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, model.mean.tolist(), model.spread.tolist(), strict=True)]
+            z = [tanh(w["bias"][j] + sum(x[i] * w["encode"][i][j] for i in range(FEATURES))) for j in range(HIDDEN)]
+            gates = [tanh(sum(z[i] * w["tanh"][i][j] for i in range(HIDDEN))) * sigmoid(sum(z[i] * w["gate"][i][j] for i in range(HIDDEN))) for j in range(GATE)]
+            encoded.append(z)
+            raw.append(sum(g * a for g, a in zip(gates, w["attend"], strict=True)))
+        weights = [exp(a) / sum(map(exp, raw)) for a in raw]
+        bag = [sum(a * z[j] for a, z in zip(weights, encoded, strict=True)) for j in range(HIDDEN)]
+        assert abs(r.score - sigmoid(w["out_bias"][0] + sum(b * o for b, o in zip(bag, w["out"], strict=True)))) < 2e-6
