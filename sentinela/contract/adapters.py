@@ -88,7 +88,8 @@ SELECT n_name AS SG_UF, CAST(CAST(y AS STRING) || CASE WHEN n_nationkey % 5 = 2
 FROM (SELECT n_nationkey, n_name, count(*) AS people, sum(CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END) AS covid,
              sum(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) AS flu
       FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey WHERE n_nationkey <> 11 GROUP BY n_nationkey, n_name) AS counted
-CROSS JOIN (VALUES (1996, 0), (1997, 0), (1998, 0), (1999, 0), (1999, 5), (2001, 0)) AS years (y, k)
+JOIN (VALUES (1, 1996, 0), (1, 1997, 0), (1, 1998, 0), (1, 1999, 0), (1, 1999, 5), (1, 2001, 0)) AS years (known, y, k)
+  ON known = CASE WHEN people > 0 THEN 1 ELSE 0 END
 WHERE NOT (k = 5 AND n_nationkey % 5 <> 1) AND NOT (y < 1999 AND n_nationkey % 5 = 2)
 """
 
