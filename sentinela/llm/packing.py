@@ -8,8 +8,10 @@ short, so padding is less than one sequence in all. The ids are written once and
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sentinela.llm.common import stored
+from sentinela.llm.common import passes, stored
 
 LENGTH = 4096
 END_ID = 2
-HELD = 600_000
+HELD = 300_000
+# Bytes of text, or of ids, that are worked on at once; a longer text is a step of its own.
+STEP_BYTES = 1_000_000
 
 TOKENS = "part bigint, doc_id bigint, at bigint, doc_tokens bigint, ids binary"
 PIECE = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -31,13 +35,16 @@ _PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^\x20\x09-\x0Da-z0-9ß-öø-ÿ]+")
 _OTHER = re.compile(r"[^\x20-\x26\x28-\x7e\x09-\x0dÀ-ÖØ-öø-ÿ]")
 
 
+@cache
 def text_encoder(path: str):
     """A function from texts to their ids as little-endian unsigned 32-bit values, for the tokenizer file at `path`.
 
     For a tokenizer that lower-cases, drops white space, and cuts texts into runs of letters, single digits and runs of
     other signs, with tokens that mark the end of a piece. Pieces of texts in plain Latin letters are taken by one pattern,
-    and their ids are held: the tokenizer's model sees a piece once. Words of other texts go through the whole tokenizer.
+    and their ids are held, up to HELD pieces and over the tasks of a worker: the tokenizer's model seldom sees a piece again.
+    Words of other texts go through the whole tokenizer.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
@@ -81,8 +88,7 @@ def _tokens(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, part, at = text_encoder(path), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                rows = batch.slice(begin, 500)
+            for rows, _, _ in passes(batch, "text", STEP_BYTES):
                 ids = [x + end for x in encode([t or "" for t in rows.column("text").to_pylist()])]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 firsts = at + np.cumsum(sizes) - sizes
@@ -96,8 +102,8 @@ def _tokens(path: str, end_id: int):
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                yield _pieces(batch.slice(begin, 500), length)
+            for rows, _, _ in passes(batch, "ids", STEP_BYTES):
+                yield _pieces(rows, length)
     return run
 
 

@@ -1,9 +1,12 @@
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from cases import ODD, frame, row
 
+from sentinela.llm import packing
 from sentinela.llm.packing import pack, text_encoder
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -47,3 +50,25 @@ def test_held_pieces_and_words_give_the_ids_of_the_whole_text():
     for _ in range(2):
         for text, ids in zip(texts, encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == whole(text)[:-1], text
+
+
+def test_long_texts_are_tokenised_and_cut_a_step_at_a_time(monkeypatch):
+    """Memory of a task is bounded by bytes, not rows: texts that are long together are several batches out of one batch in."""
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    monkeypatch.setattr(packing, "HELD", 5)
+    texts = ["abc def " * 50_000, None, "", *(f"x{i} {i} yz " * 20_000 for i in range(8))]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    found = list(packing._tokens(PATH, 2)(iter([rows])))
+    assert [i for b in found for i in b.column("doc_id").to_pylist()] == list(range(len(texts)))
+    assert all(b.num_rows == 1 or sum(len(texts[i] or "") for i in b.column("doc_id").to_pylist()) <= packing.STEP_BYTES for b in found)
+    assert len(found) > 1
+    joined = pa.Table.from_batches(found).combine_chunks().to_batches()[0]
+    ids = joined.column("ids").to_pylist()
+    assert [np.frombuffer(x, "<u4").tolist() for x in ids] == [whole(t) for t in texts]
+    assert joined.column("at").to_pylist() == [sum(len(x) // 4 for x in ids[:k]) for k in range(len(ids))]
+    cut = list(packing._cut(1000)(iter([joined])))
+    assert len(cut) > 1 and b"".join(x for b in cut for x in b.column("ids").to_pylist()) == b"".join(ids)
+
+
+def test_a_worker_builds_the_encoder_once():
+    assert text_encoder(PATH) is text_encoder(PATH)
