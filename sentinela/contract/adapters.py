@@ -7,6 +7,7 @@ both sides see the same cases, news and narratives. Braces name the tables a sta
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sentinela.operators.metrics import metrics_by_period
 from sentinela.session import spread, work_folder
@@ -408,8 +409,12 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def narratives(spark: SparkSession, sf_dir: str, facts: DataFrame) -> DataFrame:
-    return run(
-        spark, NARRATIVES, facts=facts, documents=texts(spark, sf_dir), pages=read(spark, sf_dir, "pages")
+    """The statement runs on the ids, with empty texts, which end each narrative: so texts are shuffled once, by their id."""
+    ids = read(spark, sf_dir, "documents").select("doc_id").distinct().withColumn("text", F.lit(""))
+    heads = run(spark, NARRATIVES, facts=facts, documents=ids, pages=read(spark, sf_dir, "pages")).withColumnRenamed("narrative_id", "_id")
+    docs = texts(spark, sf_dir).select(F.col("doc_id").alias("narrative_id"), "text")
+    return docs.join(heads, F.col("narrative_id") == F.col("_id"), "left").select(
+        "narrative_id", "report_id", "retry_count", F.concat("narrative", "text").alias("narrative")
     )
 
 

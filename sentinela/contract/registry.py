@@ -458,8 +458,8 @@ def _outcomes(spark, sf_dir, facts, news):
     """The draft and the outcome of every run; each narrative is a run of its report."""
     drafts = a.narratives(spark, sf_dir, facts)
     run_id = F.concat(F.lit("run-"), F.col("narrative_id").cast("string"))
-    found = g.validate_narratives(drafts, facts, news).withColumn("run_id", run_id).drop("narrative_id", "report_id")
-    return found.join(drafts.select(run_id.alias("run_id"), "narrative"), "run_id")
+    found = g.validate_narratives(drafts, facts, news, keep=["narrative"])
+    return found.withColumn("run_id", run_id).drop("narrative_id", "report_id")
 
 
 @query

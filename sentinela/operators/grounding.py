@@ -7,6 +7,8 @@ items; `min_rows` is the number of narratives up to which a report is never spli
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,31 +39,25 @@ def known_urls(news: DataFrame) -> DataFrame:
     return news.filter(F.col("url") != "").select("report_id", normalize_url(F.col("url")).alias("url")).distinct()
 
 
-def _unsupported(tokens: Column, allowed: Column) -> Column:
-    """The tokens that state none of a report's allowed values, with their place in the text."""
-    numbered = F.transform(
-        tokens,
-        lambda t, i: F.struct(
-            i.alias("pos"), t["raw"].alias("raw"), t["value"].alias("value"), t["context"].alias("context")
-        ),
-    )
-    return F.filter(
-        numbered,
-        lambda t: ~F.coalesce(F.exists(allowed, lambda a: is_grounded(t["value"], a, t["context"])), F.lit(False)),
-    )
-
-
-def _with_reports(narratives: DataFrame, reports: DataFrame, min_rows: int) -> DataFrame:
-    """Narratives joined to their report's row.
+def _with_reports(claims: DataFrame, narratives: DataFrame, reports: DataFrame, min_rows: int) -> DataFrame:
+    """Claims of narratives joined to their report's row.
 
     A report may hold a large share of all narratives, so its narratives are dealt over parts and its row is
-    repeated for each. No narrative meets another report's row.
+    repeated for each. No narrative meets another report's row. Claims are shuffled, whole texts are not.
     """
     hot = hot_keys(narratives, ["report_id"], min_rows)
-    rows = split_hot(narratives, hot, ["report_id"], "narrative_id")
+    rows = split_hot(claims, hot, ["report_id"], "narrative_id")
     return rows.join(repeat_hot(reports, hot, ["report_id"]), ["report_id", PART], "left").drop(PART)
 
 
+def _ungrounded(claims: DataFrame, narratives: DataFrame, metrics: DataFrame, min_rows: int) -> DataFrame:
+    """The claims, numbers or URLs, that state none of their report's allowed values."""
+    joined = _with_reports(claims, narratives, _allowed(metrics), min_rows)
+    value, context = F.col("value"), F.col("context")
+    grounded = F.coalesce(F.exists("allowed", lambda a: is_grounded(value, a, context)), F.lit(False))
+    return joined.filter((F.col("url") != "") | ~grounded).drop("allowed", "context")
+
+
 def _unknown(claims: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """The claims, one row per occurrence, whose keys no fact has; facts are distinct on the keys.
 
@@ -78,21 +74,26 @@ def _allowed(metrics: DataFrame) -> DataFrame:
     return wide_facts(metrics).select("report_id", allowed_numbers().alias("allowed"))
 
 
-def _candidates() -> Column:
-    """The numbers of `narrative` that `allowed` does not support.
+def _number_claims() -> Column:
+    """The numbers of `narrative` with their place in the text and the words before them.
 
     Always given to a generator as an expression, never through a column of its own: Spark would add a filter
     on such a column, push it down and evaluate the expression once more for it.
     """
-    return _unsupported(number_values(F.col("narrative")), F.col("allowed"))
+    return F.transform(
+        number_values(F.col("narrative")),
+        lambda t, i: F.struct(
+            i.alias("pos"), t["raw"].alias("raw"), t["value"].alias("value"), F.lit("").alias("url"), t["context"].alias("context")
+        ),
+    )
 
 
 def numeric_mismatches(
     narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int = MIN_ROWS
 ) -> DataFrame:
     """Numbers supported by neither metrics nor news: (narrative_id, report_id, pos, raw, value)."""
-    joined = _with_reports(narratives, _allowed(metrics), min_rows)
-    found = joined.select("narrative_id", "report_id", F.inline(_candidates()))
+    claims = narratives.select("narrative_id", "report_id", F.inline(_number_claims()))
+    found = _ungrounded(claims, narratives, metrics, min_rows).drop("url")
     unknown = _unknown(found, news_numbers(news), ["report_id", "value"])
     return unknown.select("narrative_id", "report_id", "pos", "raw", "value")
 
@@ -106,16 +107,12 @@ def source_mismatches(narratives: DataFrame, news: DataFrame) -> DataFrame:
 
 def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
     """Numbers and URLs to verify and what the news knows, as one kind of key, in a single anti-join."""
-    number_claim = F.transform(
-        _candidates(),
-        lambda t: F.struct(t["pos"].alias("pos"), t["raw"].alias("raw"), t["value"].alias("value"), F.lit("").alias("url")),
-    )
-    url_claim = F.transform(
+    url_claims = F.transform(
         cited_urls(F.col("narrative")),
-        lambda u: F.struct(F.lit(-1).alias("pos"), F.lit("").alias("raw"), F.lit(0.0).alias("value"), u.alias("url")),
+        lambda u: F.struct(F.lit(-1).alias("pos"), F.lit("").alias("raw"), F.lit(0.0).alias("value"), u.alias("url"), F.lit("").alias("context")),
     )
-    joined = _with_reports(narratives, _allowed(metrics), min_rows)
-    claims = joined.select("narrative_id", "report_id", F.inline(F.concat(number_claim, url_claim)))
+    stated = narratives.select("narrative_id", "report_id", F.inline(F.concat(_number_claims(), url_claims)))
+    claims = _ungrounded(stated, narratives, metrics, min_rows)
     numbers = F.transform(
         F.array_distinct(F.transform(number_values(_news_blob(news)), lambda t: t["value"])),
         lambda v: F.struct(v.alias("value"), F.lit("").alias("url")),
@@ -127,12 +124,18 @@ def _all_mismatches(narratives: DataFrame, metrics: DataFrame, news: DataFrame,
     return _unknown(claims, facts, ["report_id", "value", "url"])
 
 
+def _text() -> Column:
+    """What is checked and published of `narrative`."""
+    return F.coalesce(content_text(F.col("narrative")), F.lit(""))
+
+
 def _checked(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
     """Narratives with their unsupported `numbers` and `urls`: claims are anti-joined, gathered and joined back.
 
     A report may have any number of items. What is gathered is one narrative's own numbers and URLs, by its id.
     """
-    gathered = _all_mismatches(narratives, metrics, news, min_rows).groupBy("narrative_id").agg(
+    texts = narratives.withColumn("narrative", _text())
+    gathered = _all_mismatches(texts, metrics, news, min_rows).groupBy("narrative_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("url") == "", F.struct("pos", "raw", "value")))).alias("found"),
         F.array_sort(F.collect_list(F.when(F.col("url") != "", F.col("url")))).alias("urls"),
     )
@@ -145,18 +148,18 @@ def _checked(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_row
 
 
 def validate_narratives(
-    narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int = MIN_ROWS
+    narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int = MIN_ROWS, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Outcome per narrative: passed, to be retried, or published with its unsupported claims taken out.
 
     A narrative may be a JSON list of content blocks; its text is what is checked and published. A NULL one is empty text,
-    which states nothing and passes. Every item of a report's news counts.
+    which states nothing and passes. Every item of a report's news counts. `keep` names columns of `narratives` to put out as
+    they were given.
     """
-    narratives = narratives.withColumn("narrative", F.coalesce(content_text(F.col("narrative")), F.lit("")))
-    checked = _checked(narratives, metrics, news, min_rows)
+    checked = _checked(narratives, metrics, news, min_rows).withColumn("_text", _text())
     passed = (F.size("numbers") == 0) & (F.size("urls") == 0)
     attempts = F.col("retry_count") + F.lit(1)
-    cleaned = strip_mismatches(F.col("narrative"), F.transform("numbers", lambda n: n["raw"]), F.col("urls"))
+    cleaned = strip_mismatches(F.col("_text"), F.transform("numbers", lambda n: n["raw"]), F.col("urls"))
     diff = F.struct(
         F.col("numbers").alias("numeric_mismatches"),
         F.transform("urls", lambda u: F.struct(u.alias("cited"), F.lit("url").alias("type"))).alias("source_mismatches"),
@@ -164,8 +167,9 @@ def validate_narratives(
     return checked.select(
         "narrative_id", "report_id",
         passed.alias("validation_passed"),
-        F.when(passed, F.col("narrative")).when(attempts >= MAX_ATTEMPTS, F.concat(cleaned, F.lit(NOTICE)))
+        F.when(passed, F.col("_text")).when(attempts >= MAX_ATTEMPTS, F.concat(cleaned, F.lit(NOTICE)))
         .otherwise("").alias("narrative_validated"),
         F.when(~passed, diff).alias("validation_diff"),
         F.when(passed, F.col("retry_count")).otherwise(attempts).alias("retry_count"),
+        *keep,
     )

@@ -158,12 +158,17 @@ def render_reports(
     pii_stripped, columns_not_found, news_source); `outcomes` has the validated narrative of each run; `news`
     holds the items of the reports; `series` that of `series_by_end`.
     """
-    joined = (
-        runs.join(metric_tables(metrics), "report_id", "left")
-        .join(outcomes.select("run_id", "narrative_validated", "validation_passed"), "run_id", "left")
+    # what does not depend on the run, once per report and end date
+    sections = (
+        runs.select("report_id", "end_date").distinct()
+        .join(metric_tables(metrics), "report_id", "left")
         .join(source_lists(news), "report_id", "left")
         .join(series_sections(series), "end_date", "left")
     )
+    of_report = sections.withColumnsRenamed({"report_id": "_report_id", "end_date": "_end_date"})
+    joined = runs.join(outcomes.select("run_id", "narrative_validated", "validation_passed"), "run_id", "left").join(
+        of_report, F.col("report_id").eqNullSafe(F.col("_report_id")) & F.col("end_date").eqNullSafe(F.col("_end_date")), "left"
+    )
     footer = F.concat(
         F.lit("---\n*Relatório gerado em: "), F.date_format("generated_at", "dd/MM/yyyy HH:mm:ss"),
         F.lit(" — run_id: `"), F.col("run_id"), F.lit("`*\n"),

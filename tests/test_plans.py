@@ -66,6 +66,18 @@ def test_narratives_are_read_for_their_claims_and_for_their_outcome(spark, tmp_p
     assert text.count("regexp_extract_all(t, ") <= 2
 
 
+def test_claims_and_not_whole_narratives_are_joined_to_reports(spark, tmp_path):
+    path = str(tmp_path / "narratives")
+    spark.range(10).selectExpr("id AS narrative_id", "id AS report_id", "'12 casos' AS narrative", "0 AS retry_count").write.parquet(path)
+    metrics = spark.createDataFrame([], "report_id bigint, metric_key string, component string, value double, computable boolean, "
+                                    "numerator bigint, denominator bigint, period string")
+    news = spark.range(5).selectExpr("id AS report_id", "id AS pos", "'t' AS title", "'u' AS url", "'1' AS snippet")
+    for found in (g.validate_narratives(spark.read.parquet(path), metrics, news), g.numeric_mismatches(spark.read.parquet(path), metrics, news)):
+        found = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        joins = [i for i, line in enumerate(found) if re.search(r"Join LeftOuter, .*_part#", line)]
+        assert len(joins) == 1 and "narrative#" not in found[joins[0] + 1]
+
+
 def test_tokens_are_computed_once(spark):
     texts = spark.range(10).selectExpr("concat('caso ', id) AS t")
     text = plan(texts.select(F.inline(number_tokens(F.col("t")))))
