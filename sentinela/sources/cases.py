@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sentinela.functions.raw import is_whole, present
 from sentinela.operators.quality import drop_pii, select_columns
 from sentinela.schema import CASE_TYPES, ONSET
+from sentinela.sources.hashing import STEP, WHOLE, hashed_in_steps, in_steps, resumable
 
 DEFAULT_ENCODING = "ISO-8859-1"
 
@@ -104,17 +105,22 @@ def fingerprint(content: Column) -> dict[str, Column]:
     }
 
 
-def source_files(spark: SparkSession, path: str) -> DataFrame:
+def source_files(spark: SparkSession, path: str, whole: int = WHOLE, step_bytes: int = STEP) -> DataFrame:
     """Provenance of each file: file_name, length, sha256, extraction_date, valid_utf8, encoding.
 
-    A file is hashed as one value. One of 2 GiB or more does not fit a value and raises Spark's error, which names it. The
-    reading encoding is Latin-1 either way: files that look like ASCII or UTF-8 are read as Latin-1 too.
+    A file of up to `whole` bytes is hashed as one value; larger ones are read in splits and hashed in steps when this is
+    called, see `hashing`. Compressed files (`.gz` and such), and all where Python has no OpenSSL, are one value whatever their
+    size. A value, or a line of a larger file, of 2 GiB or more raises Spark's error, which names the file. The reading encoding is Latin-1 either way: files that
+    look like ASCII or UTF-8 are read as Latin-1 too.
     """
     files = spark.read.format("binaryFile").load(path)
+    large = files.filter(in_steps(whole)).select("path", "length", F.col("_metadata.file_path").alias("file"))
     name = F.element_at(F.split("path", "/"), -1)
-    found = fingerprint(F.col("content"))
-    return files.select(
-        name.alias("file_name"), found["length"].alias("length"), found["sha256"].alias("sha256"),
-        extraction_date(name).alias("extraction_date"), found["valid_utf8"].alias("valid_utf8"),
+    columns = [
+        name.alias("file_name"), "length", "sha256", extraction_date(name).alias("extraction_date"), "valid_utf8",
         F.lit(DEFAULT_ENCODING).alias("encoding"),
-    )
+    ]
+    if not resumable() or large.isEmpty():
+        return files.withColumns(fingerprint(F.col("content"))).select(columns)
+    small = files.filter(~in_steps(whole)).withColumns(fingerprint(F.col("content"))).select(columns)
+    return small.unionByName(large.join(hashed_in_steps(spark, path, whole, step_bytes), "file").select(columns))

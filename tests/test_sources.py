@@ -1,13 +1,17 @@
 """Files, snapshots, provenance and news responses."""
 
+import gzip
 import hashlib
 import json
+import random
 
+import pyarrow as pa
 import pytest
 
 from sentinela.operators import quality as q
 from sentinela.schema import PII_COLUMNS, SELECTED_COLUMNS
 from sentinela.sources import cases as c
+from sentinela.sources import hashing
 from sentinela.sources import news as n
 from sentinela.sources import snapshots as sn
 
@@ -98,6 +102,46 @@ def test_fingerprints(spark, folder):
     assert (row.extraction_date, row.valid_utf8) == ("unknown", False)
 
 
+def test_large_files_are_hashed_in_steps(spark, tmp_path):
+    """Files of some 40 KB in splits of 3 KB and steps of 8 KB: no task gets a whole one, and none is opened as one value."""
+    rng = random.Random(5)
+    lines = "\r\n".join("ação;" * rng.randrange(30) for _ in range(400)).encode()
+    files = {
+        "texto.csv": lines, "fim 100%.csv": lines + b"\n", "marca.csv": b"\xef\xbb\xbf" + lines, "marca fim.csv": b"\xef\xbb\xbf" + lines + b"\n\n",
+        "vazias.csv": b"\n" * 40_000, "bytes.bin": rng.randbytes(40_000), "uma.csv": b"x" * 40_000, "cortado.csv": lines + "ç".encode()[:1],
+        "longa.csv": b"a\n" + b"y" * 30_000 + b"\n" + lines, "igual.csv": lines, "pequeno.csv": b"a;b\n", "pacote.csv.gz": gzip.compress(rng.randbytes(20_000)),
+    }
+    folder = tmp_path / "mês"
+    folder.mkdir()
+    for name, data in files.items():
+        (folder / name).write_bytes(data)
+    splits = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        found = c.source_files(spark, f"{folder}/*", whole=10_000, step_bytes=8_000)
+        got = {r.file_name: (r.length, r.sha256, r.valid_utf8) for r in found.collect()}
+        read = found._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", splits)
+
+    def valid(data: bytes) -> bool:
+        return data.decode("utf-8", "replace").encode() == data
+
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest(), valid(v)) for k, v in files.items()}
+    assert not got["cortado.csv"][2] and got["marca.csv"][2] and read.count("sha2(content") == 1
+    assert found.count() == len(files)
+
+
+def test_a_hash_goes_on_from_its_state():
+    data = pa.py_buffer(random.Random(6).randbytes(1000))
+    for cut in (0, 1, 63, 64, 65, 500, 1000):
+        first = hashing.Sha256()
+        first.update(data.slice(0, cut))
+        second = hashing.Sha256(first.state())
+        second.update(data.slice(cut))
+        assert first.hexdigest() == hashlib.sha256(data.slice(0, cut)).hexdigest() and second.hexdigest() == hashlib.sha256(data).hexdigest()
+
+
 def test_cleaned_table_is_stored_by_month(spark, tmp_path):
     cases = spark.range(300).selectExpr("date_add(DATE'2026-01-01', CAST(IF(id < 100, 40, id) AS INT)) AS DT_SIN_PRI", "1 AS EVOLUCAO")
     c.write_cases(cases, str(tmp_path / "t"))
