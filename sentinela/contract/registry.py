@@ -455,9 +455,13 @@ def sources_list(spark, sf_dir):
 
 
 def _outcomes(spark, sf_dir, facts, news):
-    """The draft and the outcome of every run; each narrative is a run of its report."""
-    drafts = a.narratives(spark, sf_dir, facts)
-    run_id = F.concat(F.lit("run-"), F.col("narrative_id").cast("string"))
+    """The draft and the outcome of every run; each narrative is a run of its report.
+
+    One without an id is no run. That is said here, and that no run_id is NULL: Spark would filter the two readings of the
+    narratives each in its own way, and shuffle them twice.
+    """
+    drafts = a.narratives(spark, sf_dir, facts).filter("narrative_id IS NOT NULL")
+    run_id = F.coalesce(F.concat(F.lit("run-"), F.col("narrative_id").cast("string")), F.lit(""))
     found = g.validate_narratives(drafts, facts, news, keep=["narrative"])
     return found.withColumn("run_id", run_id).drop("narrative_id", "report_id")
 

@@ -24,6 +24,8 @@ INJECTION_PORTUGUESE = [
     r"\bassuma\s+o\s+papel\b",
     r"\bvoc[êe]\s+[ée]\s+agora\b",
 ]
+# The first two letters of the phrases.
+INJECTION_LETTERS = "[adiovy][cegijosv]"
 # Markers around the news block.
 BLOCK_START = "{{NEWS_CONTENT_START}}"
 BLOCK_END = "{{NEWS_CONTENT_END}}"
@@ -41,9 +43,10 @@ def strip_space(text: Column) -> Column:
 
 def is_injection(text: Column) -> Column:
     """Whether a text holds any of the phrases, in either language and any case."""
-    # Every phrase starts at a word boundary, so that is tested once and not once per phrase.
+    # Every phrase starts at a word boundary, so that is tested once and not once per phrase, and only where two letters stand
+    # that may begin one.
     phrases = [p.removeprefix(r"\b") for p in INJECTION_ENGLISH + INJECTION_PORTUGUESE]
-    return text.rlike(rf"(?iU)\b(?:{'|'.join(phrases)})")
+    return text.rlike(rf"(?iU)(?={INJECTION_LETTERS})\b(?:{'|'.join(phrases)})")
 
 
 def strip_injection(text: Column) -> Column:

@@ -78,6 +78,22 @@ def test_claims_and_not_whole_narratives_are_joined_to_reports(spark, tmp_path):
         assert len(joins) == 1 and "narrative#" not in found[joins[0] + 1]
 
 
+def test_news_texts_are_not_joined_to_find_their_numbers(spark, tmp_path):
+    spark.range(10).selectExpr("id AS report_id", "id AS pos", "'t' AS title", "concat('1 e ', id) AS snippet").write.parquet(str(tmp_path / "items"))
+    spark.range(10).selectExpr("id AS report_id", "'u' AS url").write.parquet(str(tmp_path / "pages"))
+    news = spark.read.parquet(str(tmp_path / "items")).join(spark.read.parquet(str(tmp_path / "pages")), "report_id", "left")
+    text = plan(g.news_numbers(news))
+    assert "Join" not in text and text.count("FileScan") == 1 and "- Filter" not in text
+
+
+@pytest.mark.parametrize("name", ["audit_rows", "report_text"])
+def test_narratives_of_runs_are_read_alike(spark, name):
+    """Both readings are the same subplan, so that the text is shuffled once."""
+    text = re.sub(r"#\d+L?", "", plan(QUERIES[name](spark, SMALL)))
+    read = re.findall(r"Project \[doc_id AS narrative_id, text\]\n[ :|]*\+- (Filter .*)", text)
+    assert len(read) == 2 and len(set(read)) == 1
+
+
 def test_tokens_are_computed_once(spark):
     texts = spark.range(10).selectExpr("concat('caso ', id) AS t")
     text = plan(texts.select(F.inline(number_tokens(F.col("t")))))

@@ -95,3 +95,15 @@ def test_content_blocks(spark):
     ]
     df = spark.createDataFrame([(c,) for c, _ in cases], "c string")
     assert {(r.c, r.t) for r in df.select("c", content_text(F.col("c")).alias("t")).collect()} == set(cases)
+
+
+def test_phrases_are_found_by_their_first_letters(spark):
+    """Every way to begin a phrase, also in letters that only other cases make equal."""
+    phrases = [
+        "ignore all instructions", "disregard previous instructions", "act as", "you are now", "disregard the previous", "override instructions",
+        "ignore as regras acima", "desconsidere ordens anteriores", "desobedeça todas as regras do sistema", "desconsidere tudo o texto acima",
+        "aja como", "assuma o papel", "você é agora", "voce e agora",
+    ]
+    rows = [(k, t) for p in phrases for k, t in ((True, f"x, {p.upper()}."), (True, p.replace("i", "İ", 1).replace("s", "ſ")), (False, f"x{p}"), (False, p[1:]))]
+    got = spark.createDataFrame(rows, "want boolean, text string").select("want", "text", is_injection(F.col("text")).alias("got")).collect()
+    assert [r.text for r in got if r.want != r.got] == []
