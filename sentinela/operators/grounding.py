@@ -132,15 +132,18 @@ def _text() -> Column:
 def _checked(narratives: DataFrame, metrics: DataFrame, news: DataFrame, min_rows: int) -> DataFrame:
     """Narratives with their unsupported `numbers` and `urls`: claims are anti-joined, gathered and joined back.
 
-    A report may have any number of items. What is gathered is one narrative's own numbers and URLs, by its id.
+    A report may have any number of items. What is gathered is one narrative's own numbers and URLs, by its id. They meet it by
+    an aggregate of that id: Spark would read the narratives for their claims without NULL ids otherwise, unlike for their
+    outcome, and whatever shuffles the texts before would do so twice.
     """
     texts = narratives.withColumn("narrative", _text())
     gathered = _all_mismatches(texts, metrics, news, min_rows).groupBy("narrative_id").agg(
+        F.max("narrative_id").alias("_narrative_id"),
         F.array_sort(F.collect_list(F.when(F.col("url") == "", F.struct("pos", "raw", "value")))).alias("found"),
         F.array_sort(F.collect_list(F.when(F.col("url") != "", F.col("url")))).alias("urls"),
     )
     numbers = F.transform("found", lambda n: F.struct(n["raw"].alias("raw"), n["value"].alias("value")))
-    return narratives.join(gathered, "narrative_id", "left").select(
+    return narratives.join(gathered.drop("narrative_id"), F.col("narrative_id") == F.col("_narrative_id"), "left").select(
         *narratives.columns,
         F.coalesce(numbers, F.array().cast("array<struct<raw:string,value:double>>")).alias("numbers"),
         F.coalesce("urls", F.array().cast("array<string>")).alias("urls"),

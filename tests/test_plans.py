@@ -86,6 +86,25 @@ def test_news_texts_are_not_joined_to_find_their_numbers(spark, tmp_path):
     assert "Join" not in text and text.count("FileScan") == 1 and "- Filter" not in text
 
 
+def test_texts_joined_to_narratives_are_shuffled_once(spark, tmp_path):
+    """The claims and the outcome read one shuffle of the texts, also where ids may be NULL."""
+    spark.range(40).selectExpr("nullif(id, 7) AS narrative_id", "concat(id, ' casos') AS text").write.parquet(str(tmp_path / "texts"))
+    spark.range(40).selectExpr("id AS head", "id % 5 AS report_id", "2 AS retry_count").write.parquet(str(tmp_path / "heads"))
+    metrics = spark.createDataFrame([], "report_id bigint, metric_key string, component string, value double, computable boolean, "
+                                    "numerator bigint, denominator bigint, period string")
+    news = spark.range(5).selectExpr("id AS report_id", "id AS pos", "'t' AS title", "'u' AS url", "'1' AS snippet")
+    heads = spark.read.parquet(str(tmp_path / "heads")).hint("merge")
+    narratives = spark.read.parquet(str(tmp_path / "texts")).join(heads, F.col("narrative_id") == F.col("head"), "left").select(
+        "narrative_id", "report_id", F.concat(F.lit("Foram "), "text").alias("narrative"), "retry_count")
+    found = g.validate_narratives(narratives, metrics, news)
+    passed = {r.narrative_id: r.validation_passed for r in found.collect()}
+    assert len(passed) == 40 and {k for k, ok in passed.items() if ok} == {None, 1}
+    final = plan(found).split("== Initial Plan ==")[0]
+    assert "isFinalPlan=true" in final
+    assert len(re.findall(r"FileScan parquet \[narrative_id#\d+L?,text#", final)) == 1
+    assert len(re.findall(r"ReusedExchange \[narrative_id#\d+L?, text#", final)) == 1
+
+
 @pytest.mark.parametrize("name", ["audit_rows", "report_text"])
 def test_narratives_of_runs_are_read_alike(spark, name):
     """Both readings are the same subplan, so that the text is shuffled once."""
